@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -49,15 +50,21 @@ class Workspace:
         """Write a table and read it back: recovery needs the files alone."""
         self._n += 1
         path = f"{self.root}/{self._n}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._quern_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete saved tables that no later plan reads."""
+        """Delete saved tables that no later plan reads, and let Spark see that the shuffles behind them are over.
+
+        Spark deletes shuffle files once the driver has collected the plans that own them,
+        which may otherwise take until the job's end.
+        """
         for t in tables:
             self._fs().delete(self._path(t._quern_path), True)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -23,11 +23,11 @@ from quern.llm.common import Workspace
 _RESULT = "_id long, _h long, n_removed long, kept_sha256 string"
 
 
-def extend(ws: Workspace, seeds: DataFrame) -> DataFrame:
-    """(key, at) of extended seeds whose run occurs once and whose words equal another's."""
-    seeds = ws.save(seeds)
+def extend(ws: Workspace, texts: DataFrame, length: int) -> DataFrame:
+    """Spans (key, lo, hi) of extended seeds whose run occurs once and whose words equal another's."""
+    seeds = ws.save(repeats.rim_windows(texts, "words", length, [(0, length)]))
     shared = ws.save(seeds.groupBy("n0").agg(F.count("*").alias("n"), F.max("alone").alias("open")).filter("n > 1 AND open = 1").select("n0"))
-    return seeds.filter("alone = 1").join(shared, "n0").select(*repeats.KEY, "at")
+    return seeds.filter("alone = 1").join(shared, "n0").select(*repeats.KEY, F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
 
 
 def _kept(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple:
@@ -55,7 +55,7 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     it is long enough. Null ids stay null. Other columns are not read.
     """
     ws = Workspace(docs.sparkSession, "passages")
-    texts, spans = repeats.repeated(ws, repeats.keyed(docs, id_col, text_col), "words", length, gram, [(0, length)], extend)
+    texts, spans = repeats.repeated(ws, repeats.keyed(docs, id_col, text_col), "words", length, gram, lambda w, t: extend(w, t, length))
     cut = repeats.without(texts, spans, "words", _RESULT, _kept)
     base = docs.select(*repeats.row_key(id_col, text_col), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_whole, "_id long, _h long, id long, n_words long, whole string")
     return base.join(cut, repeats.KEY, "left").select(F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.llm import licences, passages, simhash, suffixes, toxicity
+from quern.llm import decontaminate, licences, lines, packing, passages, simhash, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -37,6 +38,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"), length=400)
 
 
+@query
+def op5_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), buckets=16, budget=8192)
+
+
 @query
 def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, budget=4)
@@ -45,3 +51,14 @@ def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.remove_passages(table(spark, sf_dir, "documents"), length=35)
+
+
+@query
+def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.drop_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op9_decontaminate_cgk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -26,7 +26,7 @@ from quern.llm import windows
 from quern.llm.common import Workspace, row_key, text_bytes
 
 KEY = ["_id", "_h"]
-RUNS = "_id long, _h long, at int, last int, anchor long, sort long"
+RUNS = "_id long, _h long, at int, last int, place int, anchor long, sort long"
 
 
 def symbols(batch: pa.RecordBatch, unit: str, column: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -44,7 +44,7 @@ def piece_symbols(all_symbols: np.ndarray, part: list[tuple[int, int, int]], uni
 
 
 def runs(docs: DataFrame, unit: str, length: int, gram: int) -> DataFrame:
-    """docs: _id, _h, text. One row for each run of window starts [at, last] with one anchor; sort names what the run covers."""
+    """docs: _id, _h, text. One row for each run of window starts [at, last] that share the anchor at place; sort names all it covers."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -62,7 +62,7 @@ def runs(docs: DataFrame, unit: str, length: int, gram: int) -> DataFrame:
                 at = first - begin[piece] + (start - offsets[text])[piece]
                 row = text[piece]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (ids[row], hashes[row], at.astype(np.int32), (at + last - first).astype(np.int32), grams.view(np.int64), whole.view(np.int64))],
+                    [pa.array(x) for x in (ids[row], hashes[row], at.astype(np.int32), (at + last - first).astype(np.int32), (at + anchor - first).astype(np.int32), grams.view(np.int64), whole.view(np.int64))],
                     schema=_arrow(RUNS),
                 )
 
@@ -89,53 +89,96 @@ def rim_windows(docs: DataFrame, unit: str, length: int, steps: list[tuple[int,
             _, syms, offsets, _, _ = symbols(b, unit, 2)
             for row, rims in enumerate(b.column(3).to_pylist()):
                 own = syms[offsets[row] : offsets[row + 1]]
-                rims.sort(key=lambda r: r["at"])
-                k = 0
-                while k < len(rims):  # as many rims as lie within a piece
-                    base, j = rims[k]["at"], k
-                    while j < len(rims) and rims[j]["last"] + length - base <= windows.PIECE:
-                        j += 1
-                    part = own[base : rims[j - 1]["last"] + length]
-                    names = windows.Names(windows.symbols_of_bytes(part) if unit == "bytes" else part)
-                    at = np.concatenate([np.arange(r["at"], r["last"] + 1) for r in rims[k:j]])
-                    alone = np.repeat([r["alone"] for r in rims[k:j]], [r["last"] - r["at"] + 1 for r in rims[k:j]])
+                for part in near(sorted(rims, key=lambda r: r["at"]), length):
+                    base = part[0]["at"]
+                    names = windows.Names(piece_symbols(own, [(0, base, part[-1]["last"] + length)], unit))
+                    at = np.concatenate([np.arange(r["at"], r["last"] + 1) for r in part])
+                    alone = np.repeat([r["alone"] for r in part], [r["last"] - r["at"] + 1 for r in part])
                     got = [names.at(at - base + f, size).view(np.int64) for f, size in steps]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(x) for x in (np.full(len(at), ids[row]), np.full(len(at), hashes[row]), at.astype(np.int32), alone.astype(np.int32), *got)], schema=schema
                     )
-                    k = j
 
     return docs.mapInArrow(scan, ddl)
 
 
-def repeated(
-    ws: Workspace, docs: DataFrame, unit: str, length: int, gram: int, steps: list[tuple[int, int]], match: Callable[[Workspace, DataFrame], DataFrame]
-) -> tuple[DataFrame, DataFrame]:
-    """(texts, spans): the texts that have a repeat (key, text), and their covered spans (key, lo, hi) in symbols.
+def rim_blocks(docs: DataFrame, unit: str, length: int, block: int) -> DataFrame:
+    """docs: _id, _h, text, rims array<struct<at, last, anchor, alone>>. One row for each block of window starts in a rim.
 
-    docs: _id, _h, text; spans may overlap and come more than once. match: gets the windows
-    of rims and returns those (key, at) of runs that occur once that equal another one.
+    Blocks are cut at multiples of ``block`` before the anchor, so equal windows lie in blocks
+    cut alike. core names what all windows of a block share, hull what they cover together
+    (null where the rim holds a part of the block only). at and last are the block's starts.
+    """
+    ddl = "_id long, _h long, at int, last int, alone int, core long, hull long"
+    schema = _arrow(ddl)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, hashes = (b.column(k).to_numpy() for k in (0, 1))
+            _, syms, offsets, _, _ = symbols(b, unit, 2)
+            for row, rims in enumerate(b.column(3).to_pylist()):
+                own = syms[offsets[row] : offsets[row + 1]]
+                for part in near(sorted(rims, key=lambda r: r["at"]), length):
+                    base = part[0]["at"]
+                    names = windows.Names(piece_symbols(own, [(0, base, part[-1]["last"] + length)], unit))
+                    at, last, anchor, alone = (np.array([r[k] for r in part]) for k in ("at", "last", "anchor", "alone"))
+                    low, high = (anchor - last) // block, (anchor - at) // block  # numbers of the blocks, backwards from the anchor
+                    n = high - low + 1
+                    run = np.repeat(np.arange(len(part)), n)
+                    j = np.repeat(low, n) + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+                    end, begin = anchor[run] - j * block, anchor[run] - (j + 1) * block + 1
+                    first, final = np.maximum(begin, at[run]), np.minimum(end, last[run])
+                    core = names.at(end - base, length - block + 1)
+                    full = (first == begin) & (final == end)
+                    hull = np.zeros(len(run), np.int64)
+                    hull[full] = names.at(begin[full] - base, length + block - 1).view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x) for x in (np.full(len(run), ids[row]), np.full(len(run), hashes[row]), first.astype(np.int32), final.astype(np.int32), alone[run].astype(np.int32), core.view(np.int64))]
+                        + [pa.array(hull, mask=~full)],
+                        schema=schema,
+                    )
+
+    return docs.mapInArrow(scan, ddl)
+
+
+def near(rims: list[dict], length: int) -> Iterator[list[dict]]:
+    """Sorted rims, as many at a time as lie within a piece."""
+    k = 0
+    while k < len(rims):
+        j = k + 1
+        while j < len(rims) and rims[j]["last"] + length - rims[k]["at"] <= windows.PIECE:
+            j += 1
+        yield rims[k:j]
+        k = j
+
+
+def repeated(ws: Workspace, docs: DataFrame, unit: str, length: int, gram: int, match: Callable[[Workspace, DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(texts, spans): the texts that have a repeated anchor (key, text), and their covered spans (key, lo, hi) in symbols.
+
+    docs: _id, _h, text; spans may overlap and come more than once. match: gets texts with
+    the rims in them (key, text, rims array<struct<at, last, anchor, alone>>) and returns the
+    spans (key, lo, hi) of windows of runs that occur once (alone) that equal another one.
     A record that comes twice gives runs that occur twice, so its own rims never count alone.
     """
     found = ws.save(runs(docs, unit, length, gram))
-    sorts = ws.save(found.groupBy("anchor", "sort").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "at", "last")).alias("one")))
-    anchors = ws.save(sorts.groupBy("anchor").agg(F.count("*").alias("sorts")).filter("sorts > 1").select("anchor", F.lit(1).alias("mixed")))
-    marked = ws.save(sorts.join(anchors, "anchor", "left").filter("n > 1 OR mixed = 1").select("anchor", "sort", (F.col("n") == 1).alias("alone"), F.coalesce("mixed", F.lit(0)).alias("mixed"), "one"))
-    ws.drop(sorts, anchors)
-    known = ws.save(marked.select("anchor", "sort", "alone", "mixed", F.struct("one._id", "one._h", "one.at").alias("one")))
-    ws.drop(marked)
+    often = ws.save(found.groupBy("anchor").count().filter("count > 1").select("anchor"))
+    again = ws.save(found.join(often, "anchor"))
+    ws.drop(found, often)
+    sorts = ws.save(again.groupBy("anchor", "sort").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "at")).alias("one")))
+    mixed = ws.save(sorts.groupBy("anchor").agg(F.count("*").alias("sorts")).filter("sorts > 1").select("anchor", F.lit(1).alias("mixed")))
+    known = ws.save(sorts.join(mixed, "anchor", "left").select("anchor", "sort", (F.col("n") == 1).alias("alone"), F.coalesce("mixed", F.lit(0)).alias("mixed"), "one").filter("NOT alone OR mixed = 1"))
+    ws.drop(sorts, mixed)
     places = ws.save(
-        found.join(known, ["anchor", "sort"])
-        .select(*KEY, "at", "last", F.col("alone").cast("int").alias("alone"), (~F.col("alone")).alias("all"), ((F.col("mixed") == 1) & (F.col("alone") | (F.col("one") == F.struct(*KEY, "at")))).alias("rim"))
+        again.join(known, ["anchor", "sort"])
+        .select(*KEY, "at", "last", "place", F.col("alone").cast("int").alias("alone"), (~F.col("alone")).alias("all"), ((F.col("mixed") == 1) & (F.col("alone") | (F.col("one") == F.struct(*KEY, "at")))).alias("rim"))
         .filter("all OR rim")
     )
-    ws.drop(found, known)
+    ws.drop(again, known)
     # By text: bounded by the text's own length.
-    by_text = places.groupBy(*KEY).agg(F.collect_set(F.when(F.col("rim"), F.struct("at", "last", "alone"))).alias("rims"))
+    by_text = places.groupBy(*KEY).agg(F.collect_set(F.when(F.col("rim"), F.struct("at", "last", F.col("place").alias("anchor"), "alone"))).alias("rims"))
     texts = ws.save(docs.join(by_text, KEY))
-    rims = ws.save(match(ws, rim_windows(texts.filter(F.size("rims") > 0).select(*KEY, "text", "rims"), unit, length, steps)))
-    spans = places.filter("all").select(*KEY, F.col("at").alias("lo"), (F.col("last") + length).alias("hi")).union(rims.select(*KEY, "at", F.col("at") + length))
-    return texts.select(*KEY, "text"), spans
+    rims = ws.save(match(ws, texts.filter(F.size("rims") > 0)))
+    return texts.select(*KEY, "text"), places.filter("all").select(*KEY, F.col("at").alias("lo"), (F.col("last") + length).alias("hi")).union(rims)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
