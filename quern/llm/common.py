@@ -63,6 +63,8 @@ class Workspace:
         """
         for t in tables:
             self._fs().delete(self._path(t._quern_path), True)
+        if self.spark.sparkContext.master.startswith("local["):
+            return
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import windows
-from quern.llm.common import text_bytes, tuned
+from quern.llm.common import row_key, text_bytes, tuned
 
 #: Words of benchmark text that one run of the scan takes along: some 50 MB in a task.
 RUN_WORDS = 1_000_000
@@ -59,7 +59,7 @@ def embed(rows: np.ndarray, size: np.ndarray, walk: int) -> np.ndarray:
         inside = at < size
         symbol = np.where(inside, rows[every, np.minimum(at, width - 1)], np.uint64(0))
         out[:, j] = symbol
-        at += inside & (windows.mix(symbol + np.uint64(0x9E3779B97F4A7C15) * np.uint64(j * WALKS + walk + 1)) & np.uint64(1)).astype(bool)
+        at += inside & (windows.mix(symbol + np.uint64(0x9E3779B97F4A7C15 * (j * WALKS + walk + 1) % 2**64)) & np.uint64(1)).astype(bool)
     return out
 
 
@@ -189,6 +189,15 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs that hold no item, with all their columns. A null text holds none; a row with a null id is judged like any other."""
+    key = row_key(id_col, text_col)
+    keyed = docs.select(F.xxhash64(*key).alias("_key"), F.col(text_col).alias("_text"))
+    found = matches(keyed, items, "_key", "_text", **how).select("_key").distinct()
+    rows = docs.select(F.xxhash64(*key).alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(found, "_key", "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def _scan(plain: DataFrame, shared) -> DataFrame:
     kinds = [pa.int64()] * 2 + [pa.int32()] * 3
 

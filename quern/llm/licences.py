@@ -138,7 +138,7 @@ def scan_text(found: ahocorasick.Automaton, text: bytes) -> tuple:
                 labels.add(label)
                 score = min(score, worth(label))
             else:
-                raw = raw or [m.end() for m in _WORD.finditer(text)]
+                raw = raw or [m.end() for m in _WORD.finditer(text.lower())]
                 line_end = text.find(b"\n", after := raw[word + n - 1])
                 rest = text[after : line_end if line_end >= 0 else len(text)].decode("utf-8", "replace")
                 if got := evaluate(rest.lstrip(" \t:=\"'")):

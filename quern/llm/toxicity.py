@@ -107,7 +107,7 @@ def fit(rows: pd.DataFrame, prior: float, most: int = 1000, rounds: int = 200, r
     text = np.repeat(np.arange(n), [len(x) for x in rows["times"]])
     value = weigh(np.concatenate(list(rows["times"])))
     value = (value / np.sqrt(np.maximum(np.bincount(text, value * value * _KINDS, n), 1e-9))[text]).repeat(_KINDS)
-    text, bucket = text.repeat(_KINDS), np.concatenate(list(rows["buckets"]))
+    text, bucket = text.repeat(_KINDS), np.concatenate(list(rows["buckets"])).astype(np.int64)  # a list of empty arrays has no kind of its own
     used = telling(bucket, text, positive, most)
     at = np.full(BUCKETS, -1)
     at[used] = np.arange(len(used))
