@@ -28,7 +28,7 @@ def folder(spark, tmp_path_factory):
     full = [(i, t, "en", "s", None if t is None else len(t)) for i, t in docs]
     spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
-    labels = [(i, 1, int(i % 10 == 0)) for i in range(300) if i % 3 == 0 or i % 10 == 0]
+    labels = [(i, 1, int(i % 10 == 0)) for i in range(300) if i % 3 == 0]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     return at
 
