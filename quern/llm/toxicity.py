@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import windows
-from quern.llm.common import text_bytes, tuned
+from quern.llm.common import Workspace, text_bytes
 
 #: Hashed features, and the most texts of either kind that fitting takes: both bound what the driver holds.
 BUCKETS, POSITIVES, UNLABELLED = 1 << 18, 3000, 6000
@@ -80,44 +80,32 @@ class Model:
         return total / np.sqrt(np.maximum(norm, 1e-9)) + self.bias
 
 
-def telling(bucket: np.ndarray, text: np.ndarray, positive: np.ndarray, most: int, least: int = 5) -> np.ndarray:
-    """Sorted buckets whose share of texts differs most between the two kinds, by a two-sample z; each in ``least`` toxic texts or more."""
-    n = len(positive)
-    pair = np.unique(bucket.astype(np.int64) * n + text)
-    feature, toxic = pair // n, positive[pair % n]
-    p, u = (np.bincount(feature[x], minlength=BUCKETS) for x in (toxic, ~toxic))
-    p_n, u_n = positive.sum(), (~positive).sum()
+def telling(p: np.ndarray, u: np.ndarray, p_n: int, u_n: int, most: int, least: int = 5) -> np.ndarray:
+    """Sorted buckets whose share of texts differs most between the two kinds, by a two-sample z; each in ``least`` toxic texts or more.
+
+    p, u: of the p_n toxic and u_n unlabelled texts, how many hold each bucket.
+    """
     share = (p + u) / (p_n + u_n)
     z = np.abs(p / p_n - u / u_n) / np.sqrt(np.maximum(share * (1 - share) * (1 / p_n + 1 / u_n), 1e-12))
     z[p < least] = 0
     return np.sort(np.argsort(-z, kind="stable")[:most])
 
 
-def fit(rows: pd.DataFrame, prior: float, most: int = 1000, rounds: int = 200, rate: float = 0.1, shrink: float = 1e-4) -> Model:
-    """rows: positive (bool), and for each text the arrays times and buckets (flat, _KINDS each). Adam on the whole sample.
+def blank(prior: float) -> Model:
+    """Knows the prior alone."""
+    return Model(np.zeros(BUCKETS, np.float32), float(np.log(max(prior, 1e-3) / max(1 - prior, 1e-3))), prior)
 
-    Without both kinds of text, or a prior inside (0, 1), the model knows the prior alone.
-    """
-    bias = float(np.log(max(prior, 1e-3) / max(1 - prior, 1e-3)))
-    weights = np.zeros(BUCKETS, np.float32)
-    positive = rows["positive"].to_numpy(bool)
-    if not positive.any() or positive.all() or not 0 < prior < 1:
-        return Model(weights, bias, prior)
-    n = len(rows)
-    text = np.repeat(np.arange(n), [len(x) for x in rows["times"]])
-    value = weigh(np.concatenate(list(rows["times"])))
-    value = (value / np.sqrt(np.maximum(np.bincount(text, value * value * _KINDS, n), 1e-9))[text]).repeat(_KINDS)
-    text, bucket = text.repeat(_KINDS), np.concatenate(list(rows["buckets"])).astype(np.int64)  # a list of empty arrays has no kind of its own
-    used = telling(bucket, text, positive, most)
-    at = np.full(BUCKETS, -1)
-    at[used] = np.arange(len(used))
-    keep = at[bucket] >= 0
-    text, bucket, value = text[keep], at[bucket[keep]], SCALE * value[keep]
+
+def fit(rows: pd.DataFrame, used: np.ndarray, prior: float, rounds: int = 200, rate: float = 0.1, shrink: float = 1e-4) -> Model:
+    """rows: positive (bool), and for each text the arrays at (places in used) and value. Adam on the whole sample."""
+    model, positive, n = blank(prior), rows["positive"].to_numpy(bool), len(rows)
+    text = np.repeat(np.arange(n), [len(x) for x in rows["at"]])
+    at, value = np.concatenate(list(rows["at"])).astype(np.int64), np.concatenate(list(rows["value"])).astype(np.float64)
     p_n, u_n = positive.sum(), (~positive).sum()
-    w, b = np.zeros(len(used)), bias
+    w, b = np.zeros(len(used)), model.bias
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for k in range(1, rounds + 1):
-        g = np.bincount(text, w[bucket] * value, n) + b
+        g = np.bincount(text, w[at] * value, n) + b
         called = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
         risk = np.logaddexp(0, g)  # of calling a text clean
         slope = np.where(positive, -prior * called / p_n, called / u_n)
@@ -125,43 +113,70 @@ def fit(rows: pd.DataFrame, prior: float, most: int = 1000, rounds: int = 200, r
             slope = -slope
         else:
             slope += np.where(positive, -prior * (1 - called) / p_n, 0.0)
-        grad = np.append(np.bincount(bucket, slope[text] * value, len(used)) + shrink * w, slope.sum())
+        grad = np.append(np.bincount(at, slope[text] * value, len(used)) + shrink * w, slope.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         step = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    weights[used] = SCALE * w
-    return Model(weights, float(b), prior)
+    model.weights[used] = SCALE * w
+    model.bias = float(b)
+    return model
 
 
 def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED, most: int = 1000) -> Model:
     """Fits on at most so many toxic and unlabelled texts outside the held-out fold, those of least hash.
 
     Labels of 0 serve for one number, the share of toxic texts; no text is taken as clean.
+    Spark counts features and picks the ``most`` telling ones; only those of the sample go to
+    the driver. Without both kinds of text, or a prior inside (0, 1), the model knows the
+    prior alone.
     """
-    spark = tuned(docs.sparkSession)
+    ws = Workspace(docs.sparkSession, "toxicity")
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).alias("_toxic"))
-    prior = known.agg(F.avg((F.col("_toxic") == 1).cast("double"))).first()[0]
+    prior = known.agg(F.avg((F.col("_toxic") == 1).cast("double"))).first()[0] or 0.0
     rank = F.xxhash64(F.col(id_col), F.lit(11))
     toxic = known.filter("_toxic = 1").select(id_col, F.lit(True).alias("positive")).orderBy(rank, id_col).limit(positives)
     ids = docs.filter(~held_out(id_col)).select(id_col)
     other = ids.join(labels.select(id_col), id_col, "left_anti").select(id_col, F.lit(False).alias("positive")).orderBy(rank, id_col).limit(unlabelled)
-    chosen = spark.createDataFrame(toxic.union(other).toPandas(), f"{id_col} long, positive boolean")  # at most positives + unlabelled ids
+    chosen = ws.save(toxic.union(other))  # at most positives + unlabelled ids
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = [([], [])] * b.num_rows
-            for text, times, buckets in features(b.column(1)):
+            for text, times, buckets in features(b.column(2)):
                 cuts = np.flatnonzero(np.diff(text)) + 1
                 for k, x, y in zip(text[np.concatenate(([0], cuts))] if len(text) else [], np.split(times, cuts), np.split(buckets, cuts), strict=False):
                     rows[k] = (x, y.ravel())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in rows], pa.list_(pa.int32())), pa.array([y for _, y in rows], pa.list_(pa.int32()))], ["positive", "times", "buckets"])
-
-    sample = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select("positive", text_col).mapInArrow(read, "positive boolean, times array<int>, buckets array<int>").toPandas()
-    return fit(sample, prior if prior is not None else 0.0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in rows], pa.list_(pa.int32())), pa.array([y for _, y in rows], pa.list_(pa.int32()))], ["id", "positive", "times", "buckets"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = texts.join(F.broadcast(chosen.select(F.col(id_col).cast("long").alias("id"), "positive")), "id").select("id", "positive", "text")
+    sample = ws.save(texts.mapInArrow(read, "id long, positive boolean, times array<int>, buckets array<int>"))
+    p_n, u_n = sample.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
+    if not (p_n and u_n and 0 < prior < 1):
+        return blank(prior)
+    held = sample.select("positive", F.explode(F.array_distinct("buckets")).alias("bucket")).groupBy("bucket").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u")).toPandas()  # at most BUCKETS rows
+    p, u = (np.bincount(held["bucket"], held[c], BUCKETS) for c in ("p", "u"))
+    used = telling(p, u, p_n, u_n, most)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = np.full(BUCKETS, -1)
+        at[used] = np.arange(len(used))
+        for b in batches:
+            places, values = [], []
+            for times, buckets in zip(b.column(2), b.column(3), strict=True):
+                own = weigh(times.values.to_numpy())
+                spot = at[buckets.values.to_numpy()]
+                value = (SCALE * own / np.sqrt(max((own * own).sum() * _KINDS, 1e-9))).repeat(_KINDS)
+                places.append(spot[spot >= 0])
+                values.append(value[spot >= 0])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], ["id", "positive", "at", "value"])
+
+    rows = sample.mapInArrow(pick, "id long, positive boolean, at array<int>, value array<double>").toPandas()
+    return fit(rows.sort_values(["id", "positive"], kind="stable"), used, prior)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
