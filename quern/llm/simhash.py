@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pandas as pd
@@ -69,18 +68,12 @@ def blocks_of(n: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def agreeing(n: int, budget: int) -> int:
-    """How many blocks a subtrie's path takes, 1 or 2: whichever costs less for n fingerprints. Both find all links.
-
-    More blocks mean more copies of each fingerprint (about 1 microsecond each) and fewer
-    pairs that meet (about 15 ns each).
-    """
-
-    def cost(a: int) -> float:
-        ways = comb(budget + a, a)
-        return ways * (n * 1e-6 + n * n / 2 / 2 ** (BITS * a / (budget + a)) * 15e-9)
-
-    return min((1, 2), key=cost)
+def agreeing(budget: int) -> int:
+    """How many blocks a subtrie's path takes: as many as give it 12 bits. Any number finds all links; more bits mean more copies and fewer pairs that meet."""
+    a = 1
+    while BITS * a < 12 * (budget + a):
+        a += 1
+    return a
 
 
 def _merge(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -182,7 +175,7 @@ def link_forest(ws: Workspace, fps: DataFrame, budget: int = 4) -> DataFrame:
     """
     spark = ws.spark
     n = fps.count()
-    a = agreeing(n, budget)
+    a = agreeing(budget)
     blocks = blocks_of(budget + a)
     ways = list(combinations(range(len(blocks)), a))
     total = n * len(ways)

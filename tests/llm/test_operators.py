@@ -111,7 +111,7 @@ def test_two_blocks_find_the_same_links(spark, monkeypatch):
     fps = spark.createDataFrame([(int(x) ^ (int(y) << 3),) for x in r.integers(0, 1 << 62, 20, np.int64) for y in range(9)], "fp long").distinct().cache()
     out = []
     for a in (1, 2):
-        monkeypatch.setattr(simhash, "agreeing", lambda n, budget, a=a: a)
+        monkeypatch.setattr(simhash, "agreeing", lambda budget, a=a: a)
         ws = Workspace(spark, "test")
         out.append(got(components.components(ws, simhash.link_forest(ws, fps, 6))))
     assert out[0] == out[1] and out[0]
