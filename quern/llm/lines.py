@@ -23,6 +23,8 @@ from quern.llm import windows
 from quern.llm.common import Workspace, row_key, text_bytes
 
 _FIELD = np.uint64(0x5BF0A8B1)
+#: So many keys of texts (two longs each) are broadcast to pick these texts before a shuffle; of more keys none are.
+KEYS = 1_000_000
 
 
 def parsed(column: pa.Array, depth: int) -> tuple[np.ndarray, ...]:
@@ -92,9 +94,11 @@ def boilerplate(ws: Workspace, keyed: DataFrame, depth: int, least: int, constan
     counted = ws.save(own.groupBy("leaf", "line").agg(F.count("*").alias("texts"), F.min(F.struct("_id", "_h")).alias("one")))
     ws.drop(own)
     known = ws.save(counted.join(popular, "leaf"))
-    wanted = known.groupBy(F.col("one._id").alias("_id"), F.col("one._h").alias("_h")).agg(F.collect_set(F.struct("line", "texts")).alias("wanted"))
+    wanted = ws.save(known.groupBy(F.col("one._id").alias("_id"), F.col("one._h").alias("_h")).agg(F.collect_set(F.struct("line", "texts")).alias("wanted")))
+    # Few texts are wanted; the others need not be shuffled to meet nothing.
+    picked = keyed.join(F.broadcast(wanted.select("_id", "_h")), ["_id", "_h"], "left_semi") if wanted.count() <= KEYS else keyed
     # One text stands for each line; a record that comes twice gives its tokens twice, hence the distinct.
-    spread = ws.save(places(keyed.join(wanted, ["_id", "_h"]).select("text", "wanted"), depth).distinct())
+    spread = ws.save(places(picked.join(wanted, ["_id", "_h"]).select("text", "wanted"), depth).distinct())
     fixed = ws.save(spread.groupBy("leaf", "place", "token").agg(F.sum("texts").alias("n")).filter((F.col("n") >= least) & (F.col("token") != int(_FIELD))).select("leaf", "place", "token", F.lit(1).alias("fixed")))
     shaped = spread.join(fixed, ["leaf", "place", "token"], "left").withColumn("token", F.when(F.col("fixed") == 1, F.col("token")))
     shaped = ws.save(

@@ -303,3 +303,12 @@ def test_oracle(spark, name):
     from tests.oracle import agree
 
     agree(spark, queries.QUERIES[name], queries.ORACLE[name])
+
+
+def test_lines_same_rows_without_a_broadcast_of_keys(spark, monkeypatch):
+    docs = frame(spark, [(i, f"head {i} of page\nsame line here\n{'abc' * (i % 3)} rest") for i in range(12)] + [(None, None), (3, "")])
+    rows = lambda: sorted(map(str, lines.drop_lines(docs).select("doc_id", "text", "n_dropped").collect()))
+    few = rows()
+    monkeypatch.setattr(lines, "KEYS", -1)
+    assert rows() == few
+    assert any("n_dropped=2" in r or "n_dropped=1" in r for r in few)
