@@ -224,23 +224,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(by_fp, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Minima of a text's shingle hashes that links are checked by: BANDS groups of ROWS.
+#: Minima of a text's shingle hashes that candidates are found by: BANDS groups of ROWS.
 BANDS, ROWS = 8, 3
+#: Pairs with one text that stay on one key, members of a group that become hubs after the first, and keys that are broadcast.
+HOT, HUBS, KEYS = 512, 16, 1_000_000
 _MUL, _ADD = np.random.default_rng(77).integers(1, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def _runs(names: windows.Names, start: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of each text, and their number in it, one at least."""
+    n = np.maximum(size - width + 1, 1)
+    at = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return names.at(at, np.repeat(np.minimum(size, width), n)), n
+
+
 def sketches(keyed: DataFrame, width: int, shingle: int) -> DataFrame:
     """keyed: _id, _h, text. (_id, _h, fp, bands): a fingerprint of ``width`` words, and hashed minima of shingles of ``shingle`` words.
 
     Texts with fewer words than a shingle are one shingle.
     """
 
-    def runs(names: windows.Names, start: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all runs of each text, and their number in it, one at least."""
-        n = np.maximum(size - width + 1, 1)
-        at = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return names.at(at, np.repeat(np.minimum(size, width), n)), n
-
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = text_bytes(b.column(2))
@@ -252,14 +255,14 @@ def sketches(keyed: DataFrame, width: int, shingle: int) -> DataFrame:
                 text, start, stop = (np.array(x) for x in zip(*part, strict=True))
                 names = windows.Names(np.concatenate([words[a:b] for _, a, b in part]))
                 begin, size = np.concatenate(([0], np.cumsum(stop - start)[:-1])), stop - start
-                hashes, times = runs(names, begin, size, width)
+                hashes, times = _runs(names, begin, size, width)
                 ends = np.cumsum(times)
                 for row, lo, hi in zip(text.tolist(), (ends - times).tolist(), ends.tolist(), strict=True):
                     for k in range(lo, hi, 1 << 15):
                         own = hashes[k : min(hi, k + (1 << 15))]
                         votes[row] += np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
                     total[row] += hi - lo
-                hashes, times = runs(names, begin, size, shingle)
+                hashes, times = _runs(names, begin, size, shingle)
                 first = np.cumsum(times) - times
                 for k in range(BANDS * ROWS):
                     got = np.minimum.reduceat(windows.mix(hashes * _MUL[k] + _ADD[k]), first)
@@ -277,29 +280,120 @@ def sketches(keyed: DataFrame, width: int, shingle: int) -> DataFrame:
     return keyed.mapInArrow(scan, "_id long, _h long, fp long, bands array<long>")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, budget: int = 8, shingle: int = 5) -> DataFrame:
+def shingle_sets(keyed: DataFrame, shingle: int) -> DataFrame:
+    """keyed: _id, _h, text. (_h, n, s): the different shingles of each row's text by their hashes, and how many there are."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = text_bytes(b.column(2))
+            _, _, words, count = windows.words(windows.lowered(data), offsets)
+            own: list[list[np.ndarray]] = [[] for _ in range(b.num_rows)]
+            for part in windows.pieces(count, shingle - 1):  # a longer text comes in several
+                text, start, stop = (np.array(x) for x in zip(*part, strict=True))
+                names = windows.Names(np.concatenate([words[a:b] for _, a, b in part]))
+                begin, size = np.concatenate(([0], np.cumsum(stop - start)[:-1])), stop - start
+                hashes, times = _runs(names, begin, size, shingle)
+                for row, h in zip(text.tolist(), np.split(hashes, np.cumsum(times)[:-1]), strict=True):
+                    own[row].append(h)
+            sets = [np.unique(np.concatenate(x)) if x else np.zeros(0, np.uint64) for x in own]
+            n = np.array([len(x) for x in sets], np.int32)
+            flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64)
+            s = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n), s], ["_h", "n", "s"])
+
+    return keyed.mapInArrow(scan, "_h long, n int, s array<long>")
+
+
+def alike(ws: Workspace, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``similarity`` or more, exactly. A text that is b of many pairs is dealt over several keys."""
+    hot = ws.save(pairs.groupBy("b").count().filter(F.col("count") > HOT).select("b", F.ceil(F.col("count") / HOT).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    left = pairs.join(F.broadcast(hot), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), parts).cast("int").alias("part"))
+    right = sets.select(F.col("_h").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")).join(F.broadcast(hot), "b", "left")
+    right = right.select("b", "nb", "sb", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    both = left.join(sets.select(F.col("_h").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), "a").join(right, ["b", "part"])
+    met = both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("met"))
+    return met.filter(F.col("met") + 1e-9 >= similarity * (F.col("na") + F.col("nb") - F.col("met"))).select("a", "b")
+
+
+def near_links(ws: Workspace, groups: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) of the texts that links of ``similarity`` or more join, each of them checked.
+
+    groups: (g, _h), texts that share a candidate key; pairs: (a, b), other candidates. In each
+    group a hub is compared with every member; then more and more of the members that are in
+    no hub's component become hubs, until none is left. So a group of near copies costs one
+    comparison a member, and a member that is unlike the first hub still meets all others.
+    """
+    size = F.col("size")
+    groups = ws.save(groups.join(sets.select("_h", "n"), "_h"))
+    ends = groups.groupBy("g").agg(F.count("*").alias("size"), F.min(F.struct("_h", "n")).alias("hub")).filter("size > 1")
+    hubs = ws.save(ends.select("g", F.col("hub._h").alias("b"), F.col("hub.n").alias("nb")))
+    groups = ws.save(groups.join(hubs.select("g"), "g", "left_semi"))
+    left = groups
+    joined = None
+    links, many = [], HUBS
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    while True:
+        met = groups.join(hubs, "g").filter((F.col("_h") != F.col("b")) & (F.least("n", "nb") + 1e-9 >= similarity * F.greatest("n", "nb")))
+        met = met.select(F.greatest("_h", "b").alias("a"), F.least("_h", "b").alias("b")).union(pairs).distinct()
+        if joined is not None:  # what is joined already needs no comparison
+            root = joined.select("node", "root")
+            met = met.join(root.toDF("a", "ra"), "a", "left").join(root.toDF("b", "rb"), "b", "left")
+            met = met.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+        links.append(ws.save(alike(ws, ws.save(met), sets, similarity)))
+        found = links[0]
+        for more in links[1:]:
+            found = found.union(more)
+        joined = ws.save(components(ws, found))
+        pairs = pairs.limit(0)
+        # Members that are in the component of no hub of their group so far.
+        name = lambda t, c: t.join(joined.withColumnRenamed("node", c), c, "left").withColumn("root", F.coalesce("root", c))
+        taken = name(hubs.select("g", "b"), "b").select("g", "root").distinct()
+        left = ws.save(name(left.select("g", "_h", "n"), "_h").join(taken, ["g", "root"], "left_anti").select("g", "_h", "n"))
+        counted = ws.save(left.groupBy("g").agg(F.count("*").alias("size"), F.min("_h").alias("least")))
+        if counted.isEmpty():
+            return joined
+        step = F.ceil(size / many)
+        chosen = left.join(counted, "g").filter((F.pmod(F.xxhash64("_h", F.lit(many)), step) == 0) | (F.col("_h") == F.col("least")))
+        hubs = ws.save(chosen.select("g", F.col("_h").alias("b"), F.col("n").alias("nb")))
+        groups = groups.join(counted.select("g"), "g", "left_semi")
+        many *= 2
+
+
+def near_classes(ws: Workspace, keyed: DataFrame, width: int = 2, budget: int = 8, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(_h, _id, root): each different text with its least id, and the name of its class of near copies. keyed: _id, _h, text."""
+    marked = ws.save(sketches(keyed, width, shingle))
+    texts = ws.save(marked.groupBy("_h").agg(F.min("_id").alias("_id"), F.min("fp").alias("fp"), F.min("bands").alias("bands")))
+    ws.drop(marked)
+    ends = ws.save(texts.groupBy("fp").agg(F.min("_h").alias("_h")))
+    forest = link_forest(ws, ends.select("fp"), budget).distinct()
+    pairs = ws.save(forest.join(ends.toDF("a", "ha"), "a").join(ends.toDF("b", "hb"), "b").select(F.col("ha").alias("a"), F.col("hb").alias("b")))
+    by_band = texts.select("_h", F.posexplode("bands").alias("band", "least")).select(F.xxhash64("band", "least").alias("g"), "_h")
+    every = by_band.union(texts.select(F.xxhash64(F.lit("fp"), "fp").alias("g"), "_h"))
+    shared = ws.save(every.groupBy("g").count().filter("count > 1").select("g"))
+    groups = ws.save(every.join(shared, "g"))
+    picked = ws.save(groups.select("_h").union(pairs.select("a")).union(pairs.select("b")).distinct().join(texts.select("_h", "_id"), "_h"))
+    few = F.broadcast(picked) if picked.count() <= KEYS else picked
+    sets = ws.save(shingle_sets(keyed.join(few, ["_id", "_h"], "left_semi").select("_id", "_h", "text"), shingle).dropDuplicates(["_h"]))
+    joined = near_links(ws, groups, pairs, sets, similarity)
+    return texts.select("_h", "_id").join(joined.withColumnRenamed("node", "_h"), "_h", "left").withColumn("root", F.coalesce("root", "_h"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, budget: int = 8, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs that stay when of each group of copies and near copies one does: that of the least (id, hash of the text).
 
-    Candidates are texts whose fingerprints are within ``budget`` bits, linked by the trie
-    self-join. Fingerprints of pairs of words change least under edits: at 8 bits they hold
-    94 in 100 pairs of a shingle similarity of 0.8 or more. Among candidates, texts link that
-    agree on all minima of a band, on shingles of ``shingle`` words with A-Z lower-cased;
-    a pair of similarity 0.8 does so in 997 of 1000 cases. Null and wordless texts are one
-    group. A null id counts as the least. Rows that repeat are copies of each other. All
-    columns pass through, whatever their names. An empty table gives an empty result.
+    Texts link if their sets of shingles of ``shingle`` words, A-Z lower-cased, have a Jaccard
+    similarity of ``similarity`` or more; every link is checked on the whole sets. Candidates
+    are texts whose fingerprints are within ``budget`` bits, linked by the trie self-join, and,
+    whatever their fingerprints, texts that agree on all minima of a band: a pair of similarity
+    0.8 does so in 997 of 1000 cases. Null and wordless texts are one group. A null id counts
+    as the least. Rows that repeat are copies of each other. All columns pass through,
+    whatever their names. An empty table gives an empty result.
     """
     ws = Workspace(docs.sparkSession, "copies")
     key = row_key(id_col, text_col)
     keyed = docs.select(*key, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    marked = ws.save(sketches(keyed, width, shingle))
-    texts = ws.save(marked.groupBy("_h").agg(F.min("_id").alias("_id"), F.min("fp").alias("fp"), F.min("bands").alias("bands")))
-    ws.drop(marked)
-    found = ws.save(components(ws, link_forest(ws, texts.select("fp").distinct(), budget)))
-    placed = ws.save(texts.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")).select("_h", "root", F.posexplode("bands").alias("band", "least")))
-    first = ws.save(placed.groupBy("root", "band", "least").agg(F.min("_h").alias("other"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    links = placed.join(first, ["root", "band", "least"]).select("_h", "other").filter("_h <> other")
-    joined = ws.save(components(ws, ws.save(links.distinct())))
-    grouped = texts.select("_h", "_id").join(joined.withColumnRenamed("node", "_h"), "_h", "left").withColumn("root", F.coalesce("root", "_h"))
+    grouped = near_classes(ws, keyed, width, budget, shingle, similarity)
     stay = ws.save(grouped.groupBy("root").agg(F.min(F.struct("_id", "_h")).alias("one")).select("one.*"))
     rows = docs.select(*key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return rows.join(stay, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"]).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

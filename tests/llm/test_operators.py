@@ -134,6 +134,21 @@ def test_one_of_each(spark, docs, empty):
     assert got(simhash.one_of_each(empty)) == []
 
 
+def test_one_of_each_asks_for_the_similarity(spark):
+    r = random.Random(12)
+    word = lambda: f"w{r.randint(0, 10**6)}"
+    sets = lambda t: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))}
+    rows = []
+    for k in range(30):
+        base = [word() for _ in range(200)]
+        rows.append((k * 10, " ".join(base)))
+        for j, cut in enumerate((194, 185, 165, 150), 1):  # 0.94, 0.86, 0.69, 0.58
+            rows.append((k * 10 + j, " ".join(base[:cut] + [word() for _ in range(200 - cut)])))
+    links = [(a, b) for (a, x), (b, y) in combinations(rows, 2) if len(sets(x) & sets(y)) >= 0.8 * len(sets(x) | sets(y))]
+    want = set(brute.components([i for i, _ in rows], links).values())
+    assert {x["doc_id"] for x in simhash.one_of_each(frame(spark, rows)).collect()} == want
+
+
 def test_vectors(spark):
     r = np.random.default_rng(0)
     base = r.normal(size=(60, 16))
