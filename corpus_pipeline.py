@@ -25,8 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go; a document made of little else is left to the next stage. n_chars follows the text."""
-    done = lines.drop_lines(docs, most=0.5)
+    """Lines of recurring templates go, whatever their share of a document; near copies count as one text. n_chars follows the text."""
+    done = lines.drop_lines(docs, copies=False)
     n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return done.withColumn("n_chars", n_chars).select(*docs.columns)
 

@@ -6,7 +6,8 @@ few lines have at its place becomes a variable field too, and what is left is th
 template. Templates that recur in enough different texts are boilerplate, and their lines go.
 
 Texts are counted by content: a hundred copies of one text are one text, so its lines are
-not boilerplate on that account.
+not boilerplate on that account. On demand near copies are one text too: a text of little but
+boilerplate loses its lines, a text with four edited copies doesn't.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import windows
 from quern.llm.common import Workspace, row_key, text_bytes
+from quern.llm.simhash import near_classes
 
 _FIELD = np.uint64(0x5BF0A8B1)
 #: So many keys of texts (two longs each) are broadcast to pick these texts before a shuffle; of more keys none are.
@@ -83,16 +85,16 @@ def places(docs: DataFrame, depth: int) -> DataFrame:
     return docs.mapInArrow(scan, ddl)
 
 
-def boilerplate(ws: Workspace, keyed: DataFrame, depth: int, least: int, constant: float) -> tuple[DataFrame, DataFrame]:
-    """(found, dropped): lines of texts (key, leaf, line), and those lines (leaf, line) whose template recurs in ``least`` texts.
+def boilerplate(ws: Workspace, keyed: DataFrame, found: DataFrame, depth: int, least: int, constant: float, classes: DataFrame | None = None) -> DataFrame:
+    """The lines (leaf, line) of found whose template recurs in ``least`` texts.
 
-    keyed: _id, _h, text.
+    keyed: _id, _h, text; found: their lines. classes: _h, root; texts of one root count once.
     """
-    found = ws.save(lines(keyed, depth))
-    own = ws.save(found.groupBy("leaf", "line", "_h").agg(F.min("_id").alias("_id")))
-    popular = ws.save(own.select("leaf", "_h").distinct().groupBy("leaf").count().filter(F.col("count") >= least).select("leaf"))
-    counted = ws.save(own.groupBy("leaf", "line").agg(F.count("*").alias("texts"), F.min(F.struct("_id", "_h")).alias("one")))
-    ws.drop(own)
+    own = found.groupBy("leaf", "line", "_h").agg(F.min("_id").alias("_id"))
+    own = ws.save(own.withColumn("root", F.col("_h")) if classes is None else own.join(classes.select("_h", "root"), "_h", "left").withColumn("root", F.coalesce("root", "_h")))
+    popular = ws.save(own.select("leaf", "root").distinct().groupBy("leaf").count().filter(F.col("count") >= least).select("leaf"))
+    by_root = own.groupBy("leaf", "line", "root").agg(F.min(F.struct("_id", "_h")).alias("one"))
+    counted = ws.save(by_root.groupBy("leaf", "line").agg(F.count("*").alias("texts"), F.min("one").alias("one")))
     known = ws.save(counted.join(popular, "leaf"))
     wanted = ws.save(known.groupBy(F.col("one._id").alias("_id"), F.col("one._h").alias("_h")).agg(F.collect_set(F.struct("line", "texts")).alias("wanted")))
     # Few texts are wanted; the others need not be shuffled to meet nothing.
@@ -104,11 +106,16 @@ def boilerplate(ws: Workspace, keyed: DataFrame, depth: int, least: int, constan
     shaped = ws.save(
         shaped.groupBy("leaf", "line", "texts").agg(F.bit_xor(F.xxhash64("place", F.coalesce("token", F.lit(0)))).alias("template"), F.count("fixed").alias("constants"), F.count("*").alias("n"))
     )
-    recur = ws.save(shaped.filter(F.col("constants") >= F.lit(constant) * F.col("n")).groupBy("leaf", "template").agg(F.sum("texts").alias("total")).filter(F.col("total") >= least).select("leaf", "template"))
+    recur = shaped.filter(F.col("constants") >= F.lit(constant) * F.col("n")).groupBy("leaf", "template").agg(F.sum("texts").alias("total")).filter(F.col("total") >= least).select("leaf", "template")
+    if classes is not None:  # copies that differ in a line have it once
+        several = shaped.join(recur, ["leaf", "template"]).select("leaf", "line", "template").join(own.select("leaf", "line", "root"), ["leaf", "line"])
+        recur = several.select("leaf", "template", "root").distinct().groupBy("leaf", "template").count().filter(F.col("count") >= least).select("leaf", "template")
+    recur = ws.save(recur)
     by_template = shaped.filter(F.col("constants") >= F.lit(constant) * F.col("n")).join(recur, ["leaf", "template"]).select("leaf", "line")
     # A line that recurs as it stands needs no constants.
     dropped = ws.save(by_template.union(known.filter(F.col("texts") >= least).select("leaf", "line")).distinct())
-    return found, dropped
+    ws.drop(own)
+    return dropped
 
 
 def cleaner(depth: int, most: float):
@@ -137,21 +144,28 @@ def cleaner(depth: int, most: float):
     return clean
 
 
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least: int = 5, constant: float = 0.6, most: float = 1.0) -> DataFrame:
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least: int = 5, constant: float = 0.6, most: float = 1.0, copies: bool = True) -> DataFrame:
     """The rows of docs with all their columns, text_col without boilerplate lines, and n_dropped, their number, at the end.
 
     Lines end at line feeds and tokens at ASCII white space. A template is boilerplate if its
     lines come in ``least`` different texts or more and ``constant`` or more of its tokens are
     not variable fields; a line that recurs as it stands, fields aside, needs no constants.
     Lines without tokens stay. With ``most`` under 1, a text of which more than that share of tokens
-    would go stays whole: it is a copy rather than a page with boilerplate. A null text
-    stays null; rows that repeat are treated alike; other columns pass through, whatever
+    would go stays whole: it is a copy rather than a page with boilerplate. Without ``copies``,
+    near copies (simhash.near_classes) count as one text: classes are sought among the texts
+    that have a line to drop, since no other text counts for one. A null text stays null; rows that repeat are treated alike; other columns pass through, whatever
     their names; an n_dropped of the input gives way.
     """
     ws = Workspace(docs.sparkSession, "lines")
     key = row_key(id_col, text_col)
     keyed = docs.select(*key, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found, dropped = boilerplate(ws, keyed, depth, least, constant)
+    found = ws.save(lines(keyed, depth))
+    dropped = boilerplate(ws, keyed, found, depth, least, constant)
+    if not copies:
+        hit = ws.save(found.join(dropped, ["leaf", "line"]).select("_id", "_h").distinct())
+        few = F.broadcast(hit) if hit.count() <= KEYS else hit
+        classes = near_classes(ws, keyed.join(few, ["_id", "_h"], "left_semi").select("_id", "_h", "text"))
+        dropped = boilerplate(ws, keyed, found, depth, least, constant, ws.save(classes.filter("root <> _h").select("_h", "root")))
     gone = found.join(dropped, ["leaf", "line"]).groupBy("_id", "_h").agg(F.collect_set("line").alias("gone"))
     rows = docs.select(*key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(gone, ["_id", "_h"], "left")
     done = rows.select("row", F.col(f"row.`{text_col}`").alias("was"), cleaner(depth, most)(F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")), F.col("gone")).alias("now"))

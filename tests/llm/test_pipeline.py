@@ -61,3 +61,19 @@ def test_empty(spark, folder, tmp_path):
         out = stage(spark, docs, folder)
         assert out.count() == 0
         docs = docs if "text" not in out.columns else out
+
+
+def test_documents_of_mostly_boilerplate_lose_it_and_near_copies_keep_their_lines(spark, folder):
+    r = random.Random(9)
+    words = lambda k: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(k))
+    shared, own = "\n".join(words(15) for _ in range(4)), [words(40) for _ in range(8)]
+    rows = [(i, f"{shared}\n{own[i]}") for i in range(8)]
+    base = [words(12) for _ in range(15)]
+    for i in range(8):
+        copy = list(base)
+        copy[i] = copy[i].replace(" ", " edited ", 1)
+        rows.append((100 + i, "\n".join(copy)))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {x["doc_id"]: (x["text"], x["n_chars"]) for x in corpus_pipeline.drop_boilerplate(spark, docs, folder).collect()}
+    assert {i: out[i] for i in range(8)} == {i: (own[i], len(own[i])) for i in range(8)}
+    assert all(out[i] == (t, len(t)) for i, t in rows[8:])
