@@ -136,6 +136,13 @@ def m5_cascade_edit(spark, sf_dir):
     return faq.edit(rows, 0, "category", "new", 3).select("answer_id", "idx", "category")
 
 
+@query(f"SELECT answer_id, idx, CASE WHEN idx = 3000000 OR (answer_id = 3 AND type <> 'Question') THEN 'new' ELSE category END AS category FROM (SELECT answer_id, answer_id * 1000000 + idx AS idx, type, category FROM ({_FAQ}) AS g) AS f")
+def m5_cascade_edit_all(spark, sf_dir):
+    """The edit of m5_cascade_edit on the whole table: idx is one of its own for each row, so that only one row is edited by it."""
+    rows = _faq(spark, sf_dir).withColumn("idx", F.col("answer_id") * 1_000_000 + F.col("idx"))
+    return faq.edit(rows, 3_000_000, "category", "new", 3).select("answer_id", "idx", "category")
+
+
 @query(f"SELECT answer_id, idx, type FROM ({_FAQ}) AS f WHERE answer_id <> 3")
 def m6_cascade_delete(spark, sf_dir):
     return faq.remove(_faq(spark, sf_dir), 0, 3, True).select("answer_id", "idx", "type")

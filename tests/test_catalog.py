@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 
 from quern.plans import catalog
-from tests.oracle import agree
+from tests.oracle import SF, agree
 
 #: Fixed ids that the smallest tables needn't have.
 MAY_BE_EMPTY = {"p10_visible"}
@@ -17,3 +17,9 @@ def test_oracle(spark, name):
 def test_pages_are_top_k_and_filters_reach_the_scan(spark):
     plan = catalog.q16_page(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "EqualTo(lang,en)" in plan and "text" not in plan.split("ReadSchema")[1]
+
+
+def test_the_cascade_edit_passes_the_whole_table_through(spark):
+    rows = catalog.m5_cascade_edit_all(spark, SF).collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/conversations.parquet").count() == len({x["idx"] for x in rows})
+    assert {x["answer_id"] for x in rows if x["category"] == "new"} == {3}
