@@ -6,8 +6,8 @@ to its near ones, leaving out those that a kept neighbour is nearer to (robust p
 vector's lists from all its shards are united. Then every vector is searched for in the
 shards of the clusters near it: greedily from the shard's medoid, and from its own place
 where it is a member, to the nearest vectors, and on from there over all neighbours within
-the range. Hits are verified by the cosine in double precision. A brute-force audit on a
-bounded sample measures recall; if it is short, the search takes in more clusters.
+the range. Hits are verified by the cosine in double precision. A brute-force audit of
+vectors picked without regard to what was found measures recall; if it is short, the search takes in more clusters.
 
 A shard and the part of the queries it meets are both bounded, so no group is held whole.
 Tasks return a count for each query and a spanning forest of their links, never all pairs.
@@ -31,7 +31,7 @@ from quern.llm.simhash import _merge
 SAMPLE, CLUSTERS = 65_536, 8192
 #: Degree of the graph, candidates of a vector for it, slack of the pruning, and width of the greedy search.
 DEGREE, POOL, SLACK, BEAM = 16, 48, 1.2, 24
-#: Queries of the audit, at most, and the recall it asks for.
+#: Queries with links that the audit goes on to, and the recall it asks for.
 AUDIT, RECALL = 256, 0.98
 
 
@@ -230,7 +230,7 @@ def build(ws: Workspace, vectors: DataFrame, members: DataFrame, shards: DataFra
 
 
 def find(ws: Workspace, vectors: DataFrame, members: DataFrame, shards: DataFrame, near: DataFrame, probes: DataFrame, cell: int, least: float, tasks: int) -> DataFrame:
-    """(id, n, other): for each query and task, linked rows counted by ``copies`` (other null), and links of a forest (n null).
+    """(id, n, links, other): for each query and task, linked rows counted by ``copies`` and linked vectors (other null), and links of a forest (n null).
 
     vectors: id, v, copies. A member is counted in its nearest cluster only, so each link
     counts once for each of its ends. probes: id, c; the clusters that a query looks in.
@@ -249,7 +249,7 @@ def find(ws: Workspace, vectors: DataFrame, members: DataFrame, shards: DataFram
         lists = table["near"].combine_chunks()
         sizes, flat = lists.value_lengths().fill_null(0).to_numpy(), lists.flatten().to_numpy()
         starts = np.cumsum(sizes) - sizes
-        got_id, got_n, got_a, got_b = [], [], [], []
+        got_id, got_n, got_l, got_a, got_b = [], [], [], [], []
         for key in np.unique(keys):
             here = np.flatnonzero(keys == key)
             own, ask = here[kinds[here] < 2], here[kinds[here] == 2]
@@ -266,43 +266,51 @@ def find(ws: Workspace, vectors: DataFrame, members: DataFrame, shards: DataFram
             q, m = search(v[own], at, edge, v[ask], np.where(names[mine] == ids[ask], mine, -1), least)
             real = (ids[ask][q] != names[m]) & (kinds[own][m] == 1)
             q, m = q[real], m[real]
-            count = np.bincount(q, copies[own][m], len(ask)).astype(np.int64)
+            count, different = np.bincount(q, copies[own][m], len(ask)).astype(np.int64), np.bincount(q, minlength=len(ask))
             got_id.append(ids[ask][count > 0])
             got_n.append(count[count > 0])
+            got_l.append(different[count > 0])
             a, b = _forest(ids[ask][q], names[m])
             got_a.append(a)
             got_b.append(b)
-        i, n, a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (got_id, got_n, got_a, got_b))
-        return pa.table({"id": pa.array(np.concatenate([i, a])), "n": pa.array(np.concatenate([n, np.zeros(len(a), np.int64)]), mask=np.arange(len(i) + len(a)) >= len(i)), "other": pa.array(np.concatenate([np.zeros(len(i), np.int64), b]), mask=np.arange(len(i) + len(a)) < len(i))})
+        i, n, links, a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (got_id, got_n, got_l, got_a, got_b))
+        return pa.table({"id": pa.array(np.concatenate([i, a])), "n": pa.array(np.concatenate([n, np.zeros(len(a), np.int64)]), mask=np.arange(len(i) + len(a)) >= len(i)), "links": pa.array(np.concatenate([links, np.zeros(len(a), np.int64)])), "other": pa.array(np.concatenate([np.zeros(len(i), np.int64), b]), mask=np.arange(len(i) + len(a)) < len(i))})
 
-    return ws.save(rows.groupBy("bin").applyInArrow(seek, "id long, n long, other long"))
+    return ws.save(rows.groupBy("bin").applyInArrow(seek, "id long, n long, links long, other long"))
 
 
 def audit(vectors: DataFrame, counts: DataFrame, least: float, most: int = AUDIT) -> float:
-    """Recall against brute force for at most so many vectors, those of least hash that have any link or none: found links over all links; 1 without links.
+    """Recall against brute force, found links between different vectors over all of them; 1 without links.
 
-    Half of the queries are ones with links, as far as there are any, because most vectors have none.
+    counts: id, links. Vectors are asked in the order of a hash, whatever was found for them, in
+    blocks, each four times the one before, until ``most`` that truly have links are among them
+    or none is left to ask. At most 64 times ``most`` are held at a time.
     """
-    order = [F.xxhash64("id", F.lit(9)), F.col("id")]
-    linked = counts.orderBy(*order).limit(most // 2)
-    asked = vectors.join(linked, "id", "left_semi").select("id", "v").union(vectors.select("id", "v").orderBy(*order).limit(most // 2)).distinct()
-    ids, v = zip(*[(r["id"], r["v"]) for r in asked.collect()], strict=True)  # at most ``most`` vectors
-    ids, v = np.array(ids), unit(np.array(v))
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, v))
-
-    def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q = shared.value
-        total = np.zeros(len(names), np.int64)
-        for b in batches:
-            u, own, copies = unit(matrix(b.column(1))), b.column(0).to_numpy(), b.column(2).to_numpy()
-            for k in range(0, len(u), 4096):
-                hit = (q @ u[k : k + 4096].T >= least) & (names[:, None] != own[None, k : k + 4096])
-                total += hit @ copies[k : k + 4096]
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total)], ["id", "n"])
-
-    true = vectors.mapInArrow(brute, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).filter("n > 0")
-    row = true.join(counts.withColumnRenamed("n", "m"), "id", "left").agg(F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("m", F.lit(0)))).alias("m")).first()
-    return row["m"] / row["n"] if row["n"] else 1.0
+    linked, true_n, found_n, block, last = 0, 0, 0, most, None
+    h = F.xxhash64("id", F.lit(9))
+    while linked < most:
+        rest = vectors if last is None else vectors.filter((h > last[0]) | ((h == last[0]) & (F.col("id") > last[1])))
+        asked = rest.select(h.alias("h"), "id", "v").orderBy("h", "id").limit(block).collect()
+        if not asked:
+            break
+        last = (asked[-1]["h"], asked[-1]["id"])
+        shared = vectors.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in asked]), unit(np.array([r["v"] for r in asked]))))
+
+        def brute(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, q = shared.value
+            total = np.zeros(len(names), np.int64)
+            for b in batches:
+                u, own = unit(matrix(b.column(1))), b.column(0).to_numpy()
+                for k in range(0, len(u), 1024):
+                    total += ((q @ u[k : k + 1024].T >= least) & (names[:, None] != own[None, k : k + 1024])).sum(1)
+            some = total > 0
+            yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(total[some])], ["id", "n"])
+
+        true = vectors.select("id", "v").mapInArrow(brute, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+        row = true.join(counts.select("id", F.col("links").alias("m")), "id", "left").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("m", F.lit(0)))).alias("m")).first()
+        linked, true_n, found_n = linked + row["k"], true_n + (row["n"] or 0), found_n + (row["m"] or 0)
+        block = min(4 * block, 64 * most)
+    return found_n / true_n if true_n else 1.0
 
 
 def near_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, cell: int = 0, probes: int = 4, recall: float = RECALL) -> DataFrame:
@@ -344,13 +352,13 @@ def near_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str
     while True:
         looked = ws.save(clusters.deal(bare.select("id", "v"), probes, 0.25 if probes < len(clusters.centres) else 3.0).select("id", "c"))
         got = find(ws, bare, members, shards, near, looked, cell, least, tasks)
-        counts = ws.save(got.filter("n IS NOT NULL").groupBy("id").agg(F.sum("n").alias("n")))
+        counts = ws.save(got.filter("n IS NOT NULL").groupBy("id").agg(F.sum("n").alias("n"), F.sum("links").alias("links")))
         if probes >= len(clusters.centres) or audit(bare, counts, least) >= recall:
             break
         ws.drop(looked, got, counts)
         probes *= 4
     found = components(ws, got.filter("other IS NOT NULL").select("id", "other"))
-    placed = ws.save(vectors.select("id", "v", "copies", "first").join(counts, "id", "left").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    placed = ws.save(vectors.select("id", "v", "copies", "first").join(counts.select("id", "n"), "id", "left").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
     roots = ws.save(placed.groupBy("root").agg(F.min("first").alias("component_id")))
     by_vector = ws.save(placed.join(roots, "root").select("id", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"))
     done = named.join(by_vector, ["id", "v"]).select("vec", "n_links", "component_id")

@@ -162,6 +162,15 @@ def test_vectors(spark):
     assert got(graph.near_vectors(df.filter("vec_id = 400"))) == [(400, 0, 400, True)]
 
 
+def test_audit_counts_vectors_whose_links_were_all_missed(spark):
+    r = np.random.default_rng(3)
+    base = r.normal(size=(3000, 16))
+    base[1::30] = base[::30] + 0.01 * r.normal(size=(100, 16))  # 100 pairs among 3000
+    vectors = spark.createDataFrame([(i, v.tolist(), 5000 if i == 0 else 1) for i, v in enumerate(base)], "id long, v array<double>, copies long")
+    found = [(i, 5000 if i == 1 else 1, 1) for k in range(80) for i in (30 * k, 30 * k + 1)]  # one in five is missed wholly
+    assert graph.audit(vectors, spark.createDataFrame(found, "id long, n long, links long"), 0.95) == pytest.approx(0.8, abs=0.05)
+
+
 def test_robust_prune_leaves_out_what_a_neighbour_covers():
     u = graph.unit(np.array([[1, 0.0], [1, 0.1], [1, 0.2], [1, -0.5]]))
     assert graph.robust_prune(u, degree=3, pool=3)[0].tolist()[:2] == [1, 3]
