@@ -25,7 +25,7 @@ from quern.llm.common import Workspace, row_key, text_bytes
 from quern.llm.simhash import near_classes
 
 _FIELD = np.uint64(0x5BF0A8B1)
-#: So many keys of texts (two longs each) are broadcast to pick these texts before a shuffle; of more keys none are.
+#: So many keys of texts (two longs each), or names of lines, are broadcast to meet the texts where they lie; if there are more, they meet in a shuffle. The rows are the same.
 KEYS = 1_000_000
 
 
@@ -118,28 +118,39 @@ def boilerplate(ws: Workspace, keyed: DataFrame, found: DataFrame, depth: int, l
     return dropped
 
 
-def cleaner(depth: int, most: float):
-    """A pandas UDF: the text without its dropped lines, or the text as it is where they hold more than ``most`` of its tokens; and how many went."""
+def _cut(texts: pd.Series, most: float, gone) -> pd.DataFrame:
+    """The texts without their dropped lines, or as they are where these hold more than ``most`` of the tokens; and how many went. gone: of a row and its line names, which to drop."""
+    text, number, _, line, _, count, _ = parsed(pa.array(texts, pa.large_string()), 1)
+    cuts = np.searchsorted(text, np.arange(len(texts) + 1))
+    out, n = [], []
+    for row, t in enumerate(texts):
+        own = slice(cuts[row], cuts[row + 1])
+        hit = gone(row, line[own])
+        if hit.any() and count[own][hit].sum() > most * count[own].sum():
+            hit[:] = False
+        drop = set(number[own][hit].tolist())
+        out.append("\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop) if drop else t)
+        n.append(len(drop))
+    return pd.DataFrame({"text": out, "n_dropped": n})
+
+
+def cleaner(most: float):
+    """A pandas UDF of a text and the names of its lines that go."""
 
     @F.pandas_udf("text string, n_dropped int")
     def clean(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
-        column = pa.array(texts, pa.large_string())
-        text, number, _, line, _, count, _ = parsed(column, depth)
-        cuts = np.searchsorted(text, np.arange(len(texts) + 1))
-        out, n = [], []
-        for row, (t, g) in enumerate(zip(texts, gone, strict=True)):
-            if g is None or not len(g):
-                out.append(t)
-                n.append(0)
-                continue
-            own = slice(cuts[row], cuts[row + 1])
-            hit = np.isin(line[own], np.asarray(g, np.int64))
-            if count[own][hit].sum() > most * count[own].sum():
-                hit[:] = False
-            drop = set(number[own][hit].tolist())
-            out.append("\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop) if drop else t)
-            n.append(len(drop))
-        return pd.DataFrame({"text": out, "n_dropped": n})
+        return _cut(texts, most, lambda row, own: np.isin(own, np.zeros(0, np.int64) if gone[row] is None else np.asarray(gone[row], np.int64)))
+
+    return clean
+
+
+def known_cleaner(most: float, shared):
+    """A pandas UDF of a text alone; shared: broadcast sorted names of all lines that go."""
+
+    @F.pandas_udf("text string, n_dropped int")
+    def clean(texts: pd.Series) -> pd.DataFrame:
+        names = shared.value
+        return _cut(texts, most, lambda _, own: names[np.minimum(np.searchsorted(names, own), len(names) - 1)] == own if len(names) else np.zeros(len(own), bool))
 
     return clean
 
@@ -166,8 +177,15 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         few = F.broadcast(hit) if hit.count() <= KEYS else hit
         classes = near_classes(ws, keyed.join(few, ["_id", "_h"], "left_semi").select("_id", "_h", "text"))
         dropped = boilerplate(ws, keyed, found, depth, least, constant, ws.save(classes.filter("root <> _h").select("_h", "root")))
-    gone = found.join(dropped, ["leaf", "line"]).groupBy("_id", "_h").agg(F.collect_set("line").alias("gone"))
-    rows = docs.select(*key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(gone, ["_id", "_h"], "left")
-    done = rows.select("row", F.col(f"row.`{text_col}`").alias("was"), cleaner(depth, most)(F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")), F.col("gone")).alias("now"))
-    text = F.when(F.col("was").isNotNull(), F.col("now.text")).alias(text_col)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    text = F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))
+    names = dropped.select("line").distinct()  # a line's name tells its leaf
+    if names.count() <= KEYS:
+        shared = docs.sparkSession.sparkContext.broadcast(np.sort(names.toPandas()["line"].to_numpy(np.int64)))
+        now, rows = known_cleaner(most, shared)(text), docs.select(row)
+    else:
+        gone = found.join(dropped, ["leaf", "line"]).groupBy("_id", "_h").agg(F.collect_set("line").alias("gone"))
+        now, rows = cleaner(most)(text, F.col("gone")), docs.select(*key, row).join(gone, ["_id", "_h"], "left")
+    done = rows.select("row", now.alias("now"))
+    text = F.when(F.col(f"row.`{text_col}`").isNotNull(), F.col("now.text")).alias(text_col)
     return done.select(*[text if c == text_col else F.col(f"row.`{c}`") for c in docs.columns if c != "n_dropped"], F.col("now.n_dropped").alias("n_dropped"))
