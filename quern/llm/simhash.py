@@ -1,18 +1,20 @@
 """SimHash near-duplicates by a self-join of binary tries.
 
 A text becomes a 64-bit fingerprint; two fingerprints link when at most ``budget`` bits
-differ. Distinct fingerprints are dealt to subtries: the 64 bits are cut into budget + a
-blocks, and any linked pair agrees wholly on a of them, so each fingerprint goes into one
-subtrie for each choice of a blocks, the one whose path is its own bits there. Inside a
-subtrie node pairs are walked together, level by level, differing bits add up, and a pair
-of nodes over the budget is dropped with everything below it. A subtrie that holds too many fingerprints is cut into
-chunks and the walk runs over pairs of chunks, so no task holds an unbounded group.
+differ. Distinct fingerprints are dealt to subtries: the 64 bits are cut into budget + 1
+blocks, and any linked pair agrees wholly on one of them, so each fingerprint goes into one
+subtrie for each block, the one whose path is its own bits there. A subtrie that holds too
+many is dealt on in the same way by the bits that its path doesn't use, whatever the size of
+the table; so the copies of a fingerprint are bounded and subtries keep their size as the
+table grows. Inside a subtrie node pairs are walked together, level by level, differing bits
+add up, and a pair of nodes over the budget is dropped with everything below it. What is
+still too full after DEALS rounds is cut into chunks and the walk runs over pairs of chunks,
+so no task holds an unbounded group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,8 @@ from quern.llm.components import components
 BITS = 64
 #: Node pairs that are walked at a time, and pairs of leaves small enough to compare outright.
 FRONT, LEAF = 1 << 13, 256
+#: Fingerprints that a subtrie keeps together, at most, and rounds of dealing: (budget + 1) to the power of that many copies of each at the most.
+FULL, DEALS = 50_000, 3
 
 
 def fingerprint(text: bytes, width: int) -> int:
@@ -62,18 +66,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, "id long, fp long")
 
 
-def blocks_of(n: int) -> list[tuple[int, int]]:
-    """(lowest bit, width) of n blocks."""
-    cuts = [BITS * k // n for k in range(n + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
-def agreeing(budget: int) -> int:
-    """How many blocks a subtrie's path takes: as many as give it 12 bits. Any number finds all links; more bits mean more copies and fewer pairs that meet."""
-    a = 1
-    while BITS * a < 12 * (budget + a):
-        a += 1
-    return a
+def paths(budget: int, deals: int) -> list[list[int]]:
+    """For each round of dealing the masks (signed) of the bits that a subtrie's path takes; way w of a round is dealt on by ways w * (budget + 1) + 0, 1, ... of the next."""
+    out, now = [], [(0, list(range(BITS)))]
+    for _ in range(deals):
+        parts = [(mask, rest, part.tolist()) for mask, rest in now for part in np.array_split(np.array(rest, np.int64), budget + 1)]
+        now = [(mask | sum(1 << b for b in part), [x for x in rest if x not in part]) for mask, rest, part in parts]
+        out.append([mask - (mask >> (BITS - 1) << BITS) for mask, _ in now])
+    return out
 
 
 def _merge(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -175,17 +175,27 @@ def link_forest(ws: Workspace, fps: DataFrame, budget: int = 4) -> DataFrame:
     """
     spark = ws.spark
     n = fps.count()
-    a = agreeing(budget)
-    blocks = blocks_of(budget + a)
-    ways = list(combinations(range(len(blocks)), a))
-    total = n * len(ways)
-    tasks = max(4 * partitions(spark), -(-total // 50_000))
-    most = max(256, min(50_000, total // tasks))  # rows of a subtrie that stay together
-    bits = [F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << w) - 1)) for low, w in blocks]
-    sub = fps.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(k), *[bits[i] for i in way]) for k, way in enumerate(ways)])).alias("cell"))
-    # Subtries to cut: total / most of them at the most, and never more than paths there are.
-    sizes = ws.save(sub.groupBy("cell").count().filter(F.col("count") > most).select("cell", F.ceil(F.col("count") / F.lit(most)).cast("int").alias("cut")))
-    dealt = sub.join(F.broadcast(sizes), "cell", "left").withColumn("chunks", F.coalesce("cut", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks")).cast("int"))
+    total = n * (budget + 1)
+    tasks = max(4 * partitions(spark), -(-total // FULL))
+    most = max(256, min(FULL, total // tasks))
+    masks = paths(budget, DEALS)
+
+    def dealt_by(rows: DataFrame, deal: int, way) -> DataFrame:
+        path = F.col("fp").bitwiseAND(F.get(F.array(*[F.lit(m) for m in masks[deal]]), F.col("way")))
+        return rows.select("fp", F.explode(way).alias("way")).select("fp", "way", F.xxhash64(F.lit(deal), "way", path).alias("cell"))
+
+    ways = F.sequence(F.lit(0), F.lit(budget))
+    dealt = dealt_by(fps, 0, ways)
+    for deal in range(1, DEALS):
+        # A subtrie is dealt on where chunks of it would make more copies than that. There are fewer of them than rows / most.
+        full = ws.save(dealt.groupBy("cell").count().filter(F.col("count") > most * (budget + 1)).select("cell"))
+        if full.isEmpty():
+            break
+        over = dealt.join(F.broadcast(full), "cell", "left_semi")
+        dealt = ws.save(dealt.join(F.broadcast(full), "cell", "left_anti").select("fp", "way", "cell").union(dealt_by(over, deal, F.transform(ways, lambda w: F.col("way") * (budget + 1) + w))))
+    # Subtries to cut: rows / most of them at the most.
+    sizes = ws.save(dealt.groupBy("cell").count().filter(F.col("count") > most).select("cell", F.ceil(F.col("count") / F.lit(most)).cast("int").alias("cut")))
+    dealt = dealt.join(F.broadcast(sizes), "cell", "left").withColumn("chunks", F.coalesce("cut", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks")).cast("int"))
     # Chunk i meets chunk j: once for each pair i <= j.
     meets = dealt.select(
         "fp", "cell", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
@@ -225,7 +235,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 #: Minima of a text's shingle hashes that candidates are found by: BANDS groups of ROWS.
-BANDS, ROWS = 8, 3
+BANDS, ROWS = 10, 3
 #: Pairs with one text that stay on one key, members of a group that become hubs after the first, and keys that are broadcast.
 HOT, HUBS, KEYS = 512, 16, 1_000_000
 _MUL, _ADD = np.random.default_rng(77).integers(1, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -360,7 +370,7 @@ def near_links(ws: Workspace, groups: DataFrame, pairs: DataFrame, sets: DataFra
         many *= 2
 
 
-def near_classes(ws: Workspace, keyed: DataFrame, width: int = 2, budget: int = 8, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_classes(ws: Workspace, keyed: DataFrame, width: int = 2, budget: int = 4, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(_h, _id, root): each different text with its least id, and the name of its class of near copies. keyed: _id, _h, text."""
     marked = ws.save(sketches(keyed, width, shingle))
     texts = ws.save(marked.groupBy("_h").agg(F.min("_id").alias("_id"), F.min("fp").alias("fp"), F.min("bands").alias("bands")))
@@ -379,14 +389,14 @@ def near_classes(ws: Workspace, keyed: DataFrame, width: int = 2, budget: int =
     return texts.select("_h", "_id").join(joined.withColumnRenamed("node", "_h"), "_h", "left").withColumn("root", F.coalesce("root", "_h"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, budget: int = 8, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, budget: int = 4, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs that stay when of each group of copies and near copies one does: that of the least (id, hash of the text).
 
     Texts link if their sets of shingles of ``shingle`` words, A-Z lower-cased, have a Jaccard
     similarity of ``similarity`` or more; every link is checked on the whole sets. Candidates
     are texts whose fingerprints are within ``budget`` bits, linked by the trie self-join, and,
     whatever their fingerprints, texts that agree on all minima of a band: a pair of similarity
-    0.8 does so in 997 of 1000 cases. Null and wordless texts are one group. A null id counts
+    0.8 does so in 999 of 1000 cases. Null and wordless texts are one group. A null id counts
     as the least. Rows that repeat are copies of each other. All columns pass through,
     whatever their names. An empty table gives an empty result.
     """
@@ -395,5 +405,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.select(*key, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     grouped = near_classes(ws, keyed, width, budget, shingle, similarity)
     stay = ws.save(grouped.groupBy("root").agg(F.min(F.struct("_id", "_h")).alias("one")).select("one.*"))
+    # Only records that come twice with the same id need to be told apart; all other texts move once, or not at all where the keys are few.
+    times = ws.save(docs.select(*key).groupBy("_id", "_h").count().join(stay, ["_id", "_h"]))
     rows = docs.select(*key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return rows.join(stay, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"]).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+    def of(keys: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(keys) if keys.count() <= KEYS else keys, ["_id", "_h"], "left_semi")
+
+    once, more = of(times.filter("count = 1").select("_id", "_h")), of(times.filter("count > 1").select("_id", "_h")).dropDuplicates(["_id", "_h"])
+    return once.union(more).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -106,15 +106,16 @@ def test_trie_join(spark, budget, n):
     assert {x: found.get(x, x) for x in fps} == want
 
 
-def test_two_blocks_find_the_same_links(spark, monkeypatch):
+@pytest.mark.parametrize("full", [1, 1 << 20])
+def test_subtries_dealt_on_find_the_same_links(spark, monkeypatch, full):
     r = np.random.default_rng(5)
-    fps = spark.createDataFrame([(int(x) ^ (int(y) << 3),) for x in r.integers(0, 1 << 62, 20, np.int64) for y in range(9)], "fp long").distinct().cache()
-    out = []
-    for a in (1, 2):
-        monkeypatch.setattr(simhash, "agreeing", lambda budget, a=a: a)
-        ws = Workspace(spark, "test")
-        out.append(got(components.components(ws, simhash.link_forest(ws, fps, 6))))
-    assert out[0] == out[1] and out[0]
+    fps = sorted({int(x) ^ (int(y) << 3) ^ (int(z) << 40) for x in r.integers(0, 1 << 62, 8, np.int64) for y in range(12) for z in range(12)})
+    want = brute.components(fps, [(a, b) for a, b in combinations(fps, 2) if (a ^ b).bit_count() <= 3])
+    monkeypatch.setattr(simhash, "FULL", full)
+    monkeypatch.setattr(simhash, "max", lambda *x: x[1] if x[0] == 256 else max(*x), raising=False)  # cells of one at full = 1
+    ws = Workspace(spark, "test")
+    found = dict(got(components.components(ws, simhash.link_forest(ws, spark.createDataFrame([(x,) for x in fps], "fp long"), 3))))
+    assert {x: found.get(x, x) for x in fps} == want
 
 
 def test_one_of_each(spark, docs, empty):
@@ -189,6 +190,25 @@ def test_leaks(spark, docs, empty):
     assert got(decontaminate.matches(docs, df.filter("item_id = 3"))) == []
 
 
+def test_leaks_at_the_full_number_of_edits():
+    for n in (6, 15, 40):
+        walks = decontaminate.walks_for(decontaminate.errors(n, 0.8))
+        assert decontaminate.measured(n, 0.8, 150, walks)[-1] >= decontaminate.RECALL
+
+
+def test_leaks_with_null_and_repeated_ids_and_several_runs(spark, monkeypatch):
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    items = [(k % 3, " ".join(word() for _ in range(12))) for k in range(6)]
+    rows = [(None, f"{word()} {items[0][1]} {word()}"), (1, items[1][1]), (1, items[1][1]), (2, " ".join(word() for _ in range(5000)) + " " + items[4][1]), (3, word())]
+    df = spark.createDataFrame(items, "item_id long, text string")
+    one = got(decontaminate.matches(frame(spark, rows), df))
+    assert [(d, i) for d, i, *_ in one] == [(1, 1), (1, 1), (2, 1), (None, 0)]
+    monkeypatch.setattr(decontaminate, "RUN_WORDS", 20)
+    assert got(decontaminate.matches(frame(spark, rows), df)) == one
+    assert [x["doc_id"] for x in decontaminate.clean(frame(spark, rows), df).collect()] == [3]
+
+
 def test_licences(spark, empty):
     rows = [
         (1, "Licensed Under the MIT-License; cc by nc, CC BY NC 4.0"), (2, None), (3, ""), (4, "apache license version 2 apache\nlicense, version 2"),
@@ -245,6 +265,8 @@ def test_packing(spark, docs, empty):
         ends = packing.boundaries(steps, count, steps * count, k)
         best = min(brute.padding(lengths, [*c, max(lengths)]) for c in combinations(steps.tolist()[:-1], k - 1))
         assert brute.padding(lengths, ends) == best
+    hot = packing.pack(frame(spark, [(None, "same text")] * 5000), buckets=2, budget=64).groupBy(F.element_at(F.split("batch", "-"), 2)).count().collect()
+    assert len(hot) > 1 and max(x["count"] for x in hot) < 3000
     out = packing.pack(docs, buckets=4, budget=256).collect()
     assert len(out) == len(corpus())
     want = {i: len(re.findall(r"\w+|[^\w\s]", t or "")) for i, t in corpus()}
