@@ -34,10 +34,9 @@ def first_filled(*columns: Column) -> Column:
 
 
 def parse_int(c: Column, other: int) -> Column:
-    """The whole number that a text starts with; other for none and for 0. Decimal digits only."""
-    got = F.try_to_number(F.regexp_extract(c, r"^\s*([+-]?)0*(\d{1,18})", 2), F.lit("999999999999999999")).cast("long")
-    got = F.when(F.regexp_extract(c, r"^\s*([+-]?)", 1) == "-", -got).otherwise(got)
-    return F.coalesce(F.when(got != 0, got), F.lit(other))
+    """The whole number that a text starts with; other for none, for 0 and for one that no long holds. Decimal digits only."""
+    got = F.regexp_extract(c, r"^\s*([+-]?\d+)", 1).try_cast("long")
+    return F.coalesce(F.when(got != 0, got), F.lit(other).cast("long"))
 
 
 def parse_float(c: Column) -> Column:
@@ -59,9 +58,8 @@ def slugify(values: pd.Series) -> pd.Series:
     return values.map(slug, na_action="ignore")
 
 
-def slug_field(value: Column, title: Column, creating: bool) -> Column:
-    """A slug that was given is tidied; without one it comes from the title at creation or where there is none. An empty text was given."""
-    del creating  # a missing value is filled on every save
+def slug_field(value: Column, title: Column) -> Column:
+    """A slug that was given is tidied; without one it comes from the title, on every save. An empty text was given."""
     return slugify(F.coalesce(value, title))
 
 
@@ -98,18 +96,17 @@ def host(url: Column) -> Column:
 
 
 def embed_url(url: Column) -> Column:
-    """The address of the embedded player for the video sites known; null for others."""
+    """The address of the embedded player for the video sites known; null for others. What follows the prefix is the name, slashes included."""
     h, path = host(url), F.try_parse_url(url, F.lit("PATH"))
-    player = F.lit("https://www.youtube.com/embed/")
-    short = F.regexp_extract(path, r"^/([^/]+)", 1)
-    watched = F.try_parse_url(url, F.lit("QUERY"), F.lit("v"))
+    after = lambda prefix: F.regexp_replace(path, f"^{prefix}", "")
+    long = h.isin("youtube.com", "m.youtube.com")
     name = (
-        F.when((h == "youtu.be") & (short != ""), short)
-        .when(h.isin("youtube.com", "m.youtube.com") & path.startswith("/embed/"), F.substring_index(F.substring(path, 8, 500), "/", 1))
-        .when(h.isin("youtube.com", "m.youtube.com") & path.startswith("/shorts/"), F.substring_index(F.substring(path, 9, 500), "/", 1))
-        .when(h.isin("youtube.com", "m.youtube.com") & path.startswith("/watch"), watched)
+        F.when(h == "youtu.be", after("/"))
+        .when(long & path.startswith("/embed/"), after("/embed/"))
+        .when(long & (path == "/watch"), F.try_url_decode(F.try_parse_url(url, F.lit("QUERY"), F.lit("v"))))
+        .when(long & path.startswith("/shorts/"), after("/shorts/"))
     )
-    return F.when(name != "", F.concat(player, name))
+    return F.when(name != "", F.concat(F.lit("https://www.youtube.com/embed/"), name))
 
 
 def cookie(header: Column, name: str) -> Column:
@@ -117,7 +114,7 @@ def cookie(header: Column, name: str) -> Column:
     parts = F.transform(F.split(header, ";"), trim)
     own = F.filter(parts, lambda x: F.substring_index(x, "=", 1) == name)
     value = F.get(own, F.lit(0))
-    raw = F.when(F.contains(value, F.lit("=")), F.substring(value, len(name) + 2, 100_000)).otherwise("")
+    raw = F.when(F.contains(value, F.lit("=")), F.regexp_replace(value, "(?s)^[^=]*=", "")).otherwise("")
     return F.when(value.isNotNull(), F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))))
 
 
@@ -139,20 +136,44 @@ def set_parameter(params: Column, name: str, value: Column) -> Column:
 
 
 #: Where the pages of a collection live.
-PREFIXES = {"news": "/news", "courses": "/courses", "solutions": "/solutions"}
+PREFIXES = {"news": "/news", "courses": "/courses", "solutions": "/solutions", "research-labs": "/research/r&d-labs"}
+
+
+def detail_link(prefix: Column | str, slug: Column) -> Column:
+    return F.concat(prefix if isinstance(prefix, Column) else F.lit(prefix), F.lit("/"), slug)
 
 
 def preview_path(collection: Column, slug: Column, secret: Column) -> Column:
+    """Every parameter is named, empty or not."""
     prefix = F.create_map(*[F.lit(x) for pair in PREFIXES.items() for x in pair])
-    path = F.concat(F.try_element_at(prefix, collection), F.lit("/"), slug)
-    return F.concat(F.lit("/api/draft?"), query_string([("slug", slug), ("collection", collection), ("path", path), ("previewSecret", secret)]))
+    path = detail_link(F.try_element_at(prefix, collection), slug)
+    pairs = (("slug", slug), ("collection", collection), ("path", path), ("previewSecret", F.coalesce(secret, F.lit(""))))
+    return F.concat(F.lit("/api/draft?"), F.concat_ws("&", *[F.concat(F.lit(f"{k}="), F.url_encode(c)) for k, c in pairs]))
 
 
-def preview_status(secret_ok: Column, path: Column, slug: Column, known: Column, failed: Column, user: Column) -> Column:
+def preview_status(secret_ok: Column, path: Column, collection: Column, slug: Column, failed: Column, user: Column) -> Column:
     """The status of a preview request: the first test that fails decides; 302 sends it on."""
+    given = lambda c: F.coalesce(c, F.lit("")) != ""
     return (
-        F.when(~secret_ok, 403).when(path.isNull() | slug.isNull() | (path == "") | (slug == ""), 404).when(~path.startswith("/"), 500).when(failed, 403).when(user.isNull(), 401).when(~known, 404).otherwise(302)
-    )
+        F.when(~F.coalesce(secret_ok, F.lit(False)), 403).when(~given(path) | ~given(collection) | ~given(slug), 404).when(~path.startswith("/"), 500)
+        .when(failed, 403).when(user.isNull(), 401).otherwise(302)
+    )
+
+
+def server_url(public: Column, production: Column) -> Column:
+    """The site's own address as its server knows it: the one given, else the production host, else the local one."""
+    return F.coalesce(blank_to(public, F.lit(None).cast("string")), F.concat(F.lit("https://"), blank_to(production, F.lit(None).cast("string"))), F.lit("http://localhost:3000"))
+
+
+def client_url(protocol: Column, hostname: Column, port: Column, production: Column, public: Column) -> Column:
+    """The same as a browser knows it (protocol "https:", and so on); without a browser (hostname null) the production host, else the one given, else empty."""
+    seen = F.concat(protocol, F.lit("//"), hostname, F.when(F.coalesce(port, F.lit("")) != "", F.concat(F.lit(":"), port)).otherwise(""))
+    return F.coalesce(seen, F.concat(F.lit("https://"), blank_to(production, F.lit(None).cast("string"))), public, F.lit(""))
+
+
+def message_id(at: Column) -> Column:
+    """Milliseconds since 1970 as text. Not unique in bulk."""
+    return F.unix_millis(at).cast("string")
 
 
 def with_prefix(path: Column, prefix: str) -> Column:

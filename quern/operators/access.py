@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Which roles see which tab ("*": all), and which verbs need a user.
+#: Which roles see which tab ("*": all), which readers there are, and which verbs need a user.
 TABS = {"faq": "*", "users": "*", "logs": "*", "rules": "admin", "config": "admin"}
+ROLES = ("student", "teacher", "business")
 VERBS = {"create": True, "delete": True, "read": False, "update": True}
 
 
@@ -17,19 +18,24 @@ def may(verb: str, user: str | None, preview: bool = False) -> bool:
 
 def visible_users(df: DataFrame, username: str | None, is_admin: bool) -> DataFrame:
     """An admin sees all rows, another user the own one, nobody none."""
-    if username is None:
-        return df.filter(F.lit(False))
-    return df if is_admin else df.filter(F.col("username") == username)
+    if is_admin:
+        return df
+    return df.filter(F.col("username") == username) if username else df.filter(F.lit(False))
 
 
-def _is_admin(role: Column) -> Column:
-    return F.lower(F.coalesce(role, F.lit(""))) == "admin"
+def permissions(df: DataFrame, username: str | None, is_admin: bool) -> DataFrame:
+    """df with can_edit (an admin: everyone; others: themselves) and can_delete (an admin: whose role isn't "admin", as it stands)."""
+    own = F.coalesce(F.col("username") == username, F.lit(False)) if username else F.lit(False)
+    return df.withColumn("can_edit", F.lit(True) if is_admin else own).withColumn("can_delete", F.lit(is_admin) & ~F.col("role").eqNullSafe("admin"))
 
 
-def permissions(df: DataFrame, username: str | None, is_admin: bool) -> DataFrame:
-    """df with can_edit (admins: themselves and users who are no admins; others: themselves) and can_delete (admins: users who are no admins)."""
-    own = F.col("username").eqNullSafe(F.lit(username))
-    return df.withColumn("can_edit", own | (F.lit(is_admin) & ~_is_admin(F.col("role")))).withColumn("can_delete", F.lit(is_admin) & ~_is_admin(F.col("role")))
+def own_row(me: DataFrame) -> DataFrame:
+    """The signed-in user as a row of the user table; when it was made is not told."""
+    return me.select("id", "username", "full_name", "is_active", F.lit(None).cast("timestamp").alias("created_at"), "role")
+
+
+def known_role(c: Column) -> Column:
+    return F.lower(F.coalesce(c, F.lit(""))).isin(*ROLES)
 
 
 def masked(df: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import csv_field, moment
-from quern.operators.faq import search
+from quern.operators.faq import DAYS, search
+from quern.plans.find import Find
+from quern.plans.paging import SIZES
 
-#: The header of an export and the bounds of retention in days.
-HEADER, DAYS = ("ask", "decision", "answer", "timestamp"), (1, 3650)
+#: Fixed value: the header of an export.
+HEADER = ("ask", "decision", "answer", "timestamp")
 
 
 def matching(df: DataFrame, keyword: str = "", decision: str = "") -> DataFrame:
@@ -17,6 +19,11 @@ def matching(df: DataFrame, keyword: str = "", decision: str = "") -> DataFrame:
     return out.filter(F.col("decistion_type") == decision) if decision else out
 
 
+def listing(df: DataFrame, keyword: str = "", decision: str = "", newest_first: bool = True, page: int = 1, size: int = SIZES[0], id_col: str = "id") -> DataFrame:
+    """A page of the log by time: filtered first, then sorted and cut."""
+    return Find({}, "-timestamp" if newest_first else "timestamp", size, page, id_col=id_col).run(matching(df, keyword, decision))
+
+
 def retained(df: DataFrame, column: str, as_of: Column, days: int) -> DataFrame:
     """Rows not older than so many days at as_of."""
     if not DAYS[0] <= days <= DAYS[1]:

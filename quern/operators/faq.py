@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions.text import contains_fold
+from quern.operators.relations import upsert
+from quern.plans.find import Find
+from quern.plans.paging import SIZES
+
+#: Bounds of retention in days.
+DAYS = (1, 3650)
 
 
 def is_question(kind: Column) -> Column:
@@ -32,14 +38,28 @@ def categories(df: DataFrame, column: str = "category") -> DataFrame:
     return df.select(column).filter(F.coalesce(F.col(column), F.lit("")) != "").distinct().orderBy(F.collate(F.col(column), "UNICODE"))
 
 
-def run_ends(df: DataFrame, key: str = "answer_id", order: str = "idx", within: str | None = None) -> DataFrame:
+def run_ends(df: DataFrame, key: str = "answer_id", order: str = "idx", within: str | None = None, tasks: int = 0) -> DataFrame:
     """df with last_of_run: the next row's key differs, or there is none. A key that comes back starts another run.
 
-    within: a column whose rows are edited together; without it the table is one sequence,
-    which one task orders, as suits an import that a person edits.
+    within: a column whose rows are edited together. Without it the table is one sequence,
+    numbered by order (a unique number); it is cut into ranges of about equal size, and a
+    range's last row looks at the first row of the next one, so no task holds the whole.
     """
-    w = (Window.partitionBy(within) if within else Window.partitionBy(F.lit(0))).orderBy(order)
-    return df.withColumn("last_of_run", ~F.coalesce(F.lead(key).over(w).eqNullSafe(F.col(key)) & F.lead(order).over(w).isNotNull(), F.lit(False)))
+    if within:
+        cut, parts = df, [within]
+    else:
+        tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        bounds = df.agg(F.percentile_approx(order, [k / tasks for k in range(1, tasks)] or [0.5], 1000).alias("b")).first()["b"] or []
+        cut = df.withColumn("_part", F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<bigint>"), lambda b: b < F.col(order))))
+        parts = ["_part"]
+    w = Window.partitionBy(*parts).orderBy(order)
+    out = cut.withColumn("_next", F.lead(F.struct(F.col(key).alias("k"))).over(w))
+    if not within:  # a row for each range
+        first = cut.groupBy("_part").agg(F.min_by(F.struct(F.col(key).alias("k")), order).alias("f"))
+        after = first.select("_part", F.lead("f").over(Window.orderBy("_part")).alias("_after"))
+        out = out.join(F.broadcast(after), "_part", "left").withColumn("_next", F.coalesce("_next", "_after"))
+    last = F.col("_next").isNull() | ~F.col("_next.k").eqNullSafe(F.col(key))
+    return out.withColumn("last_of_run", last).select(*df.columns, "last_of_run")
 
 
 def first_questions(df: DataFrame) -> DataFrame:
@@ -74,20 +94,69 @@ def variant_numbers(df: DataFrame) -> DataFrame:
 
 
 def add_variant(df: DataFrame, idx: int, answer_id: int) -> DataFrame:
-    """A blank variant of the group after row idx; later rows move down by one."""
-    own = df.filter(F.col("answer_id") == answer_id)
-    new = variant_numbers(own).join(first_questions(own), "answer_id", "left")
-    new = new.select(F.lit(idx + 1).alias("idx"), "answer_id", "category", F.col("next_type").alias("type"), F.lit("").alias("content"), "answer")
+    """A blank variant of the group after row idx, with its question's category and answer or empty texts; later rows move down by one. An unknown group gets its first variant."""
+    question = F.min_by(F.when(is_question(F.col("type")), F.struct("category", "answer")), F.when(is_question(F.col("type")), F.col("idx")))
+    own = df.filter(F.col("answer_id") == answer_id).agg(F.count_if(~is_question(F.col("type"))).alias("n"), question.alias("q"))
+    new = own.select(
+        F.lit(idx + 1).alias("idx"), F.lit(answer_id).alias("answer_id"), F.coalesce("q.category", F.lit("")).alias("category"),
+        F.concat(F.lit("variant_"), F.col("n") + 1).alias("type"), F.lit("").alias("content"), F.coalesce("q.answer", F.lit("")).alias("answer"),
+    )
     moved = df.withColumn("idx", F.when(F.col("idx") > idx, F.col("idx") + 1).otherwise(F.col("idx")))
     return moved.unionByName(new.select(*[F.col(c).cast(df.schema[c].dataType) for c in df.columns]))
 
 
+def bulk_counts(df: DataFrame) -> DataFrame:
+    """df: id, ok, detail. One row: success_count, failure_count."""
+    return df.agg(F.count_if("ok").alias("success_count"), F.count_if(~F.col("ok")).alias("failure_count"))
+
+
+def bulk_failures(df: DataFrame) -> DataFrame:
+    """The failed rows as a table (id, detail), for changes of any size."""
+    return df.filter(~F.col("ok")).select("id", "detail")
+
+
 def bulk_result(df: DataFrame) -> DataFrame:
-    """df: id, ok, detail. One row: success_count, failure_count, failed_ids, failed_details."""
+    """df: id, ok, detail. One row: success_count, failure_count, failed_ids, failed_details.
+
+    The answer to one request, whose failures fit a row; ``bulk_counts`` and ``bulk_failures`` have no such bound.
+    """
     failed = F.array_sort(F.collect_list(F.when(~F.col("ok"), F.struct("id", "detail"))))
     return df.agg(F.count_if("ok").alias("success_count"), F.count_if(~F.col("ok")).alias("failure_count"), failed.alias("f")).select("success_count", "failure_count", F.col("f.id").alias("failed_ids"), F.col("f.detail").alias("failed_details"))
 
 
+def listing(df: DataFrame, category: str | None = None, page: int = 1, size: int = SIZES[0], id_col: str = "answer_id") -> DataFrame:
+    """A page of questions, of one category where that is given, by id."""
+    return Find({"category": {"equals": category}}, id_col, size, page, id_col=id_col).run(df)
+
+
+def select_answer(suggestions: DataFrame, faq: DataFrame, key: str = "answer_id") -> DataFrame:
+    """Suggestions that were picked, with the decision and the text that their id stands for; unknown ids give none."""
+    return suggestions.join(faq.select(key, "answer"), key).withColumn("decision", F.lit("answer"))
+
+
+def save_edit(faq: DataFrame, variants: DataFrame, edits: DataFrame, answer_id: int, category: str | None, question: str, answer: str) -> tuple[DataFrame, DataFrame]:
+    """(questions, variants) after an edit: the variants first, then the question itself; an empty category leaves the old one. The two are written one after the other, not as one."""
+    change = {"category": category or None, "question": question, "answer": answer}
+    own = F.col("answer_id") == answer_id
+    done = faq.withColumns({c: F.when(own, F.coalesce(F.lit(v).cast("string"), F.col(c))).otherwise(F.col(c)) for c, v in change.items()})
+    return done, upsert(variants, edits, "variant_id")
+
+
+def configured(config: DataFrame, **changes) -> DataFrame:
+    """The one row of settings with what is given; None leaves a setting as it is."""
+    days = changes.get("log_retention_days")
+    if days is not None and not DAYS[0] <= days <= DAYS[1]:
+        raise ValueError(f"days must be {DAYS[0]} to {DAYS[1]}")
+    return config.withColumns({c: F.lit(v).cast(config.schema[c].dataType) for c, v in changes.items() if v is not None})
+
+
+def user_update(users: DataFrame, user_id: int, is_admin: bool, full_name: str = "", is_active: bool | None = None) -> DataFrame:
+    """One user changed: an empty name leaves the old one, and only an admin sets is_active."""
+    own = F.col("id") == user_id
+    change = {"full_name": full_name or None, "is_active": is_active if is_admin else None}
+    return users.withColumns({c: F.when(own, F.lit(v)).otherwise(F.col(c)) for c, v in change.items() if v is not None})
+
+
 def violations(df: DataFrame, required: list[str], enums: dict[str, tuple[str, ...]]) -> DataFrame:
     """df with violations: names of required columns that are missing and of enumerated ones with another value."""
     tests = [F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", c) for c in required]

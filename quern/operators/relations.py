@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.functions.text import menu_title, trim
+
 
 def with_media(df: DataFrame, media: DataFrame, column: str, title: str | None = None) -> DataFrame:
     """df with media_url and media_caption of the id in column, null where it is unresolved; with a title, '' and the title instead."""
@@ -20,11 +22,16 @@ def with_media(df: DataFrame, media: DataFrame, column: str, title: str | None =
 
 
 def nested(parents: DataFrame, children: DataFrame, key: str, name: str, order: str) -> DataFrame:
-    """parents with an array of their children, sorted; empty where there are none. Children of one parent are one row's worth."""
+    """parents with an array of their children, sorted; empty where there are none. Children of one parent are one row's worth, the variants of a question; ``joined`` has no such bound."""
     own = children.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in children.columns if c not in (key, order)]))).alias(name))
     return parents.join(own, key, "left").withColumn(name, F.coalesce(name, F.array().cast(own.schema[name].dataType)))
 
 
+def joined(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
+    """A row for each child beside its parent, and one for a parent without any: what ``spread`` makes of ``nested``, with no group ever held whole."""
+    return parents.join(children, key, "left")
+
+
 def spread(parents: DataFrame, name: str) -> DataFrame:
     return parents.select("*", F.explode_outer(name).alias("_child")).drop(name).select("*", "_child.*").drop("_child")
 
@@ -42,6 +49,12 @@ def upsert(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return both.select(*[F.coalesce(F.col(f"c.{c}"), F.col(f"r.{c}")).alias(c) if c in changes.columns else F.col(f"r.{c}") for c in rows.columns])
 
 
+def insert(rows: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """rows and the new ones whose key is not taken; a column they lack is null."""
+    fresh = new.join(rows.select(key), key, "left_anti")
+    return rows.unionByName(fresh, allowMissingColumns=True)
+
+
 def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return rows.join(gone.select(key), key, "left_anti")
 
@@ -60,3 +73,18 @@ def slots(df: DataFrame, order: list[Column], most: int, key: str | None = None)
         out = df.orderBy(*order).limit(most).withColumn("position", F.row_number().over(Window.orderBy(*order)))
     out = out.withColumn("total", F.count("*").over(Window.partitionBy(*keys)))
     return out.withColumn("slot", F.when(F.col("total") == 1, "only").when(F.col("total") < most, "item").when(F.col("position") == 1, "main").otherwise("sub"))
+
+
+def menu(df: DataFrame) -> DataFrame:
+    """slug and title for a menu: slugs are trimmed, rows with a blank one go, a blank title gives way to the slug."""
+    return df.select(trim(F.coalesce("slug", F.lit(""))).alias("slug"), menu_title(F.col("title"), F.col("slug")).alias("title")).filter("slug <> ''")
+
+
+def by_source(df: DataFrame) -> DataFrame:
+    """Videos with only the field that their source uses: an uploaded file or an outside address."""
+    return df.withColumn("videoFile", F.when(F.col("source") == "upload", F.col("videoFile"))).withColumn("externalUrl", F.when(F.col("source") == "external", F.col("externalUrl")))
+
+
+def of_year(df: DataFrame, year: int | str = "All") -> DataFrame:
+    """Rows of that year, newest first with ties by id; "All" passes every year."""
+    return (df if year == "All" else df.filter(F.col("year") == year)).orderBy(F.desc("year"), "id")

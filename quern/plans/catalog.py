@@ -130,10 +130,10 @@ def j6_inherit(spark, sf_dir):
     return faq.inherit(_faq(spark, sf_dir)).select("answer_id", "idx", "answer")
 
 
-@query(f"SELECT answer_id, idx, CASE WHEN (idx = 0 AND answer_id = 3) OR (answer_id = 3 AND type <> 'Question') THEN 'new' ELSE category END AS category FROM ({_FAQ}) AS f WHERE answer_id < 50 AND (answer_id = 3 OR idx > 0)")
+@query(f"SELECT answer_id, idx, CASE WHEN idx = 5000001 OR (answer_id = 5 AND type <> 'Question') THEN 'new' ELSE answer END AS answer FROM (SELECT answer_id, answer_id * 1000000 + idx AS idx, type, answer FROM ({_FAQ}) AS g) AS f")
 def m5_cascade_edit(spark, sf_dir):
-    rows = _faq(spark, sf_dir).filter("answer_id < 50 AND (answer_id = 3 OR idx > 0)")
-    return faq.edit(rows, 0, "category", "new", 3).select("answer_id", "idx", "category")
+    rows = _faq(spark, sf_dir).withColumn("idx", F.col("answer_id") * 1_000_000 + F.col("idx"))
+    return faq.edit(rows, 5_000_001, "answer", "new", 5).select("answer_id", "idx", "answer")
 
 
 @query(f"SELECT answer_id, idx, CASE WHEN idx = 3000000 OR (answer_id = 3 AND type <> 'Question') THEN 'new' ELSE category END AS category FROM (SELECT answer_id, answer_id * 1000000 + idx AS idx, type, category FROM ({_FAQ}) AS g) AS f")
@@ -237,10 +237,9 @@ def f17_host(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.host(F.col("url")).alias("host"))
 
 
-@query("SELECT page_id, CASE WHEN CAST(regexp_extract(url, '([0-9]+)[^0-9/]*/?[^0-9/]*$', 1) AS BIGINT) = 0 THEN 7 ELSE CAST(regexp_extract(url, '([0-9]+)[^0-9/]*/?[^0-9/]*$', 1) AS BIGINT) END AS n FROM pages WHERE regexp_matches(url, '/[0-9]+[.]html$')".replace("([0-9]+)[^0-9/]*/?[^0-9/]*$", "/([0-9]+)[.]html$"))
+@query("SELECT page_id, CASE WHEN regexp_matches(tail, '^[0-9]') AND CAST(regexp_extract(tail, '^[0-9]+') AS BIGINT) <> 0 THEN CAST(regexp_extract(tail, '^[0-9]+') AS BIGINT) ELSE 7 END AS n FROM (SELECT page_id, regexp_extract(url, '[^/]*$') AS tail FROM pages) AS t")
 def f11_parse_int(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").filter(F.col("url").rlike(r"/[0-9]+[.]html$"))
-    return pages.select("page_id", text.parse_int(F.substring_index("url", "/", -1), 7).alias("n"))
+    return table(spark, sf_dir, "pages").select("page_id", text.parse_int(F.substring_index("url", "/", -1), 7).alias("n"))
 
 
 @query("""SELECT o_orderkey, o_orderpriority || ', "' || o_orderstatus || '" (' || CAST(year(o_orderdate) AS VARCHAR) || ')' AS line FROM orders""")
@@ -255,10 +254,18 @@ def f3_menu(spark, sf_dir):
     return docs.select("doc_id", text.menu_title(title, F.concat(F.lit(" d"), "doc_id", F.lit(" "))).alias("title"))
 
 
-@query("SELECT c_custkey, c_custkey = 7 OR c_mktsegment <> 'BUILDING' AS can_edit, c_mktsegment <> 'BUILDING' AS can_delete FROM customer")
+def _users(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("username"), F.when(F.col("c_mktsegment") == "BUILDING", "admin").when(F.col("c_mktsegment") == "MACHINERY", "Admin").otherwise(None).alias("role"))
+
+
+@query("SELECT c_custkey, true AS can_edit, c_mktsegment <> 'BUILDING' AS can_delete FROM customer")
 def p11_permissions(spark, sf_dir):
-    users = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("username"), F.when(F.col("c_mktsegment") == "BUILDING", "Admin").otherwise("user").alias("role"))
-    return access.permissions(users, "7", True).select("c_custkey", "can_edit", "can_delete")
+    return access.permissions(_users(spark, sf_dir), "7", True).select("c_custkey", "can_edit", "can_delete")
+
+
+@query("SELECT c_custkey, c_custkey = 7 AS can_edit, false AS can_delete FROM customer")
+def p11_own_permissions(spark, sf_dir):
+    return access.permissions(_users(spark, sf_dir), "7", False).select("c_custkey", "can_edit", "can_delete")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_name = 'Customer#000000007' OR c_custkey = 7 AND c_name = 'Customer#7'")

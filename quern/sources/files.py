@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.text import parse_int
+from quern.functions.text import parse_int, trim
 from quern.schemas import CHAT, COLLECTIONS
 
 _COLUMNS = ("answer_id", "category", "type", "content", "answer")
@@ -28,50 +25,37 @@ def media_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
 
 
-def rows_of(text: str) -> list[dict]:
-    """Rows of an import as its editor reads them: quotes switch commas off and vanish, lines end records, a later header of a name wins.
+def cells(line: Column) -> Column:
+    """The cells of a CSV line as the editor reads them: a quote switches commas off or on and vanishes; cells are trimmed."""
+    found = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',((?:[^",]++|"[^"]*+(?:"|\z))*+)'), F.lit(1))
+    return F.transform(found, lambda x: trim(F.replace(x, F.lit('"'), F.lit(""))))
+
+
+def import_rows(text: Column) -> Column:
+    """array<struct> of an import's rows, in order. Line 1 is the header, whatever it holds; a later header of a name wins.
 
-    Rows need content and a type. Cells are trimmed; missing ones are empty, extra ones go.
+    Lines end records. Blank lines go, and so do rows without content or type. Missing cells
+    are empty, extra ones are not read.
     """
+    lines = F.split(text, "\r?\n")
+    header = F.reverse(F.transform(cells(F.get(lines, F.lit(0))), F.lower))
 
-    def cells(line: str) -> list[str]:
-        out, quoted, cell = [], False, []
-        for ch in line:
-            if ch == '"':
-                quoted = not quoted
-            elif ch == "," and not quoted:
-                out.append("".join(cell).strip())
-                cell = []
-            else:
-                cell.append(ch)
-        return [*out, "".join(cell).strip()]
-
-    lines = [x for x in text.removeprefix("﻿").replace("\r", "").split("\n") if x.strip()]
-    if not lines:
-        return []
-    header = [h.strip().lower() for h in cells(lines[0])]
-    out = []
-    for line in lines[1:]:
-        got = cells(line)
-        row = dict(zip(header, got + [""] * (len(header) - len(got)), strict=False))
-        if row.get("content") and row.get("type"):
-            out.append({c: row.get(c, "") for c in _COLUMNS})
-    return out
+    def row(line: Column) -> Column:
+        own = cells(line)
+        cell = lambda c: F.when(F.array_contains(header, c), F.coalesce(F.get(own, F.size(header) - F.array_position(header, c).cast("int")), F.lit(""))).otherwise("")
+        return F.struct(*[cell(c).alias(c) for c in _COLUMNS])
+
+    rest = F.filter(F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1))), lambda x: trim(x) != "")
+    return F.filter(F.transform(rest, row), lambda r: (r["content"] != "") & (r["type"] != ""))
 
 
 def faq_import(spark: SparkSession, path: str) -> DataFrame:
     """Imports of questions in CSV as the editor reads them: file, idx, answer_id, category, type, content, answer.
 
-    A file is one upload of a person and is parsed whole; many files are parsed in parallel.
+    A file is one upload of a person and is read whole; many files are read in parallel.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value"))
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [{"file": f, "idx": k, **r} for f, t in zip(b["file"], b["value"], strict=True) for k, r in enumerate(rows_of(t))]
-            yield pd.DataFrame(rows, columns=["file", "idx", *_COLUMNS])
-
-    raw = files.mapInPandas(parse, "file string, idx int, answer_id string, category string, type string, content string, answer string")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), import_rows(F.col("value")).alias("rows"))
+    raw = files.select("file", F.posexplode("rows").alias("idx", "row")).select("file", "idx", "row.*")
     return raw.withColumn("answer_id", parse_int(F.col("answer_id"), 0))
 
 

@@ -14,8 +14,16 @@ def turns(spark: SparkSession, path: str, schema: str = SCHEMA) -> DataFrame:
 
 
 def append(stream: DataFrame, path: str, checkpoint: str, key: tuple[str, ...] = ("conv_id", "turn")) -> StreamingQuery:
-    """Appends each turn once to a Parquet table; stops when what is there has been read. Repeats inside a batch go."""
-    return stream.dropDuplicates(list(key)).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Appends turns to a Parquet table, partitioned by ``batch``; stops when what is there has been read.
+
+    Repeats inside a batch go, and no state is kept for it. A batch that is run again after a
+    failure replaces its own partition, so each turn is written once.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.dropDuplicates(list(key)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def counts(stream: DataFrame, time: str, width: str, late: str) -> DataFrame:
