@@ -1,8 +1,11 @@
 """URL filter: host and path rules first, then a tree of path templates with labelled purity.
 
 Each host has a tree. A node's children are the next path segments, digits masked. A child
-with a fair share of its node's pages is a branch; the others are one wildcard branch.
-Sibling branches whose labelled rates do not differ by a two-proportion test are merged.
+with a fair share of its node's pages is a branch; the others are wildcards: one for those
+whose labelled rate is significantly above the rest of the node, one for those below, one
+for all else. Sibling branches whose labelled rates do not differ by a two-proportion test
+are merged. The tree grows as deep as the paths go; a node that holds one shape of path or
+too few pages for two branches ends there.
 A leaf is a template; it is rejected if the share of unwanted pages among its labelled
 ones, smoothed towards its host's share and that towards the share of all, is too high.
 
@@ -76,27 +79,43 @@ def _merged(seen: pd.Series, bad: pd.Series, names: pd.Series) -> pd.Series:
     return pd.Series([alike(list(s), list(b), list(n)) for s, b, n in zip(seen, bad, names, strict=True)])
 
 
-def grow(ws: Workspace, shapes: DataFrame, depth: int) -> DataFrame:
+def unlike() -> Column:
+    """z of a child's labelled rate (seen, bad) against that of the rest of its node (all_seen, all_bad); null where either has too few."""
+    rest, share = F.col("all_seen") - F.col("seen"), F.col("all_bad") / F.col("all_seen")
+    spread = F.sqrt(share * (1 - share) * (1 / F.col("seen") + 1 / rest))
+    return F.when((F.col("seen") >= LEAST) & (rest > 0) & (share > 0) & (share < 1), (F.col("bad") / F.col("seen") - (F.col("all_bad") - F.col("bad")) / rest) / spread)
+
+
+def grow(ws: Workspace, shapes: DataFrame) -> DataFrame:
     """shapes: shape, host, segs array<string>, n, seen, bad. (shape, host, template, seen, bad), template being the path from the root to a leaf."""
-    now = ws.save(shapes.withColumn("node", F.lit("")))
-    for d in range(depth):
-        now_d = now.withColumn("seg", F.coalesce(F.get("segs", F.lit(d)), F.lit("")))
-        counts = ws.save(now_d.groupBy("host", "node", "seg").agg(*[F.sum(c).alias(c) for c in ("n", "seen", "bad")]))
-        nodes = ws.save(counts.groupBy("host", "node").agg(F.sum("n").alias("all")))
-        branches = counts.join(nodes, ["host", "node"]).filter((F.col("seg") == "") | ((F.col("n") >= LEAST) & (F.col("n") >= SHARE * F.col("all"))))
-        # At most 1 / SHARE branches a node, and the end of a path.
-        lists = ws.save(branches.filter("seg <> ''").groupBy("host", "node").agg(F.array_sort(F.collect_list(F.struct("seg", "seen", "bad"))).alias("b")))
+    out = ["shape", "host", "node", "seen", "bad"]
+    now, done, d = ws.save(shapes.withColumn("node", F.lit(""))), None, 0
+    while True:
+        nodes = ws.save(now.groupBy("host", "node").agg(F.count("*").alias("shapes"), F.sum("n").alias("all"), F.sum("seen").alias("all_seen"), F.sum("bad").alias("all_bad")))
+        placed = now.join(nodes.select("host", "node", "shapes", "all"), ["host", "node"])
+        rest = F.concat(F.lit("/"), F.concat_ws("/", F.slice("segs", d + 1, F.greatest(F.size("segs") - d, F.lit(0)))))
+        end = F.when(F.size("segs") <= d, F.col("node")).when(F.col("shapes") == 1, F.concat("node", rest)).when(F.col("all") < 2 * LEAST, F.concat("node", F.lit("/**")))
+        placed = ws.save(placed.withColumn("end", end).drop("shapes", "all"))
+        ended = placed.filter("end IS NOT NULL").withColumn("node", F.col("end")).select(*out)
+        done = ended if done is None else done.union(ended)
+        now_d = placed.filter("end IS NULL").drop("end").withColumn("seg", F.get("segs", F.lit(d)))
+        counts = ws.save(now_d.groupBy("host", "node", "seg").agg(*[F.sum(c).alias(c) for c in ("n", "seen", "bad")]).join(nodes.drop("shapes"), ["host", "node"]))
+        if counts.isEmpty():
+            return done.withColumnRenamed("node", "template")
+        large = (F.col("n") >= LEAST) & (F.col("n") >= SHARE * F.col("all"))
+        # At most 1 / SHARE branches a node.
+        lists = ws.save(counts.filter(large).groupBy("host", "node").agg(F.array_sort(F.collect_list(F.struct("seg", "seen", "bad"))).alias("b")))
         named = lists.select("host", "node", F.col("b.seg").alias("seg"), _merged(F.col("b.seen"), F.col("b.bad"), F.col("b.seg")).alias("name"))
-        named = ws.save(named.select("host", "node", F.explode(F.arrays_zip("seg", "name")).alias("x")).select("host", "node", "x.seg", "x.name"))
-        step = F.when(F.col("seg") == "", F.lit("")).otherwise(F.concat(F.lit("/"), F.coalesce("name", F.lit("*"))))
-        grown = ws.save(now_d.join(named, ["host", "node", "seg"], "left").withColumn("node", F.concat("node", step)).drop("seg", "name"))
-        ws.drop(now, counts, nodes, lists, named)
-        now = grown
-    return now.withColumnRenamed("node", "template")
+        named = named.select("host", "node", F.explode(F.arrays_zip("seg", "name")).alias("x")).select("host", "node", "x.seg", "x.name")
+        odd = counts.filter(~large & (F.abs(unlike()) > ALIKE)).select("host", "node", "seg", F.when(unlike() > 0, "*+").otherwise("*-").alias("name"))
+        named = ws.save(named.union(odd))
+        now = ws.save(now_d.join(named, ["host", "node", "seg"], "left").withColumn("node", F.concat("node", F.lit("/"), F.coalesce("name", F.lit("*")))).drop("seg", "name"))
+        ws.drop(nodes, counts, lists, named)
+        d += 1
 
 
 def judge(
-    pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", unwanted: str = "quality = 0", depth: int = 3
+    pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", unwanted: str = "quality = 0"
 ) -> DataFrame:
     """One row for each row of pages: (id_col, host, path, rule, verdict, template, purity).
 
@@ -105,19 +124,18 @@ def judge(
     labels: label_id, and what ``unwanted`` tests; an id that comes twice is unwanted if any
     of its rows is; null ids and unknown tests label nothing. A null url, or one without
     ://, has an empty host and path and is judged like any other. Null ids and repeated rows
-    stay. Other columns are not read. Without any label nothing is rejected.
+    stay. Paths of any depth and length are judged whole. Other columns are not read. Without any label nothing is rejected.
     """
     ws = Workspace(pages.sparkSession, "urls")
     plain = pages.select(F.col(id_col).cast("long").alias("_page"), F.col(url_col).alias("_url"))
     host, path = host_and_path(F.col("_url"))
     base = plain.select("_page", host.alias("host"), path.alias("path"))
     segs = F.transform(F.filter(F.split("path", "/"), lambda x: x != ""), lambda x: F.regexp_replace(x, "[0-9]+", "0"))
-    segs = F.when(F.size(segs) > depth, F.concat(F.slice(segs, 1, depth - 1), F.array(F.lit("**")))).otherwise(segs)
     base = base.withColumn("segs", segs).withColumn("shape", F.concat_ws("/", F.col("host"), F.concat_ws("/", "segs")))
     known = ws.save(labels.select(F.col(label_id).cast("long").alias("_page"), F.expr(unwanted).cast("int").alias("_bad")).filter("_page IS NOT NULL AND _bad IS NOT NULL").groupBy("_page").agg(F.max("_bad").alias("_bad")))
     marked = base.join(known, "_page", "left")
     shapes = ws.save(marked.groupBy("shape", "host", "segs").agg(F.count("*").alias("n"), F.count("_bad").alias("seen"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad")))
-    leaves = grow(ws, shapes, depth)
+    leaves = ws.save(grow(ws, shapes))
     seen, bad = shapes.agg(F.sum("seen"), F.sum("bad")).first()
     overall = (bad or 0) / seen if seen else 0.0
     smooth = lambda prior: (F.col("bad") + WEIGHT * prior) / (F.col("seen") + WEIGHT)
