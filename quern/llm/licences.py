@@ -41,13 +41,15 @@ NOTICES = {
     "this is free and unencumbered software released into the public domain": "unlicense",
     "all rights reserved": "all-rights-reserved",
 }
-TAGS = ("spdx license identifier",)
+TAGS = ("spdx license identifier", "spdx license expression", "license expression")
 #: How freely a text may be used, by the start of an identifier; the longest start counts.
 WORTH = {
     "mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "zlib": 1.0, "unlicense": 1.0, "cc0": 1.0, "0bsd": 1.0, "cc-by-": 0.9, "mpl": 0.6, "epl": 0.6,
     "lgpl": 0.6, "cc-by-sa": 0.6, "gpl": 0.3, "agpl": 0.2, "cc-by-nc": 0.1, "cc-by-nd": 0.1, "all-rights": 0.0,
 }
 UNKNOWN = 0.5
+#: What counts as an identifier after a tag: a known start, a version in it, or a reference of the writer's own.
+_NAMED = re.compile(r"(?:%s)|.*\d|licenseref-" % "|".join(sorted(WORTH)))
 
 #: A-Z to lower case; other ASCII that is neither a digit nor a letter to a space.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -64,7 +66,8 @@ def evaluate(text: str) -> tuple[set[str], float] | None:
     """The identifiers and the worth of the longest expression that text starts with; None if it starts with none.
 
     with binds closest, then and, then or. The right side of with is an exception, not a
-    licence, and doesn't lower the worth. Case doesn't count.
+    licence, and doesn't lower the worth. Case doesn't count. A word that is no identifier
+    ends the expression.
     """
     text, at, postfix, stack, operand = text.lower(), 0, [], [], True
     open_ = 0
@@ -77,6 +80,8 @@ def evaluate(text: str) -> tuple[set[str], float] | None:
                 stack.append("(")
                 open_ += 1
             else:
+                if not (_NAMED.match(word) or stack and stack[-1] == "with"):
+                    break
                 postfix.append((word.rstrip(".-"), None))
                 operand = False
         elif mark == ")":
