@@ -15,6 +15,7 @@ Tasks return a count for each query and a spanning forest of their links, never
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,9 @@ from quern.llm.common import Workspace, partitions
 from quern.llm.components import components
 from quern.llm.simhash import _merge
 
-#: Vectors that clusters are fitted on, at most, and clusters, at most: both bound what the driver holds.
-SAMPLE, CLUSTERS = 65_536, 8192
+#: Vectors that clusters are fitted on, at most, and clusters, at most: both bound what the driver holds. A cluster is cut
+#: into parts beyond 4096 vectors, so from 268 million different vectors on the work grows faster than their number.
+SAMPLE, CLUSTERS = 131_072, 65_536
 #: Degree of the graph, candidates of a vector for it, slack of the pruning, and width of the greedy search.
 DEGREE, POOL, SLACK, BEAM = 16, 48, 1.2, 24
 #: Queries with links that the audit goes on to, and the recall it asks for.
@@ -51,8 +53,9 @@ def matrix(column: pa.Array) -> np.ndarray:
 def nearest(u: np.ndarray, centres: np.ndarray, most: int, margin: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For blocks of rows: centres by falling cosine, at most so many, and which of them are within the margin of the first."""
     most = min(most, len(centres))
-    for k in range(0, len(u), 2048):
-        s = u[k : k + 2048] @ centres.T
+    block = max(64, min(2048, (1 << 24) // len(centres)))
+    for k in range(0, len(u), block):
+        s = u[k : k + block] @ centres.T
         top = np.argpartition(-s, most - 1, axis=1)[:, :most]
         value = np.take_along_axis(s, top, 1)
         order = np.argsort(-value, axis=1, kind="stable")
@@ -324,8 +327,13 @@ def near_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str
     A row with a null id links and counts, and has a null component where it is alone.
     Rows that repeat an id are rows of their own. Other columns are not read.
     The search looks in ``probes`` clusters; while the audit finds less than ``recall``, in
-    four times as many, and at last in all.
+    four times as many, and at last in all. What the last audit found is logged.
     """
+    return searched(embeddings, id_col, vector_col, least, cell, probes, recall)[0]
+
+
+def searched(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, cell: int = 0, probes: int = 4, recall: float = RECALL) -> tuple[DataFrame, float]:
+    """What ``near_vectors`` returns, and the recall against brute force that the last audit measured (1 where there are no links)."""
     spark = embeddings.sparkSession
     ws = Workspace(spark, "graph")
     v = F.col("v")
@@ -340,9 +348,9 @@ def near_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str
     vectors = ws.save(named.groupBy("id", "v").agg(F.count("*").alias("copies"), F.min("vec").alias("first")))
     n = vectors.count()
     if not n:
-        return plain.select(F.col("vec").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("vec").alias("component_id"), F.lit(True).alias("kept"))
+        return plain.select(F.col("vec").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("vec").alias("component_id"), F.lit(True).alias("kept")), 1.0
     cell = cell or min(4096, max(256, n // 2000))
-    sample = unit(np.array([r["v"] for r in vectors.select("id", "v").orderBy("id").limit(SAMPLE).collect()]))  # at most SAMPLE vectors
+    sample = unit(np.stack(vectors.select("id", "v").orderBy("id").limit(SAMPLE).toPandas()["v"].to_list()))  # at most SAMPLE vectors
     clusters = Clusters(fit_centres(sample, min(CLUSTERS, max(1, n // cell), max(1, len(sample) // 4))))
     tasks = max(4 * partitions(spark), n // 20_000)
     bare = vectors.select("id", "v", "copies")
@@ -353,7 +361,9 @@ def near_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str
         looked = ws.save(clusters.deal(bare.select("id", "v"), probes, 0.25 if probes < len(clusters.centres) else 3.0).select("id", "c"))
         got = find(ws, bare, members, shards, near, looked, cell, least, tasks)
         counts = ws.save(got.filter("n IS NOT NULL").groupBy("id").agg(F.sum("n").alias("n"), F.sum("links").alias("links")))
-        if probes >= len(clusters.centres) or audit(bare, counts, least) >= recall:
+        reached = audit(bare, counts, least)
+        logging.getLogger(__name__).info("recall %.4f with %d of %d clusters looked in", reached, min(probes, len(clusters.centres)), len(clusters.centres))
+        if probes >= len(clusters.centres) or reached >= recall:
             break
         ws.drop(looked, got, counts)
         probes *= 4
@@ -363,4 +373,4 @@ def near_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str
     by_vector = ws.save(placed.join(roots, "root").select("id", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"))
     done = named.join(by_vector, ["id", "v"]).select("vec", "n_links", "component_id")
     done = done.unionByName(plain.filter("v IS NULL").select("vec", F.lit(0).cast("long").alias("n_links"), F.col("vec").alias("component_id")))
-    return done.select(F.col("vec").alias(id_col), "n_links", "component_id", F.col("vec").eqNullSafe(F.col("component_id")).alias("kept"))
+    return done.select(F.col("vec").alias(id_col), "n_links", "component_id", F.col("vec").eqNullSafe(F.col("component_id")).alias("kept")), reached
