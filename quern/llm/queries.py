@@ -76,3 +76,40 @@ def op9_decontaminate_cgk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+#: Every window of a text by its hash, the repeated ones, and what they cover; the texts are cut from what is left between.
+ORACLE["op4_suffix_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+s AS MATERIALIZED (SELECT r, i, md5(b[i:i + 399]) AS h FROM (SELECT r, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d) AS t),
+s256 AS MATERIALIZED (SELECT r, i, md5(b[i:i + 255]) AS h FROM (SELECT r, b, unnest(range(1, octet_length(b) - 254)) AS i FROM d) AS t),
+twice AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM s WHERE h IN (SELECT h FROM s GROUP BY h HAVING count(*) > 1)),
+run AS (SELECT r, i, sum(CASE WHEN p IS NULL OR i > p + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS g FROM twice),
+span AS (SELECT r, min(i) AS lo, max(i) + 400 AS hi FROM run GROUP BY r, g),
+edge AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 1) AS was FROM span),
+head AS (SELECT r, sum(hi - lo) AS n, count(*) AS k, max(hi) AS last, string_agg(hex(b[was:lo - 1]), '' ORDER BY lo) AS kept FROM edge JOIN d USING (r) GROUP BY r),
+half AS (
+    SELECT r, sum(least(256, coalesce(next - i, 256))) AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS next FROM s256 WHERE h IN (SELECT h FROM s256 GROUP BY h HAVING count(*) > 1)) AS t GROUP BY r
+)
+SELECT d.doc_id, octet_length(d.b) AS n_bytes, CAST(coalesce(h.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(h.k, 0) AS BIGINT) AS n_spans,
+CASE WHEN h.r IS NULL THEN sha256(d.b) ELSE sha256(unhex(h.kept || hex(d.b[h.last:octet_length(d.b)]))) END AS kept_sha256, CAST(coalesce(half.n, 0) AS BIGINT) AS n_repeated
+FROM d LEFT JOIN head AS h ON d.r = h.r LEFT JOIN half ON d.r = half.r
+"""
+ORACLE["op7_substring_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS MATERIALIZED (SELECT r, i, md5(array_to_string(words[i:i + 34], ' ')) AS h FROM (SELECT r, words, unnest(range(1, len(words) - 33)) AS i FROM d) AS t),
+twice AS (SELECT r, i FROM s WHERE h IN (SELECT h FROM s GROUP BY h HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT r, i + k AS i FROM twice, (SELECT unnest(range(35)) AS k) AS o),
+kept AS (SELECT w.r, string_agg(w.word, ' ' ORDER BY w.i) AS text FROM (SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM d) AS w ANTI JOIN gone AS g ON w.r = g.r AND w.i = g.i GROUP BY w.r)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN (SELECT r, count(*) AS n FROM gone GROUP BY r) AS g ON d.r = g.r LEFT JOIN kept ON d.r = kept.r
+"""
+#: All pairs, and reachability step by step.
+ORACLE["op10_embedding_graph"] = r"""
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+ok AS (SELECT r, vec_id, v, sqrt(list_dot_product(v, v)) AS size FROM e WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(v, v) > 0),
+link AS MATERIALIZED (SELECT a.r, b.r AS other FROM ok AS a JOIN ok AS b ON a.r <> b.r AND len(a.v) = len(b.v) WHERE list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.95),
+reach AS (SELECT r, r AS other FROM e UNION SELECT reach.r, link.other FROM reach JOIN link ON reach.other = link.r)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM e JOIN (SELECT reach.r, min(o.vec_id) AS component_id FROM reach JOIN e AS o ON reach.other = o.r GROUP BY reach.r) AS c ON e.r = c.r LEFT JOIN (SELECT r, count(*) AS n FROM link GROUP BY r) AS n ON e.r = n.r
+"""

@@ -15,7 +15,9 @@ on samples of the suffixes and reach single ones last:
 2. In the rims that remain, one of every ``block`` neighbouring suffixes, by the bytes they
    share. A block whose shared bytes are unique holds no repeat; one that is equal to
    another as a whole is all repeats.
-3. The suffixes in the blocks left over, by doubling: 100, 200, 400 bytes.
+3. The suffixes in the blocks left over, by doubling: 64, 128, 256, 400 bytes.
+
+The whole goes twice: by 256 bytes, then by 400 for the texts that have repeats of 256.
 """
 
 from __future__ import annotations
@@ -75,19 +77,33 @@ def _kept(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, _start: np.ndarray,
     return int((hi - lo).sum()), len(lo), hashlib.sha256(data[np.cumsum(mark[:-1]) == 0].tobytes()).hexdigest()
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 100, block: int = 16) -> DataFrame:
-    """One row for each row of docs: (id_col, n_bytes, n_removed, n_spans, kept_sha256).
+def covered_bytes(spans: DataFrame) -> DataFrame:
+    """(key, n_repeated): how many bytes the spans of each text cover together."""
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+    step = lambda a, s: F.struct(F.greatest(a["end"], s["hi"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["hi"] - F.greatest(a["end"], s["lo"]))).alias("n"))
+    return repeats.covered(spans).select(*repeats.KEY, F.aggregate("spans", start, step)["n"].alias("n_repeated"))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 64, block: int = 16, report: int = 256) -> DataFrame:
+    """One row for each row of docs: (id_col, n_bytes, n_removed, n_spans, kept_sha256, n_repeated).
 
     Removed is every byte that lies in a string of ``length`` bytes which starts at another
     place too, in the same text or elsewhere, overlapping or not. Null texts are empty;
     texts shorter than length lose nothing; a row that comes twice loses all of it, if it
-    is long enough. Null ids stay null. Other columns are not read.
+    is long enough. Null ids stay null. Other columns are not read. n_repeated counts the
+    bytes in strings of ``report`` bytes that start at two places: repeats that are worth
+    knowing and too short to go. Only texts that have any are looked at for longer ones.
     """
     ws = Workspace(docs.sparkSession, "suffixes")
-    texts, spans = repeats.repeated(ws, repeats.keyed(docs, id_col, text_col), "bytes", length, gram, lambda w, t: match(w, t, length, gram, min(block, length)))
+    report = min(report, length)
+    match_at = lambda n: lambda w, t: match(w, t, n, min(gram, n), min(block, n))
+    near, short = repeats.repeated(ws, repeats.keyed(docs, id_col, text_col), "bytes", report, gram, match_at(report))
+    repeated = ws.save(covered_bytes(short))
+    texts, spans = repeats.repeated(ws, near, "bytes", length, gram, match_at(length)) if report < length else (near, short)
     cut = repeats.without(texts, spans, "bytes", _RESULT, _kept)
     base = docs.select(*repeats.row_key(id_col, text_col), F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.select(*repeats.KEY, id_col, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
-    return base.join(cut, repeats.KEY, "left").select(
-        id_col, "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256")
+    return base.join(cut, repeats.KEY, "left").join(repeated, repeats.KEY, "left").select(
+        id_col, "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"),
+        F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"),
     )

@@ -64,9 +64,10 @@ def runs(hit: np.ndarray) -> int:
     return int(hit[:1].sum() + (hit[1:] & ~hit[:-1]).sum())
 
 
-def suffixes(docs: list[tuple[int, str | None]], length: int) -> list[tuple]:
+def suffixes(docs: list[tuple[int, str | None]], length: int, report: int = 256) -> list[tuple]:
     raw = [(t or "").encode() for _, t in docs]
-    return [(i, len(r), int(h.sum()), runs(h), hashlib.sha256(bytes(c for c, x in zip(r, h) if not x)).hexdigest()) for (i, _), r, h in zip(docs, raw, covered(raw, length))]
+    rows = zip(docs, raw, covered(raw, length), covered(raw, min(report, length)), strict=True)
+    return [(i, len(r), int(h.sum()), runs(h), hashlib.sha256(bytes(c for c, x in zip(r, h) if not x)).hexdigest(), int(n.sum())) for (i, _), r, h, n in rows]
 
 
 def passages(docs: list[tuple[int, str | None]], length: int) -> list[tuple]:
