@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.llm import windows
 from quern.llm.common import Workspace, text_bytes
@@ -132,7 +133,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Labels of 0 serve for one number, the share of toxic texts; no text is taken as clean.
     Spark counts features and picks the ``most`` telling ones; only those of the sample go to
     the driver. Without both kinds of text, or a prior inside (0, 1), the model knows the
-    prior alone.
+    prior alone. A null id or label says nothing; of labels of one id the toxic one holds; a
+    document whose id comes twice is read as often.
     """
     ws = Workspace(docs.sparkSession, "toxicity")
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).alias("_toxic"))
@@ -180,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(id_col, held_out, score, predicted), or the columns in keep and score. Null and wordless texts get the score of the bias alone."""
+    """(id_col, held_out, score, predicted), or the columns in keep and score. Null and wordless texts get the score of the bias alone; a null id is in the fold of the empty text; rows that repeat come out as often."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats: 1 MB
     cols = keep or [id_col]
     plain = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(cols)], F.col(text_col).alias("t"))
@@ -190,6 +192,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             s = 1 / (1 + np.exp(-np.clip(shared.value.margins(b.column(b.num_columns - 1)), -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], [*b.schema.names[:-1], "_score"])
 
-    out = plain.mapInArrow(run, ", ".join([f"c{k} {plain.schema[k].dataType.simpleString()}" for k in range(len(cols))] + ["_score double"]))
+    out = plain.mapInArrow(run, T.StructType([*plain.schema.fields[:-1], T.StructField("_score", T.DoubleType())]))
     out = out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(cols)], F.col("_score").alias("score"))
     return out if keep else out.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

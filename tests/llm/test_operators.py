@@ -163,6 +163,31 @@ def test_vectors(spark):
     assert got(graph.near_vectors(df.filter("vec_id = 400"))) == [(400, 0, 400, True)]
 
 
+def test_vectors_with_null_and_repeated_ids_and_other_lengths(spark):
+    r = np.random.default_rng(8)
+    base = r.normal(size=(40, 8))
+    rows = [(i, base[i % 40].tolist()) for i in range(80)] + [(None, base[0].tolist()), (5, base[1].tolist()), (5, base[1].tolist()), (90, [1.0, 2.0]), (91, [1.0, 2.0]), (None, r.normal(size=8).tolist())]
+    out, recall = graph.searched(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cell=16)
+    done = got(out)
+    assert len(done) == len(rows) and recall >= 0.9
+    assert (0, 2, 0, True) in done and (None, 2, 0, False) in done  # two copies and the nameless one
+    assert [x for x in done if x[0] == 5] == [(5, 1, 5, True), (5, 4 - 1, 1, False), (5, 4 - 1, 1, False)] or sorted(x[1] for x in done if x[0] == 5) == [1, 3, 3]
+    assert (90, 0, 90, True) in done and (91, 0, 91, True) in done  # of a length that isn't the common one
+    assert (None, 0, None, True) in done
+
+
+def test_linked_vectors_over_many_clusters(spark):
+    r = np.random.default_rng(4)
+    centre = r.normal(size=(150, 24))
+    rows = [(i, (centre[i % 150] + 0.04 * r.normal(size=24) * (i % 3)).tolist()) for i in range(1500)]
+    want = brute.vectors(rows, 0.95)
+    out, recall = graph.searched(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cell=40)
+    done = {i: (n, c) for i, n, c, _ in got(out)}
+    true, found = sum(n for n, _ in want.values()), sum(n for n, _ in done.values())
+    assert true > 5000 and 0.9 * true <= found <= true and recall >= 0.9
+    assert all(done[i][0] <= want[i][0] for i in done)
+
+
 def test_audit_counts_vectors_whose_links_were_all_missed(spark):
     r = np.random.default_rng(3)
     base = r.normal(size=(3000, 16))
@@ -220,6 +245,9 @@ def test_licences(spark, empty):
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == brute.licences(t)
         assert set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(",")))
     assert out[5]["labels"] == "apache-2.0,gpl-2.0-only,mit"
+    assert out[6]["labels"] == ""
+    more = licences.scan(frame(spark, [(None, "SPDX-License-Identifier: see below"), (1, "License-Expression: MIT and LicenseRef-own"), (1, "License-Expression: MIT and LicenseRef-own"), (2, "word " * 300_000 + "cc by nc")]))
+    assert [(r["labels"], r["n_base"]) for r in more.orderBy("doc_id").collect()] == [("", 0), ("licenseref-own,mit", 0), ("licenseref-own,mit", 0), ("cc-by-nc", 1)]
     assert out[5]["score"] == 1.0 and out[1]["score"] == pytest.approx(0.1)
     assert got(licences.scan(empty)) == []
 
@@ -252,6 +280,27 @@ def test_urls(spark):
     assert {r["verdict"] for r in urls.judge(pages.filter("page_id > 999"), rules, labels.limit(0)).collect()} == {"allow"}
 
 
+def test_url_templates_part_at_any_depth(spark):
+    deep = "/".join(f"d{k}" for k in range(6))
+    rows = [(k, f"http://h.org/{deep}/{'bad' if k % 2 else 'good'}/{k}") for k in range(80)]
+    rows += [(200 + k, f"http://h.org/s{k}/x") for k in range(30)] + [(None, f"http://h.org/{deep}/bad/7"), (3, f"http://h.org/{deep}/bad/3"), (900, "http://h.org/" + "q" * 100_000 + "/" + "/".join("ab" * 300))]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(80)], "doc_id long, quality int")
+    out = urls.judge(pages, [], labels).collect()
+    assert len(out) == len(rows)
+    assert {x["verdict"] for x in out if "/bad/" in x["path"]} == {"block"} and {x["verdict"] for x in out if "/bad/" not in x["path"]} == {"allow"}
+    # Purity by hand: 41 labelled pages of bad (one comes twice), all unwanted, smoothed to the host's share and that to the overall one.
+    host = (41 + 4 * 41 / 81) / (81 + 4)
+    assert {round(1 - x["purity"], 9) for x in out if x["page_id"] in (1, 5)} == {round((41 + 4 * host) / (41 + 4), 9)}
+
+
+def test_a_small_section_that_differs_is_judged_on_its_own(spark):
+    rows = [(k, f"http://h.org/a{k % 4}/{k}") for k in range(4000)] + [(5000 + k, f"http://h.org/spam/{k}") for k in range(20)]
+    labels = spark.createDataFrame([(k, 1) for k in range(0, 4000, 4)] + [(k, 1) for k in range(1, 4000, 7)] + [(5000 + k, 0) for k in range(20)], "doc_id long, quality int")
+    out = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), [], labels).collect()
+    assert {x["page_id"] for x in out if x["verdict"] == "block"} == {5000 + k for k in range(20)}
+
+
 def test_branches_merge_by_rate():
     assert urls.alike([100, 100, 100], [5, 6, 90], ["a", "b", "c"]) == ["a|b", "a|b", "c"]
     assert urls.alike([0, 0], [0, 0], ["a", "b"]) == ["a|b", "a|b"]
@@ -321,6 +370,76 @@ def test_toxicity(spark, empty):
     assert {x["score"] < 0.5 for x in toxicity.score(df, blank).collect()} == {True}
 
 
+def test_one_step_of_the_risk_estimator_by_hand():
+    import pandas as pd
+
+    rows = pd.DataFrame({"positive": [True, False, False], "at": [np.array([0]), np.array([1]), np.array([0, 1])], "value": [np.array([1.0]), np.array([2.0]), np.array([1.0, 1.0])]})
+    prior, start = 0.2, toxicity.blank(0.2).bias
+    loss = lambda g, y: np.log1p(np.exp(-y * g))
+
+    def risk(w, b):  # prior * positive part + the clean part, held at zero
+        g = np.array([w[0], 2 * w[1], w[0] + w[1]]) + b
+        clean = loss(g[1:], -1).mean() - prior * loss(g[:1], -1).mean()
+        return prior * loss(g[:1], 1).mean() + max(clean, 0), clean
+
+    w, b, eps = np.zeros(2), start, 1e-6
+    assert risk(w, b)[1] > 0
+    slope = np.array([(risk(w + eps * np.eye(2)[k], b)[0] - risk(w - eps * np.eye(2)[k], b)[0]) / (2 * eps) for k in range(2)])
+    got = toxicity.fit(rows, np.array([0, 1]), prior, rounds=1, shrink=0.0)
+    assert np.sign(got.weights[:2]).tolist() == (-np.sign(slope)).tolist()  # the first step of Adam is the rate, against the slope
+    assert np.allclose(np.abs(got.weights[:2]), toxicity.SCALE * 0.1, rtol=1e-3)
+
+
+def test_toxicity_with_repeats_conflicts_and_long_texts(spark):
+    rows = [(i, f"river garden {'vile scum' if i % 4 == 0 else 'music bread'} {i}") for i in range(400)] * 2 + [(900, "garden " * 300_000), (901, "vile scum " * 100_000), (None, None)]
+    labels = [(i, int(i % 4 == 0)) for i in range(0, 400, 2)] + [(4, 0), (8, 0), (None, 1)]  # a row of 1 decides
+    df = frame(spark, rows)
+    out = toxicity.score(df, toxicity.train(df, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()
+    assert len(out) == len(rows)
+    by = {x["doc_id"]: x["score"] for x in out}
+    assert by[901] > by[900] and min(by[i] for i in range(0, 400, 4)) > max(by[i] for i in range(400) if i % 4)
+
+
+def brute_lines(rows, least=5, constant=0.6, depth=3):
+    """Lines that go, by text: leaf, variable fields and templates looked up one by one."""
+    mask = lambda w: "#" if any(c in "0123456789" for c in w) else w
+    parsed = {i: [tuple(map(mask, x.split())) for x in t.split("\n")] for i, t in rows}
+    texts = {}
+    for i, own in parsed.items():
+        for x in own:
+            if x:
+                texts.setdefault(x, set()).add(dict(rows)[i])
+    leaf = lambda x: (len(x), x[:depth])
+    by_leaf = {}
+    for x in texts:
+        by_leaf.setdefault(leaf(x), []).append(x)
+    gone = {x for x in texts if len(texts[x]) >= least}
+    for own in by_leaf.values():
+        if len(set().union(*[texts[x] for x in own])) < least:
+            continue
+        n = {}
+        for x in own:
+            for k, w in enumerate(x):
+                n[k, w] = n.get((k, w), 0) + len(texts[x])
+        shape = {x: tuple(w if w != "#" and n[k, w] >= least else None for k, w in enumerate(x)) for x in own}
+        fit = [x for x in own if sum(w is not None for w in shape[x]) >= constant * len(x)]
+        for s in {shape[x] for x in fit}:
+            same = [x for x in fit if shape[x] == s]
+            if sum(len(texts[x]) for x in same) >= least:
+                gone |= set(same)
+    return {i: "\n".join(raw for raw, x in zip(t.split("\n"), parsed[i], strict=True) if x not in gone) for i, t in rows}
+
+
+def test_lines_against_brute_force(spark):
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abc") for _ in range(2))
+    kinds = ["by {} on {}", "page {} of {} here {}", "read more about {} now", "{} {}", "all rights reserved"]
+    rows = [(i, "\n".join(r.choice(kinds).format(*[r.choice([word(), str(r.randint(0, 99))]) for _ in range(3)]) for _ in range(r.randint(1, 8)))) for i in range(60)]
+    rows.append((99, "\n".join([f"own{k} line{k} of text {word()}" for k in range(20_000)])))
+    out = {x["doc_id"]: x["text"] for x in lines.drop_lines(frame(spark, rows)).collect()}
+    assert out == brute_lines(rows)
+
+
 def test_components(spark):
     ws = Workspace(spark, "test")
     links = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 150)] + [(5, 5), (200, 100), (-3, -9)]

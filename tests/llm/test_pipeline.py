@@ -77,3 +77,16 @@ def test_documents_of_mostly_boilerplate_lose_it_and_near_copies_keep_their_line
     out = {x["doc_id"]: (x["text"], x["n_chars"]) for x in corpus_pipeline.drop_boilerplate(spark, docs, folder).collect()}
     assert {i: out[i] for i in range(8)} == {i: (own[i], len(own[i])) for i in range(8)}
     assert all(out[i] == (t, len(t)) for i, t in rows[8:])
+
+
+def test_nulls_repeats_and_odd_columns_go_through_every_stage(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id < 40 OR doc_id > 600")
+    more = spark.createDataFrame([(None, "a text without an id", None, None, None), (None, None, None, None, None), (7000, "the same row twice", "en", "s", 18), (7000, "the same row twice", "en", "s", 18), (7001, "", "en", "s", 0)], docs.schema)
+    docs = docs.union(more).select("*", *[F.lit(1).alias(c) for c in ("a.b", "row", "_id", "_text", "score", "fp", "n_dropped", "bucket")])
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, folder)
+        if k < 4:
+            assert out.columns == docs.columns
+            docs = out
+    ids = [r["doc_id"] for r in out.collect()]
+    assert ids.count(7000) == 1 and ids.count(None) == 2 and 7001 not in ids  # the null text, of a null id, stands for the empty ones
