@@ -17,31 +17,33 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score of 0.5 or more go."""
+    """Documents with a score of 0.5 or more go. Null and empty texts are scored like others; null ids and repeated rows stay as they are."""
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
     kept = toxicity.score(rows, model, keep=["row"]).filter("score < 0.5")
-    return kept.select("row.*")
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go, whatever their share of a document; near copies count as one text. n_chars follows the text."""
-    done = lines.drop_lines(docs, copies=False)
+    """Lines of recurring templates go, whatever their share of a document; near copies count as one text. n_chars follows the text. Null texts stay null; rows that repeat are treated alike."""
+    own = "_own_n_dropped"  # a column of that name is the table's own
+    done = lines.drop_lines(docs.withColumnRenamed("n_dropped", own), copies=False)
     n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return done.withColumn("n_chars", n_chars).select(*docs.columns)
+    return done.withColumn("n_chars", n_chars).select(*[F.col(own if c == "n_dropped" else f"`{c}`").alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies stays."""
+    """One document of each group of copies and near copies stays, that of the least id, null first. Null and wordless texts are one group; rows that repeat are copies."""
     return simhash.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, or nearly, go."""
+    """Documents that hold a benchmark item, or nearly, go. A null text holds none."""
     return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each document, null ids and repeated rows too."""
     return packing.pack(docs)
 
 
