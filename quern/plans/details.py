@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quern.functions import locale, text
@@ -12,7 +13,8 @@ from quern.plans.find import Find
 from quern.sources.files import import_rows
 from quern.streaming import transcript
 
-D = F.col("doc_id")
+def _d() -> Column:
+    return F.col("doc_id")
 
 
 def _docs(spark, sf_dir, **columns):
@@ -23,8 +25,8 @@ _PADDED = "CASE doc_id % 4 WHEN 0 THEN '  ' WHEN 1 THEN chr(9) || ' s' || doc_id
 
 
 def _menu(spark, sf_dir):
-    slug = F.when(D % 4 == 0, "  ").when(D % 4 == 1, F.concat(F.lit("\t s"), D, F.lit(" "))).when(D % 4 == 2, F.concat(F.lit("s"), D))
-    title = F.when(D % 3 == 0, " T ").when(D % 3 == 1, "\n")
+    slug = F.when(_d() % 4 == 0, "  ").when(_d() % 4 == 1, F.concat(F.lit("\t s"), _d(), F.lit(" "))).when(_d() % 4 == 2, F.concat(F.lit("s"), _d()))
+    title = F.when(_d() % 3 == 0, " T ").when(_d() % 3 == 1, "\n")
     return relations.menu(_docs(spark, sf_dir, slug=slug, title=title))
 
 
@@ -195,7 +197,7 @@ def o5_page_numbers(spark, sf_dir):
     """The page numbers that addresses name, each read once."""
     given = [(k, None if k == 0 else str(k) if k < 10 else "x") for k in range(20)]
     pages = spark.createDataFrame([(k, paging.page_number(t)) for k, t in given], "k long, page int")
-    return table(spark, sf_dir, "documents").select("doc_id", (D % 20).alias("k")).join(F.broadcast(pages), "k").select("doc_id", "page")
+    return table(spark, sf_dir, "documents").select("doc_id", (_d() % 20).alias("k")).join(F.broadcast(pages), "k").select("doc_id", "page")
 
 
 @query("SELECT * FROM (VALUES (1, 3), (4, 2), (0, 2), (-1, 2), (3, 3), (20, 2)) AS t(want, page) WHERE want IN (4, 0, -1, 20) UNION ALL SELECT 1, 1 UNION ALL SELECT 3, 3")
@@ -211,7 +213,7 @@ def o8_newest_first(spark, sf_dir):
 
 @query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM documents) AS t WHERE rn BETWEEN 2 AND 4")
 def o10_without_the_first(spark, sf_dir):
-    out = relations.slots(table(spark, sf_dir, "documents"), [F.desc("n_chars"), D], 4, "source")
+    out = relations.slots(table(spark, sf_dir, "documents"), [F.desc("n_chars"), _d()], 4, "source")
     return out.filter("position > 1").select("source", "doc_id")
 
 
@@ -264,8 +266,8 @@ def f12_parse_float(spark, sf_dir):
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a' || doc_id WHEN doc_id % 3 = 1 THEN source ELSE 'none' END AS value FROM documents")
 def f13_f19_first_filled(spark, sf_dir):
-    a = F.when(D % 3 == 0, F.concat(F.lit("a"), D)).when(D % 3 == 1, "")
-    b = F.when(D % 3 == 1, F.col("source")).otherwise("")
+    a = F.when(_d() % 3 == 0, F.concat(F.lit("a"), _d())).when(_d() % 3 == 1, "")
+    b = F.when(_d() % 3 == 1, F.col("source")).otherwise("")
     return _docs(spark, sf_dir, value=text.first_filled(a, b, F.lit("none")))
 
 
@@ -295,7 +297,7 @@ def f17_players(spark, sf_dir):
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang || '=' || source WHEN doc_id % 3 = 1 THEN '' END AS token FROM documents")
 def f18_s12_cookies(spark, sf_dir):
-    first = F.when(D % 3 == 0, F.concat(F.lit("tok="), "lang", F.lit("%3D"), "source", F.lit("; tok=no"))).when(D % 3 == 1, "tok").otherwise("token=1")
+    first = F.when(_d() % 3 == 0, F.concat(F.lit("tok="), "lang", F.lit("%3D"), "source", F.lit("; tok=no"))).when(_d() % 3 == 1, "tok").otherwise("token=1")
     return _docs(spark, sf_dir, token=text.cookie(F.concat(F.lit("a=1; "), first), "tok"))
 
 
@@ -308,8 +310,8 @@ def f20_error_detail(spark, sf_dir):
 
 @query("SELECT doc_id, '/api/draft?slug=s' || doc_id || '&collection=' || c || '&path=' || p || '%2Fs' || doc_id || '&previewSecret=' || s AS url FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'research-labs' ELSE 'news' END AS c, CASE WHEN doc_id % 2 = 0 THEN '%2Fresearch%2Fr%26d-labs' ELSE '%2Fnews' END AS p, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'k+1' END AS s FROM documents) AS t")
 def f21_preview(spark, sf_dir):
-    kind = F.when(D % 2 == 0, "research-labs").otherwise("news")
-    return _docs(spark, sf_dir, url=text.preview_path(kind, F.concat(F.lit("s"), D), F.when(D % 3 != 0, "k 1")))
+    kind = F.when(_d() % 2 == 0, "research-labs").otherwise("news")
+    return _docs(spark, sf_dir, url=text.preview_path(kind, F.concat(F.lit("s"), _d()), F.when(_d() % 3 != 0, "k 1")))
 
 
 @query("SELECT doc_id, 'lang=' || lang || '&user=student' AS params FROM documents")
@@ -321,19 +323,19 @@ def f22_set_parameter(spark, sf_dir):
 
 @query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'page=' || doc_id % 9 ELSE 'page=' || doc_id % 9 || '&category=a+' || lang END AS query FROM documents")
 def f23_query_string(spark, sf_dir):
-    return _docs(spark, sf_dir, query=text.query_string([("page", D % 9), ("category", F.when(F.col("lang") == "en", "").otherwise(F.concat(F.lit("a "), "lang")))]))
+    return _docs(spark, sf_dir, query=text.query_string([("page", _d() % 9), ("category", F.when(F.col("lang") == "en", "").otherwise(F.concat(F.lit("a "), "lang")))]))
 
 
 @query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'https://a' WHEN 1 THEN 'https://p.q' ELSE 'http://localhost:3000' END AS server, CASE WHEN doc_id % 4 = 0 THEN 'https://h:80' WHEN doc_id % 4 = 1 THEN 'https://h' WHEN doc_id % 3 = 1 THEN 'https://p.q' WHEN doc_id % 3 = 0 THEN 'https://a' ELSE '' END AS client FROM documents")
 def f24_addresses(spark, sf_dir):
-    public, production = F.when(D % 3 == 0, "https://a").otherwise(""), F.when(D % 3 == 1, "p.q")
-    host, port = F.when(D % 4 < 2, "h"), F.when(D % 4 == 0, "80").otherwise("")
+    public, production = F.when(_d() % 3 == 0, "https://a").otherwise(""), F.when(_d() % 3 == 1, "p.q")
+    host, port = F.when(_d() % 4 < 2, "h"), F.when(_d() % 4 == 0, "80").otherwise("")
     return _docs(spark, sf_dir, server=text.server_url(public, production), client=text.client_url(F.lit("https:"), host, port, production, public))
 
 
 @query("SELECT doc_id, CAST([302, 403, 404, 404, 404, 500, 403, 401][CAST(doc_id % 8 + 1 AS INTEGER)] AS INTEGER) AS status FROM documents")
 def f25_preview_status(spark, sf_dir):
-    k = D % 8
+    k = _d() % 8
     path = F.when(k == 2, None).when(k == 5, "news/a").otherwise("/news/a")
     status = text.preview_status(k != 1, path, F.when(k != 3, "news"), F.when(k == 4, "").otherwise("a"), k == 6, F.when(k != 7, "u"))
     return _docs(spark, sf_dir, status=status)
@@ -346,7 +348,7 @@ def f26_numbers(spark, sf_dir):
 
 @query("SELECT doc_id, '/news/s' || doc_id AS link FROM documents")
 def f29_link(spark, sf_dir):
-    return _docs(spark, sf_dir, link=text.detail_link("/news", F.concat(F.lit("s"), D)))
+    return _docs(spark, sf_dir, link=text.detail_link("/news", F.concat(F.lit("s"), _d())))
 
 
 @query("""SELECT doc_id, lang || ' "' || source || '"' AS plain FROM documents""")
