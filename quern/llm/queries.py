@@ -113,3 +113,47 @@ reach AS (SELECT r, r AS other FROM e UNION SELECT reach.r, link.other FROM reac
 SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
 FROM e JOIN (SELECT reach.r, min(o.vec_id) AS component_id FROM reach JOIN e AS o ON reach.other = o.r GROUP BY reach.r) AS c ON e.r = c.r LEFT JOIN (SELECT r, count(*) AS n FROM link GROUP BY r) AS n ON e.r = n.r
 """
+
+
+# The parts of op2, op3 and op5 that SQL can express, by the operators' own functions and over the same whole tables.
+
+
+@query
+def urls_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host, path = urls.host_and_path(F.col("url"))
+    split = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    rule = urls.rule_of(F.col("host"), F.col("path"), RULES)
+    return split.select("page_id", "host", "path", rule["rule"].alias("rule"), rule["verdict"].alias("rule_verdict"))
+
+
+ORACLE["urls_by_rule"] = """
+WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+r AS (SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) AS v(verdict, name, start)),
+fit AS (SELECT page_id, verdict, name || start AS rule, row_number() OVER (PARTITION BY page_id ORDER BY length(name || start) DESC) AS rn FROM p JOIN r ON (p.host = r.name OR ends_with(p.host, '.' || r.name)) AND starts_with(p.path, r.start))
+SELECT p.page_id, p.host, p.path, fit.rule, fit.verdict AS rule_verdict FROM p LEFT JOIN fit ON p.page_id = fit.page_id AND fit.rn = 1
+"""
+
+
+@query
+def licence_base_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+ORACLE["licence_base_phrases"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT * FROM (VALUES ('under the mit license', 4, 'mit'), ('apache license version 2', 4, 'apache-2'), ('cc by nc', 3, 'cc-by-nc')) AS v(phrase, n, label)),
+hit AS (SELECT r, i - 1 AS pos, label FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d) AS t JOIN b ON t.w[i] = split_part(b.phrase, ' ', 1) AND array_to_string(t.w[i:i + n - 1], ' ') = b.phrase),
+s AS (SELECT r, count(*) AS n, min(pos) AS first, max(pos) AS last, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM hit GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(s.n, 0) AS n_base, s.first AS first_word, s.last AS last_word, coalesce(s.labels, '') AS base_labels FROM d LEFT JOIN s ON d.r = s.r
+"""
+
+
+@query
+def packing_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", packing.tokens(F.col("text")).alias("n_tokens"))
+
+
+ORACLE["packing_lengths"] = r"""
+SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+|[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\s\p{Z}]')) AS BIGINT) AS n_tokens FROM documents
+"""
