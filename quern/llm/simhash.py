@@ -341,7 +341,7 @@ def near_links(ws: Workspace, groups: DataFrame, pairs: DataFrame, sets: DataFra
     groups = ws.save(groups.join(hubs.select("g"), "g", "left_semi"))
     left = groups
     joined = None
-    links, many = [], HUBS
+    many = HUBS
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     while True:
         met = groups.join(hubs, "g").filter((F.col("_h") != F.col("b")) & (F.least("n", "nb") + 1e-9 >= similarity * F.greatest("n", "nb")))
@@ -350,11 +350,9 @@ def near_links(ws: Workspace, groups: DataFrame, pairs: DataFrame, sets: DataFra
             root = joined.select("node", "root")
             met = met.join(root.toDF("a", "ra"), "a", "left").join(root.toDF("b", "rb"), "b", "left")
             met = met.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-        links.append(ws.save(alike(ws, ws.save(met), sets, similarity)))
-        found = links[0]
-        for more in links[1:]:
-            found = found.union(more)
-        joined = ws.save(components(ws, found))
+        links = alike(ws, ws.save(met), sets, similarity)
+        # What is joined so far is a star by now and needs few steps more.
+        joined = ws.save(components(ws, ws.save(links if joined is None else links.union(joined.select("node", "root")))))
         pairs = pairs.limit(0)
         # Members that are in the component of no hub of their group so far.
         name = lambda t, c: t.join(joined.withColumnRenamed("node", c), c, "left").withColumn("root", F.coalesce("root", c))
@@ -367,7 +365,7 @@ def near_links(ws: Workspace, groups: DataFrame, pairs: DataFrame, sets: DataFra
         chosen = left.join(counted, "g").filter((F.pmod(F.xxhash64("_h", F.lit(many)), step) == 0) | (F.col("_h") == F.col("least")))
         hubs = ws.save(chosen.select("g", F.col("_h").alias("b"), F.col("n").alias("nb")))
         groups = groups.join(counted.select("g"), "g", "left_semi")
-        many *= 2
+        many *= 8
 
 
 def near_classes(ws: Workspace, keyed: DataFrame, width: int = 2, budget: int = 4, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
