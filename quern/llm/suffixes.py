@@ -15,7 +15,7 @@ on samples of the suffixes and reach single ones last:
 2. In the rims that remain, one of every ``block`` neighbouring suffixes, by the bytes they
    share. A block whose shared bytes are unique holds no repeat; one that is equal to
    another as a whole is all repeats.
-3. The suffixes in the blocks left over, by doubling: 64, 128, 256, 400 bytes.
+3. The suffixes in the blocks left over, by doubling: 64, 128, 256 or 100, 200, 400 bytes.
 
 The whole goes twice: by 256 bytes, then by 400 for the texts that have repeats of 256.
 """
@@ -84,7 +84,7 @@ def covered_bytes(spans: DataFrame) -> DataFrame:
     return repeats.covered(spans).select(*repeats.KEY, F.aggregate("spans", start, step)["n"].alias("n_repeated"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 64, block: int = 16, report: int = 256) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 100, block: int = 16, report: int = 256) -> DataFrame:
     """One row for each row of docs: (id_col, n_bytes, n_removed, n_spans, kept_sha256, n_repeated).
 
     Removed is every byte that lies in a string of ``length`` bytes which starts at another
@@ -96,10 +96,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     ws = Workspace(docs.sparkSession, "suffixes")
     report = min(report, length)
-    match_at = lambda n: lambda w, t: match(w, t, n, min(gram, n), min(block, n))
-    near, short = repeats.repeated(ws, repeats.keyed(docs, id_col, text_col), "bytes", report, gram, match_at(report))
+    match_at = lambda n, first: lambda w, t: match(w, t, n, min(first, n), min(block, n))
+    small = min(gram, 64)
+    near, short = repeats.repeated(ws, repeats.keyed(docs, id_col, text_col), "bytes", report, small, match_at(report, small))
     repeated = ws.save(covered_bytes(short))
-    texts, spans = repeats.repeated(ws, near, "bytes", length, gram, match_at(length)) if report < length else (near, short)
+    texts, spans = repeats.repeated(ws, near, "bytes", length, gram, match_at(length, gram)) if report < length else (near, short)
     cut = repeats.without(texts, spans, "bytes", _RESULT, _kept)
     base = docs.select(*repeats.row_key(id_col, text_col), F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.select(*repeats.KEY, id_col, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
