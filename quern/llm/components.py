@@ -13,20 +13,20 @@ from pyspark.sql import functions as F
 from quern.llm.common import Workspace
 
 
-def _star(ws: Workspace, links: DataFrame, large: bool) -> DataFrame:
-    """links: (hi, lo), hi > lo. Returns links of the same components, nearer to stars."""
+def _star(ws: Workspace, links: DataFrame, rows: int, large: bool) -> DataFrame:
+    """links: (hi, lo), hi > lo, so many rows. Returns links of the same components, nearer to stars."""
     if large:
         both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(links.select("lo", "hi"))
     else:
         both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
     # Saved, so that the join below has a plain exchange on either side and hubs can be split.
-    least = ws.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    least = ws.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), rows)
     joined = both.join(least, "u")
     if large:
         out = joined.filter("v > u AND v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
     else:
         out = joined.filter("v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).union(least.filter("u <> m").select("u", "m"))
-    out = ws.save(out.distinct())
+    out = ws.save(out.distinct(), rows)
     ws.drop(least)
     return out
 
@@ -45,8 +45,8 @@ def components(ws: Workspace, links: DataFrame) -> DataFrame:
     now = ws.save(links.filter(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
     sign = _sign(now)
     while sign[0]:
-        large = _star(ws, now, True)
-        small = _star(ws, large, False)
+        large = _star(ws, now, sign[0], True)
+        small = _star(ws, large, sign[0], False)
         ws.drop(now, large)
         now, was, sign = small, sign, _sign(small)
         if sign == was:
