@@ -25,8 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import Workspace, partitions
-from quern.llm.components import components
-from quern.llm.simhash import _merge
+from quern.llm.components import components, merge
 
 #: Vectors that clusters are fitted on, at most, and clusters, at most: both bound what the driver holds. A cluster is cut
 #: into parts beyond 4096 vectors, so from 268 million different vectors on the work grows faster than their number.
@@ -182,7 +181,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links that join what (a, b) join: each id and the least position it reaches."""
     ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
     parent = np.arange(len(ids))
-    _merge(parent, flat[: len(a)], flat[len(a) :])
+    merge(parent, flat[: len(a)], flat[len(a) :])
     other = np.flatnonzero(parent != np.arange(len(ids)))
     return ids[other], ids[parent[other]]
 

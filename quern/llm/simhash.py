@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import windows
 from quern.llm.common import Workspace, partitions, row_key, text_bytes
-from quern.llm.components import components
+from quern.llm.components import components, merge
 
 BITS = 64
 #: Node pairs that are walked at a time, and pairs of leaves small enough to compare outright.
@@ -76,22 +76,6 @@ def paths(budget: int, deals: int) -> list[list[int]]:
     return out
 
 
-def _merge(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Union-find over arrays: joins the sets of a[i] and b[i]."""
-    while len(a):
-        a, b = parent[a], parent[b]
-        keep = a != b
-        a, b = a[keep], b[keep]
-        if not len(a):
-            break
-        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            up = parent[parent]
-            if np.array_equal(up, parent):
-                break
-            parent[:] = up
-
-
 def _pairs(na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For group sizes na, nb: the group, and both positions inside it, of every pair."""
     n = na * nb
@@ -120,7 +104,7 @@ def walk(fps: np.ndarray, roots: list[tuple[np.ndarray, ...]], budget: int) -> n
             g, i, j = _pairs(na[leaf], nb[leaf])
             a, b = lo[leaf][g] + i, lo2[leaf][g] + j
             near = (a != b) & (np.bitwise_count(fps[a] ^ fps[b]) <= budget)
-            _merge(parent, a[near], b[near])
+            merge(parent, a[near], b[near])
         lo, hi, lo2, hi2, diff, bit = (x[~leaf] for x in (lo, hi, lo2, hi2, diff, bit))
         if not len(lo):
             continue
@@ -227,7 +211,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ws = Workspace(docs.sparkSession, "simhash")
     marked = ws.save(fingerprints(docs, id_col, text_col, width))
     reps = ws.save(marked.groupBy("fp").agg(F.min("id").alias("rep")))
-    found = components(ws, link_forest(ws, reps.select("fp"), budget))
+    found = ws.save(components(ws, link_forest(ws, reps.select("fp"), budget)))
     linked = found.join(reps, found["node"] == reps["fp"]).select("node", "root", "rep")
     least = ws.save(linked.groupBy("root").agg(F.min("rep").alias("least")))
     by_fp = ws.save(reps.join(found, reps["fp"] == found["node"], "left").join(least, "root", "left").select("fp", F.coalesce("least", "rep").alias("component_id")))

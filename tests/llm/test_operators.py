@@ -440,14 +440,15 @@ def test_lines_against_brute_force(spark):
     assert out == brute_lines(rows)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("whole", [0, components.WHOLE])
+def test_components(spark, whole):
     ws = Workspace(spark, "test")
     links = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 150)] + [(5, 5), (200, 100), (-3, -9)]
     nodes = sorted({x for p in links for x in p})
-    found = dict(got(components.components(ws, spark.createDataFrame(links, "a long, b long"))))
+    found = dict(got(components.components(ws, spark.createDataFrame(links, "a long, b long"), whole)))
     want = brute.components(nodes, links)
     assert found == want
-    assert got(components.components(ws, spark.createDataFrame([], "a long, b long"))) == []
+    assert got(components.components(ws, spark.createDataFrame([], "a long, b long"), whole)) == []
 
 
 def test_checkpoint_folder_is_asked_for(spark, monkeypatch):
