@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, graph, licences, lines, packing, passages, simhash, suffixes, toxicity, urls
+from quern.llm import decontaminate, graph, infill, licences, lines, mixing, packing, passages, periods, simhash, suffixes, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -78,6 +78,23 @@ def op10_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op11_fim_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.transform(table(spark, sf_dir, "documents"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+@query
+def op12_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.find(table(spark, sf_dir, "documents"), plant=True)
+
+
 #: Every window of a text by its hash, the repeated ones, and what they cover; the texts are cut from what is left between.
 ORACLE["op4_suffix_dedup"] = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
@@ -114,6 +131,59 @@ SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, e.
 FROM e JOIN (SELECT reach.r, min(o.vec_id) AS component_id FROM reach JOIN e AS o ON reach.other = o.r GROUP BY reach.r) AS c ON e.r = c.r LEFT JOIN (SELECT r, count(*) AS n FROM link GROUP BY r) AS n ON e.r = n.r
 """
 
+#: Offsets are the lengths of the first units, joined.
+ORACLE["op11_fim_units"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT r, doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS u, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2, CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM d),
+f AS (
+    SELECT r, doc_id, text, u, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS low, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS high,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h
+),
+c AS (SELECT *, array_to_string(u[1:low], '') AS prefix, array_to_string(u[low + 1:high], '') AS middle, array_to_string(u[high + 1:n], '') AS suffix FROM f),
+o AS (SELECT *, CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END AS output FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+sha256(output) AS output_sha256, sha256(CASE WHEN form = 'plain' THEN output ELSE prefix || middle || suffix END) AS restored_sha256 FROM o
+"""
+#: The rounds of clamping are a recursion over the words for a unit of weight; the place in the seeded order is a sum over a window.
+ORACLE["op12_water_filling"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('1:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:16] AS key FROM documents),
+s AS MATERIALIZED (SELECT source, source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source)),
+unit(k, u) AS (
+    SELECT 0, CAST(0 AS DOUBLE)
+    UNION ALL
+    SELECT k + 1, (SELECT CAST(sum(source_size) - coalesce(sum(CASE WHEN weight * unit.u > 3 * source_size THEN 3 * source_size END), 0) AS DOUBLE) / CAST(sum(CASE WHEN NOT weight * unit.u > 3 * source_size THEN weight END) AS DOUBLE) FROM s)
+    FROM unit WHERE k < (SELECT count(*) FROM s)
+),
+t AS (SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), weight * (SELECT coalesce(max(u), 0) FROM unit)) AS target FROM s),
+w AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
+p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d),
+x AS (SELECT doc_id, size, source_size, target, whole, CAST(greatest(0, least(size, CAST(floor(target + 0.5) AS BIGINT) - whole * source_size - before)) AS BIGINT) AS part FROM p JOIN w ON p.source IS NOT DISTINCT FROM w.source)
+SELECT doc_id, size, source_size, target, whole * size + part AS taken, whole, part FROM x
+"""
+#: A run's words stand again a period on, so its fives do: periods come from pairs of equal fives, runs from unbroken stretches of equal words.
+ORACLE["op13_periodic_runs"] = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), [CAST(0 AS BIGINT) for i in range(8)]), lambda e, z: xor(e >> 1, CASE WHEN e & 1 = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END))), CAST(4294967295 AS BIGINT)) AS h
+    FROM documents
+),
+a AS (SELECT r, doc_id, w, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, h // 10 AS g FROM d),
+m AS (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) END AS w FROM a),
+t AS MATERIALIZED (SELECT r, unnest(w) AS word, unnest(range(n)) AS i FROM m),
+five AS MATERIALIZED (SELECT r, i, md5(array_to_string(w[i + 1:i + 5], ' ')) AS f FROM (SELECT r, w, unnest(range(n - 4)) AS i FROM m) AS x),
+twice AS MATERIALIZED (SELECT * FROM five SEMI JOIN (SELECT r, f FROM five GROUP BY r, f HAVING count(*) > 1) AS y USING (r, f)),
+period AS MATERIALIZED (SELECT x.r, y.i - x.i AS q FROM twice AS x JOIN twice AS y ON x.r = y.r AND x.f = y.f AND x.i < y.i GROUP BY x.r, y.i - x.i HAVING count(*) >= greatest(6, 4 * q) - q - 4),
+equal AS (SELECT x.r, p.q, x.i, x.i - row_number() OVER (PARTITION BY x.r, p.q ORDER BY x.i) AS g FROM period AS p JOIN t AS x ON p.r = x.r JOIN t AS y ON y.r = x.r AND y.i = x.i + p.q AND y.word = x.word),
+stretch AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM equal GROUP BY r, q, g HAVING count(*) + q >= greatest(6, 4 * q)),
+run AS MATERIALIZED (SELECT r, start, length, min(q) AS q FROM stretch GROUP BY r, start, length),
+s AS (SELECT r, count(*) AS n, arg_max({'s': start, 'l': length, 'q': q}, (length, -start, -q)) AS best, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS listed FROM run GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(start + q, start + length)) AS i FROM run),
+kept AS (SELECT t.r, string_agg(word, ' ' ORDER BY t.i) AS text FROM t ANTI JOIN gone ON t.r = gone.r AND t.i = gone.i GROUP BY t.r)
+SELECT m.doc_id, coalesce(s.n, 0) AS n_runs, best.s AS start, best.l AS length, best.q AS period, 1000 * best.l // best.q AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM m LEFT JOIN s ON m.r = s.r LEFT JOIN kept ON m.r = kept.r
+"""
+
 
 # The parts of op2, op3 and op5 that SQL can express, by the operators' own functions and over the same whole tables.
 
