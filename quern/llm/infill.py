@@ -16,8 +16,8 @@ from quern.llm.common import row_key
 
 #: Possessive, because neither a run of letters nor a block may give back what it has taken.
 UNIT = "[A-Za-z]++|[^A-Za-z]"
-#: Units of a block. A text of n units makes n / BLOCK rows, and BLOCK / 2 on average for each cut.
-BLOCK = 32
+#: Units of a block. A text of n units makes n / BLOCK rows to shuffle, and BLOCK / 2 on average for each cut, which stay where they are.
+BLOCK = 128
 P, S, M = "<P>", "<S>", "<M>"
 KEY = ["_id", "_h", "_n"]
 
@@ -32,9 +32,9 @@ def split(text: Column, size: int = 1) -> Column:
 
 
 def offsets(texts: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(key, first, second): characters before either cut, for texts (key, text, low, high) to be cut after low and high units, 0 <= low <= high.
+    """(key, n, first, second): characters before either cut, for texts (key, text, n, low, high) of n units to be cut after low and high of them, 0 <= low <= high.
 
-    Texts that come twice, key and all, count once. A cut at 0 units has no row of its own, and no offset.
+    Texts that come twice, key and all, count once.
     """
     own = lambda c: F.floor((F.col(c) - 1) / block).cast("int")  # the block that holds the last unit before a cut
     blocks = texts.select(*KEY, "low", "high", F.posexplode(split(F.col("text"), block)).alias("block", "piece"))
@@ -43,14 +43,14 @@ def offsets(texts: DataFrame, block: int = BLOCK) -> DataFrame:
     along = Window.partitionBy(*KEY).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     summed = blocks.withColumn("before", F.coalesce(F.sum("chars").over(along), F.lit(0))).filter("piece IS NOT NULL")
     cuts = F.array(*[F.struct(F.lit(k).alias("cut"), own(c).alias("block"), F.col(c).alias("units")) for k, c in ((1, "low"), (2, "high"))])
-    wanted = texts.select(*KEY, F.inline(cuts)).filter("units > 0").distinct()
-    hit = wanted.join(summed, [*KEY, "block"])
+    wanted = texts.select(*KEY, "n", F.inline(cuts)).distinct()
+    hit = wanted.join(summed, [*KEY, "block"], "left")  # a cut before the first unit meets no block
     rest = (F.col("units") - F.col("block").cast("long") * block).cast("int")
-    ones = hit.select(*KEY, "block", "cut", "before", rest.alias("rest"), F.posexplode(F.slice(split(F.col("piece")), F.lit(1), rest)).alias("at", "unit"))
+    ones = hit.select(*KEY, "n", "block", "cut", "units", "before", rest.alias("rest"), F.posexplode_outer(F.slice(split(F.col("piece")), F.lit(1), rest)).alias("at", "unit"))
     within = Window.partitionBy(*KEY, "block", "cut").orderBy("at")
-    found = ones.withColumn("offset", F.col("before") + F.sum(F.char_length("unit")).over(within)).filter("at + 1 = rest")
+    found = ones.withColumn("offset", F.coalesce(F.col("before") + F.sum(F.char_length("unit")).over(within), F.lit(0))).filter("units = 0 OR at + 1 = rest")
     at = lambda k: F.max(F.when(F.col("cut") == k, F.col("offset")))
-    return found.groupBy(*KEY).agg(at(1).alias("first"), at(2).alias("second"))
+    return found.groupBy(*KEY).agg(F.max("n").alias("n"), at(1).alias("first"), at(2).alias("second"))
 
 
 def number(digits: Column, k: int) -> Column:
@@ -70,22 +70,23 @@ def transform(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     digits = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))), 256)
     base = docs.select(*row_key(f"`{id_col}`", f"`{text_col}`"), F.col(f"`{id_col}`").alias("id"), text.alias("text"))
-    base = base.select("_id", "_h", F.octet_length("text").alias("_n"), "id", "text", units(F.col("text")).alias("n"), digits.alias("digits"))
-    a, b = (F.pmod(number(F.col("digits"), k), F.col("n") + 1) for k in (0, 1))
+    base = base.select("_id", "_h", F.octet_length("text").alias("_n"), "id", "text", digits.alias("digits"))
     marked = F.col("text").contains(P) | F.col("text").contains(S) | F.col("text").contains(M)
-    plain = (F.col("_n") == 0) | marked | (F.pmod(number(F.col("digits"), 2), F.lit(100)) >= rate)
-    form = F.when(plain, "plain").when(F.pmod(number(F.col("digits"), 3), F.lit(100)) < spm, "spm").otherwise("psm")
-    base = base.select(*KEY, "id", "text", "n", F.least(a, b).alias("low"), F.greatest(a, b).alias("high"), form.alias("form"))
-    found = offsets(base.filter("form <> 'plain'").select(*KEY, "text", "low", "high"), block)
-    # Texts stream past the offsets of their part: a few longs a text, held by key, and no sort of the texts.
-    joined = base.join(found.hint("shuffle_hash"), KEY, "left")
-    first, second = (F.when(F.col("form") != "plain", F.coalesce(c, F.lit(0)).cast("long")) for c in ("first", "second"))
-    joined = joined.select("id", "text", "n", "form", first.alias("first"), second.alias("second"))
-    cut = lambda lo, hi: F.substring(F.col("text"), lo.cast("int") + 1, (hi - lo).cast("int"))
-    end = F.char_length("text").cast("long")
-    prefix, middle, suffix = cut(F.lit(0), F.col("first")), cut(F.col("first"), F.col("second")), cut(F.col("second"), end)
-    output = F.when(F.col("form") == "psm", F.concat(F.lit(P), prefix, F.lit(S), suffix, F.lit(M), middle)).when(F.col("form") == "spm", F.concat(F.lit(S), suffix, F.lit(P), prefix, F.lit(M), middle))
-    return joined.select(F.col("id").alias(id_col), "n", "form", F.col("first").alias("prefix_chars"), (F.col("second") - F.col("first")).alias("middle_chars"), F.coalesce(output, F.col("text")).alias("output"))
+    is_plain = (F.col("_n") == 0) | marked | (F.pmod(number(F.col("digits"), 2), F.lit(100)) >= rate)
+    plain, cut = base.filter(is_plain), base.filter(~is_plain)
+    numbered = cut.select(*KEY, "text", "digits", units(F.col("text")).alias("n"))
+    a, b = (F.pmod(number(F.col("digits"), k), F.col("n") + 1) for k in (0, 1))
+    found = offsets(numbered.select(*KEY, "text", "n", F.least(a, b).alias("low"), F.greatest(a, b).alias("high")), block)
+    form = F.when(F.pmod(number(F.col("digits"), 3), F.lit(100)) < spm, "spm").otherwise("psm")
+    # Texts stream past the offsets of their part: a few longs a text, held by key, and no sort of the texts. Plain ones stay where they are.
+    joined = cut.select(*KEY, "id", "text", form.alias("form")).join(found.hint("shuffle_hash"), KEY)
+    part = lambda lo, hi: F.substring(F.col("text"), lo.cast("int") + 1, (hi - lo).cast("int"))
+    prefix, middle, suffix = part(F.lit(0), F.col("first")), part(F.col("first"), F.col("second")), F.substring(F.col("text"), F.col("second").cast("int") + 1, F.char_length("text"))
+    output = F.when(F.col("form") == "psm", F.concat(F.lit(P), prefix, F.lit(S), suffix, F.lit(M), middle)).otherwise(F.concat(F.lit(S), suffix, F.lit(P), prefix, F.lit(M), middle))
+    joined = joined.select(F.col("id").alias(id_col), "n", "form", F.col("first").cast("long").alias("prefix_chars"), (F.col("second") - F.col("first")).cast("long").alias("middle_chars"), output.alias("output"))
+    none = F.lit(None).cast("long")
+    whole = plain.select(F.col("id").alias(id_col), units(F.col("text")).alias("n"), F.lit("plain").alias("form"), none.alias("prefix_chars"), none.alias("middle_chars"), F.col("text").alias("output"))
+    return joined.union(whole)
 
 
 def restored(output: Column, form: Column) -> Column:
