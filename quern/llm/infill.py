@@ -2,9 +2,10 @@
 
 Where a text is cut is a number of units (a run of letters, or one other character); what is
 needed is a number of characters. The relational way: texts become rows of blocks, BLOCK
-units each; a window sums the blocks' lengths along the text; a cut meets the block with its
-unit by number; that block becomes rows of units, summed along in the same way up to the cut.
-Only the offsets found go back to the texts, which are cut by ``substring``.
+units each; a window sums the blocks' lengths along the text; a cut request meets the block
+that holds its unit by number; the offsets found are gathered by text and go back to it. What
+is left of a cut, under a block of units, is counted in the text itself, which ``substring``
+cuts. Only keys and lengths are shuffled on the way, no pieces of text.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from quern.llm.common import row_key
 
 #: Possessive, because neither a run of letters nor a block may give back what it has taken.
 UNIT = "[A-Za-z]++|[^A-Za-z]"
-#: Units of a block. A text of n units makes n / BLOCK rows to shuffle, and BLOCK / 2 on average for each cut, which stay where they are.
+#: Units of a block. A text of n units makes n / BLOCK rows to shuffle, and BLOCK / 2 on average to count on for each cut.
 BLOCK = 128
 P, S, M = "<P>", "<S>", "<M>"
 KEY = ["_id", "_h", "_n"]
@@ -32,25 +33,30 @@ def split(text: Column, size: int = 1) -> Column:
 
 
 def offsets(texts: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(key, n, first, second): characters before either cut, for texts (key, text, n, low, high) of n units to be cut after low and high of them, 0 <= low <= high.
+    """(key, n, first, second): for texts (key, text, n, low, high) of n units, to be cut after low and high of them, where either cut lies.
 
-    Texts that come twice, key and all, count once.
+    first and second are structs: characters before the cut's block, and units from there
+    to the cut. The block is the one of the last unit before the cut. Texts that come
+    twice, key and all, count once. 0 <= low <= high.
     """
-    own = lambda c: F.floor((F.col(c) - 1) / block).cast("int")  # the block that holds the last unit before a cut
-    blocks = texts.select(*KEY, "low", "high", F.posexplode(split(F.col("text"), block)).alias("block", "piece"))
-    piece = F.when(F.col("block").isin(own("low"), own("high")), F.col("piece"))
-    blocks = blocks.select(*KEY, "block", F.char_length("piece").alias("chars"), piece.alias("piece")).distinct()
+    own = lambda c: F.greatest(F.floor((F.col(c) - 1) / block), F.lit(0)).cast("int")
+    blocks = texts.select(*KEY, own("low").alias("a"), own("high").alias("b"), F.posexplode(split(F.col("text"), block)).alias("block", "piece"))
+    blocks = blocks.select(*KEY, "block", F.char_length("piece").alias("chars"), F.col("block").isin(F.col("a"), F.col("b")).alias("cut")).distinct()
     along = Window.partitionBy(*KEY).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    summed = blocks.withColumn("before", F.coalesce(F.sum("chars").over(along), F.lit(0))).filter("piece IS NOT NULL")
-    cuts = F.array(*[F.struct(F.lit(k).alias("cut"), own(c).alias("block"), F.col(c).alias("units")) for k, c in ((1, "low"), (2, "high"))])
-    wanted = texts.select(*KEY, "n", F.inline(cuts)).distinct()
-    hit = wanted.join(summed, [*KEY, "block"], "left")  # a cut before the first unit meets no block
-    rest = (F.col("units") - F.col("block").cast("long") * block).cast("int")
-    ones = hit.select(*KEY, "n", "block", "cut", "units", "before", rest.alias("rest"), F.posexplode_outer(F.slice(split(F.col("piece")), F.lit(1), rest)).alias("at", "unit"))
-    within = Window.partitionBy(*KEY, "block", "cut").orderBy("at")
-    found = ones.withColumn("offset", F.coalesce(F.col("before") + F.sum(F.char_length("unit")).over(within), F.lit(0))).filter("units = 0 OR at + 1 = rest")
-    at = lambda k: F.max(F.when(F.col("cut") == k, F.col("offset")))
-    return found.groupBy(*KEY).agg(F.max("n").alias("n"), at(1).alias("first"), at(2).alias("second"))
+    summed = blocks.withColumn("before", F.coalesce(F.sum("chars").over(along), F.lit(0)).cast("int")).filter("cut").select(*KEY, "block", "before")
+    requests = F.array(*[F.struct(F.lit(k).alias("cut"), own(c).alias("block"), F.col(c).alias("units")) for k, c in ((1, "low"), (2, "high"))])
+    wanted = texts.select(*KEY, "n", F.inline(requests)).distinct()
+    found = wanted.join(summed, [*KEY, "block"])
+    at = F.struct("before", (F.col("units") - F.col("block").cast("long") * block).cast("int").alias("rest"))
+    pick = lambda k: F.max(F.when(F.col("cut") == k, at))
+    return found.groupBy(*KEY).agg(F.max("n").alias("n"), pick(1).alias("first"), pick(2).alias("second"))
+
+
+def reached(text: Column, at: Column, block: int) -> Column:
+    """Characters before a cut: those before its block, and its units there. A unit can be as long as the text, so the block is read to the text's end, as far as the match goes."""
+    ahead = F.substring(text, at["before"] + 1, F.char_length(text))
+    own = F.regexp_extract(ahead, f"^(?:{UNIT}){{1,{block}}}+", 0)
+    return (at["before"] + F.char_length(F.array_join(F.slice(split(own), F.lit(1), at["rest"]), ""))).cast("long")
 
 
 def number(digits: Column, k: int) -> Column:
@@ -80,10 +86,11 @@ def transform(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     form = F.when(F.pmod(number(F.col("digits"), 3), F.lit(100)) < spm, "spm").otherwise("psm")
     # Texts stream past the offsets of their part: a few longs a text, held by key, and no sort of the texts. Plain ones stay where they are.
     joined = cut.select(*KEY, "id", "text", form.alias("form")).join(found.hint("shuffle_hash"), KEY)
+    joined = joined.select("id", "text", "form", "n", reached(F.col("text"), F.col("first"), block).alias("first"), reached(F.col("text"), F.col("second"), block).alias("second"))
     part = lambda lo, hi: F.substring(F.col("text"), lo.cast("int") + 1, (hi - lo).cast("int"))
     prefix, middle, suffix = part(F.lit(0), F.col("first")), part(F.col("first"), F.col("second")), F.substring(F.col("text"), F.col("second").cast("int") + 1, F.char_length("text"))
     output = F.when(F.col("form") == "psm", F.concat(F.lit(P), prefix, F.lit(S), suffix, F.lit(M), middle)).otherwise(F.concat(F.lit(S), suffix, F.lit(P), prefix, F.lit(M), middle))
-    joined = joined.select(F.col("id").alias(id_col), "n", "form", F.col("first").cast("long").alias("prefix_chars"), (F.col("second") - F.col("first")).cast("long").alias("middle_chars"), output.alias("output"))
+    joined = joined.select(F.col("id").alias(id_col), "n", "form", F.col("first").alias("prefix_chars"), (F.col("second") - F.col("first")).alias("middle_chars"), output.alias("output"))
     none = F.lit(None).cast("long")
     whole = plain.select(F.col("id").alias(id_col), units(F.col("text")).alias("n"), F.lit("plain").alias("form"), none.alias("prefix_chars"), none.alias("middle_chars"), F.col("text").alias("output"))
     return joined.union(whole)
