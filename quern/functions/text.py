@@ -110,12 +110,36 @@ def embed_url(url: Column) -> Column:
 
 
 def cookie(header: Column, name: str) -> Column:
-    """The first cookie of that name, percent-decoded; a plus sign stays."""
+    """The first cookie of that name, percent-decoded; a plus sign stays. Null where it has no value, or an empty one."""
     parts = F.transform(F.split(header, ";"), trim)
     own = F.filter(parts, lambda x: F.substring_index(x, "=", 1) == name)
     value = F.get(own, F.lit(0))
-    raw = F.when(F.contains(value, F.lit("=")), F.regexp_replace(value, "(?s)^[^=]*=", "")).otherwise("")
-    return F.when(value.isNotNull(), F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))))
+    raw = F.when(F.contains(value, F.lit("=")), F.regexp_replace(value, "(?s)^[^=]*=", ""))
+    return F.when(raw != "", F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    found = F.regexp_extract_all(tag, F.lit(rf"(?is)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"), F.lit(1))
+    value = F.get(found, F.lit(0))
+    return F.when(value.rlike("^[\"']"), F.regexp_replace(value, "^[\"']|[\"']$", "")).otherwise(value)
+
+
+def meta_content(html: Column, name: str) -> Column:
+    """The content of the page's first meta tag of that name, trimmed; null where there is none or it is blank. Character references stay as they are."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<meta(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"), F.lit(0))
+    own = F.filter(tags, lambda t: F.coalesce(_attribute(t, "name"), F.lit("")) == name)
+    value = trim(_attribute(F.get(own, F.lit(0)), "content"))
+    return F.when(value != "", value)
+
+
+#: Where a request's token is looked for, in this order: meta tags, then cookies.
+TOKEN_METAS = ("csrf-token", "csrf_token", "xsrf-token", "xsrf_token")
+TOKEN_COOKIES = ("csrf-token", "csrf_token", "XSRF-TOKEN", "xsrf-token", "xsrf_token")
+
+
+def token(html: Column, cookies: Column) -> Column:
+    """The first token that a meta tag or a cookie holds."""
+    return F.coalesce(*[meta_content(html, n) for n in TOKEN_METAS], *[cookie(cookies, n) for n in TOKEN_COOKIES])
 
 
 def error_detail(body: Column, fallback: Column | str) -> Column:

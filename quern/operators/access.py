@@ -16,6 +16,14 @@ def may(verb: str, user: str | None, preview: bool = False) -> bool:
     return preview or not VERBS[verb] or user is not None
 
 
+def allowed(verb: Column, signed_in: Column, preview: Column) -> Column:
+    """``may`` for a table of requests. An unknown verb is not allowed; null stands for no."""
+    needs = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in VERBS.items() for x in pair]), verb), F.lit(True))
+    known = F.coalesce(verb.isin(*VERBS), F.lit(False))
+    no = F.lit(False)
+    return F.coalesce(preview, no) | (known & (~needs | F.coalesce(signed_in, no)))
+
+
 def visible_users(df: DataFrame, username: str | None, is_admin: bool) -> DataFrame:
     """An admin sees all rows, another user the own one, nobody none."""
     if is_admin:

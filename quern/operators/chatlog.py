@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import csv_field, moment
+from quern.operators import ranks
 from quern.operators.faq import DAYS, search
 from quern.plans.find import Find
 from quern.plans.paging import SIZES
 
 #: Fixed value: the header of an export.
-HEADER = ("ask", "decision", "answer", "timestamp")
+HEADER = ("Câu hỏi", "Loại quyết định", "Trả lời", "Thời gian")
+
+
+_TOP = "\ufeff" + ",".join(f'"{h}"' for h in HEADER)
 
 
 def matching(df: DataFrame, keyword: str = "", decision: str = "") -> DataFrame:
@@ -31,17 +35,35 @@ def retained(df: DataFrame, column: str, as_of: Column, days: int) -> DataFrame:
     return df.filter(F.col(column) >= as_of - F.expr(f"make_interval(0, 0, 0, {days})"))
 
 
-def csv_lines(df: DataFrame) -> DataFrame:
-    """One ``line`` for each row, every field quoted."""
-    return df.select(F.concat_ws(",", *[csv_field(c) for c in (F.col("ask"), F.col("decistion_type"), F.col("answer"), moment(F.col("timestamp")))]).alias("line"))
+def csv_lines(df: DataFrame, *keep: str) -> DataFrame:
+    """One ``line`` for each row, every field quoted, beside the columns to keep."""
+    return df.select(*keep, F.concat_ws(",", *[csv_field(c) for c in (F.col("ask"), F.col("decistion_type"), F.col("answer"), moment(F.col("timestamp")))]).alias("line"))
 
 
 def csv_text(page: DataFrame, order: Column) -> str:
     """A loaded page as one CSV text: byte-order mark, header, CRLF. A page has at most 500 rows and ends up in the caller's hands."""
     rows = csv_lines(page.orderBy(order)).collect()
-    return "﻿" + "\r\n".join([",".join(f'"{h}"' for h in HEADER), *[r["line"] for r in rows]])
+    return "\r\n".join([_TOP, *[r["line"] for r in rows]])
+
+
+def export(df: DataFrame, path: str, *order: Column) -> None:
+    """A whole log as text files whose bytes, by file name one after the other, are the one CSV text of ``csv_text``.
+
+    Rows are dealt out by range, so files are written in parallel and in order; only the
+    first one has the byte-order mark and the header. Rows that tie in the order come in
+    any order. A spreadsheet's export is the same text under another name.
+    """
+    placed = ranks.numbered(df.select("ask", "decistion_type", "answer", "timestamp"), *order, name="_rank")
+    lines = csv_lines(placed, "_rank")
+    before = F.when(F.col("_rank") == 0, F.lit(_TOP + "\r\n")).otherwise(F.lit("\r\n"))
+    # Every line ends with a quote. That quote is what the writer puts behind a line, so that none has a line end behind it.
+    text = lines.select(F.concat(before, F.expr("left(line, length(line) - 1)")).alias("value"))
+    if df.isEmpty():
+        text = df.sparkSession.range(1).select(F.lit(_TOP[:-1]).alias("value")).coalesce(1)
+    text.write.option("lineSep", '"').text(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """A whole log as CSV files, in parallel: quoted fields, null as an empty text."""
-    df.select("ask", "decistion_type", F.coalesce("answer", F.lit("")).alias("answer"), "timestamp").write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    """A whole log as CSV files, each with the header, in parallel: quoted fields, null as an empty text, times as in ``csv_text``."""
+    named = [c.alias(h) for c, h in zip((F.col("ask"), F.col("decistion_type"), F.coalesce("answer", F.lit("")), moment(F.col("timestamp"))), HEADER, strict=True)]
+    df.select(*named).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)

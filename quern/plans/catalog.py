@@ -153,16 +153,21 @@ def m6_group_delete(spark, sf_dir):
     return relations.without(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter("toxic = 1"), "doc_id").select("doc_id", "lang")
 
 
-@query("SELECT n.n_nationkey, n.n_name, r.r_name AS media_url, r.r_name AS media_caption FROM nation AS n LEFT JOIN region AS r ON n.n_regionkey = r.r_regionkey AND r.r_regionkey < 3")
+def _nations(spark, sf_dir):
+    """One reference in five leads nowhere."""
+    return table(spark, sf_dir, "nation").withColumn("n_regionkey", F.when(F.col("n_nationkey") % 5 == 0, -1).otherwise(F.col("n_regionkey")))
+
+
+@query("SELECT n.n_nationkey, n.n_name, r.r_name AS media_url, r.r_name AS media_caption FROM nation AS n LEFT JOIN region AS r ON n.n_regionkey = r.r_regionkey AND n.n_nationkey % 5 <> 0")
 def j1_left_lookup(spark, sf_dir):
-    media = table(spark, sf_dir, "region").filter("r_regionkey < 3").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("url"), F.col("r_name").alias("caption"))
-    return relations.with_media(table(spark, sf_dir, "nation"), media, "n_regionkey").select("n_nationkey", "n_name", "media_url", "media_caption")
+    media = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("url"), F.col("r_name").alias("caption"))
+    return relations.with_media(_nations(spark, sf_dir), media, "n_regionkey").select("n_nationkey", "n_name", "media_url", "media_caption")
 
 
-@query("SELECT n.n_nationkey, coalesce(r.r_name, '') AS media_url, coalesce(r.r_name, n.n_name) AS media_caption FROM nation AS n LEFT JOIN region AS r ON n.n_regionkey = r.r_regionkey AND r.r_regionkey < 3")
+@query("SELECT n.n_nationkey, coalesce(r.r_name, '') AS media_url, coalesce(r.r_name, n.n_name) AS media_caption FROM nation AS n LEFT JOIN region AS r ON n.n_regionkey = r.r_regionkey AND n.n_nationkey % 5 <> 0")
 def j2_lookup_with_fallback(spark, sf_dir):
-    media = table(spark, sf_dir, "region").filter("r_regionkey < 3").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("url"), F.col("r_name").alias("caption"))
-    return relations.with_media(table(spark, sf_dir, "nation"), media, "n_regionkey", "n_name").select("n_nationkey", "media_url", "media_caption")
+    media = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("url"), F.col("r_name").alias("caption"))
+    return relations.with_media(_nations(spark, sf_dir), media, "n_regionkey", "n_name").select("n_nationkey", "media_url", "media_caption")
 
 
 @query("SELECT r.r_regionkey, string_agg(n.n_name, ',' ORDER BY n.n_nationkey) AS nations FROM region AS r LEFT JOIN nation AS n ON n.n_regionkey = r.r_regionkey GROUP BY r.r_regionkey")

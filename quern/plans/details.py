@@ -6,11 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quern.functions import locale, text
-from quern.operators import access, chatlog, faq, relations, versions
+from quern.operators import access, chatlog, faq, ranks, relations, versions
 from quern.plans import paging
 from quern.plans.catalog import query, table
 from quern.plans.find import Find
 from quern.sources.files import import_rows
+from quern.storage import shared
 from quern.streaming import transcript
 
 def _d() -> Column:
@@ -33,6 +34,30 @@ def _menu(spark, sf_dir):
 _MENU_SQL = f"SELECT trim(slug, ' ' || chr(9)) AS slug, CASE WHEN doc_id % 3 = 0 THEN ' T ' ELSE trim(slug, ' ' || chr(9)) END AS title FROM (SELECT doc_id, {_PADDED} AS slug FROM documents) AS t WHERE trim(coalesce(slug, ''), ' ' || chr(9)) <> ''"
 
 
+_MENU_ROWS = f"SELECT doc_id, lang, source, n_chars, CASE WHEN doc_id % 9 = 0 THEN 'draft' END AS status, {_PADDED} AS slug, CASE doc_id % 3 WHEN 0 THEN ' T ' WHEN 1 THEN chr(10) END AS title FROM documents"
+_MENU_DONE = "SELECT row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS place, trim(slug, ' ' || chr(9)) AS slug, CASE WHEN doc_id % 3 = 0 THEN ' T ' ELSE trim(slug, ' ' || chr(9)) END AS title FROM ({}) AS t WHERE lang = 'en' AND coalesce(status, 'published') = 'published' {} AND trim(coalesce(slug, ''), ' ' || chr(9)) <> ''"
+
+
+def _menu_of(spark, sf_dir, find):
+    """A menu as its address gives it: the find, in its order, then normalised; place is the order."""
+    slug = F.when(_d() % 4 == 0, "  ").when(_d() % 4 == 1, F.concat(F.lit("\t s"), _d(), F.lit(" "))).when(_d() % 4 == 2, F.concat(F.lit("s"), _d()))
+    title = F.when(_d() % 3 == 0, " T ").when(_d() % 3 == 1, "\n")
+    rows = table(spark, sf_dir, "documents").select(_d().alias("id"), "lang", F.col("source").alias("tag"), F.col("n_chars").alias("publishedAt"), F.when(_d() % 9 == 0, "draft").alias("_status"), slug.alias("slug"), title.alias("title"))
+    found = find.matching(rows).filter(text.trim(F.coalesce("slug", F.lit(""))) != "")
+    placed = ranks.numbered(found, *find.order(found), name="place")
+    return placed.select("place", text.trim(F.col("slug")).alias("slug"), text.menu_title(F.col("title"), F.col("slug")).alias("title"))
+
+
+@query(_MENU_DONE.format(_MENU_ROWS, "AND source = 'src1'"))
+def s2_course_menu_find(spark, sf_dir):
+    return _menu_of(spark, sf_dir, Find({"lang": {"equals": "en"}, "tag": {"equals": "src1"}}, "-publishedAt", published=True))
+
+
+@query(_MENU_DONE.format(_MENU_ROWS, ""))
+def s3_lab_menu_find(spark, sf_dir):
+    return _menu_of(spark, sf_dir, Find({"lang": {"equals": "en"}}, "-publishedAt", published=True))
+
+
 @query(_MENU_SQL)
 def s2_course_menu(spark, sf_dir):
     return _menu(spark, sf_dir)
@@ -75,10 +100,11 @@ def p13_tabs(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", access.tab_open(tab, role).alias("open"))
 
 
-@query("SELECT * FROM (VALUES ('create', false, false, false), ('create', true, false, true), ('read', false, false, true), ('update', false, false, false), ('update', false, true, true), ('delete', true, false, true)) AS t(verb, signed_in, preview, allowed)")
+@query("SELECT c_custkey, c_custkey % 5 = 0 OR (verb <> 'other' AND (verb = 'read' OR c_acctbal > 0)) AS allowed FROM (SELECT c_custkey, c_acctbal, CASE c_custkey % 6 WHEN 0 THEN 'create' WHEN 1 THEN 'read' WHEN 2 THEN 'update' WHEN 3 THEN 'delete' WHEN 4 THEN 'read' ELSE 'other' END AS verb FROM customer) AS t")
 def p14_p15_verbs(spark, sf_dir):
-    cases = [("create", False, False), ("create", True, False), ("read", False, False), ("update", False, False), ("update", False, True), ("delete", True, False)]
-    return spark.createDataFrame([(v, s, p, access.may(v, "u" if s else None, p)) for v, s, p in cases], "verb string, signed_in boolean, preview boolean, allowed boolean")
+    """Requests of customers; one in five is a preview, and those with money are signed in."""
+    verb = F.element_at(F.array(*[F.lit(v) for v in ("create", "read", "update", "delete", "read", "other")]), (F.col("c_custkey") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", access.allowed(verb, F.col("c_acctbal") > 0, F.col("c_custkey") % 5 == 0).alias("allowed"))
 
 
 @query("SELECT doc_id FROM documents WHERE source <> 'src0'")
@@ -192,17 +218,39 @@ def _changes(spark, sf_dir):
     return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("ok"), F.lit("low").alias("detail"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 20 BETWEEN 1 AND 9 THEN CAST(doc_id % 20 AS INTEGER) ELSE 1 END AS page FROM documents")
+@query("SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 1 WHEN 1 THEN greatest(doc_id, 1) WHEN 2 THEN 1 WHEN 3 THEN doc_id ELSE 1 END::INTEGER AS page FROM documents")
 def o5_page_numbers(spark, sf_dir):
-    """The page numbers that addresses name, each read once."""
-    given = [(k, None if k == 0 else str(k) if k < 10 else "x") for k in range(20)]
-    pages = spark.createDataFrame([(k, paging.page_number(t)) for k, t in given], "k long, page int")
-    return table(spark, sf_dir, "documents").select("doc_id", (_d() % 20).alias("k")).join(F.broadcast(pages), "k").select("doc_id", "page")
+    """The page numbers that addresses name: none, whole, negative, padded, zero, a fraction, with a word, too long."""
+    n = _d().cast("string")
+    given = F.when(_d() % 8 == 0, F.lit(None).cast("string")).when(_d() % 8 == 1, n).when(_d() % 8 == 2, F.concat(F.lit("-"), n)).when(_d() % 8 == 3, F.concat(F.lit(" +"), n, F.lit(" ")))
+    given = given.when(_d() % 8 == 4, "0").when(_d() % 8 == 5, F.concat(n, F.lit(".5"))).when(_d() % 8 == 6, F.concat(n, F.lit("_0"))).otherwise(F.concat(n, F.lit("00000000000")))
+    return _docs(spark, sf_dir, page=paging.page_of(given))
 
 
-@query("SELECT * FROM (VALUES (1, 3), (4, 2), (0, 2), (-1, 2), (3, 3), (20, 2)) AS t(want, page) WHERE want IN (4, 0, -1, 20) UNION ALL SELECT 1, 1 UNION ALL SELECT 3, 3")
+@query("""SELECT o_orderkey, CASE WHEN to_page BETWEEN 1 AND pages THEN to_page ELSE page END AS page,
+CASE WHEN to_size IN (200, 500) THEN 1 ELSE page END AS sized_page, CASE WHEN to_size IN (200, 500) THEN to_size ELSE 20 END AS size
+FROM (SELECT o_orderkey, 1 + o_custkey % 5 AS page, o_orderkey % 9 - 2 AS to_page, 5 AS pages, CASE o_orderkey % 4 WHEN 0 THEN 20 WHEN 1 THEN 200 WHEN 2 THEN 500 ELSE 50 END AS to_size FROM orders) AS t""")
 def o6_o7_moves(spark, sf_dir):
-    return spark.createDataFrame([(w, paging.move(2, w, 3)) for w in (4, 0, -1, 20, 1, 3)], "want int, page int")
+    """Steps from a page to another, of which some aren't there, and changes of the page size, of which some aren't offered."""
+    page, key = F.col("o_custkey") % 5 + 1, F.col("o_orderkey")
+    to_size = F.element_at(F.array(*[F.lit(n).cast("long") for n in (20, 200, 500, 50)]), (key % 4 + 1).cast("int"))
+    sized = paging.resized(page, F.lit(20).cast("long"), to_size)
+    return table(spark, sf_dir, "orders").select("o_orderkey", paging.moved(page, key % 9 - 2, F.lit(5)).alias("page"), sized["page"].alias("sized_page"), sized["size"].alias("size"))
+
+
+_SORTED = [("n_chars", True), ("doc_id", False)]
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS place, (row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1) // 20 + 1 AS page FROM documents")
+def a1_o3_w5_every_page(spark, sf_dir):
+    return paging.placed(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), _SORTED, 20).select("doc_id", "place", "page")
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20 OFFSET 60")
+def a1_page_by_key(spark, sf_dir):
+    """Page 4, by the first keys of the pages and no offset."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return paging.page_rows(docs, paging.starts(paging.placed(docs, _SORTED, 20), _SORTED), _SORTED, 4)
 
 
 @query("SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) - 1 AS pos FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
@@ -271,10 +319,10 @@ def f13_f19_first_filled(spark, sf_dir):
     return _docs(spark, sf_dir, value=text.first_filled(a, b, F.lit("none")))
 
 
-@query("SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> ''))::INTEGER AS n, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '')[1] IS NULL AS blank FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> ''))::INTEGER AS n, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '')[1] IS NULL AS blank FROM documents")
 def f14_lines(spark, sf_dir):
-    own = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", text.lines(F.col("text")).alias("l"))
-    return own.select("doc_id", F.size("l").alias("n"), (F.size("l") == 0).alias("blank"))
+    own = table(spark, sf_dir, "documents").select("doc_id", text.lines(F.col("text")).alias("l"))
+    return own.select("doc_id", F.when(F.col("l").isNotNull(), F.size("l")).alias("n"), F.get("l", F.lit(0)).isNull().alias("blank"))
 
 
 @query("""SELECT '"' || replace(props, '"', '""') || '","' || event_type || '","","' || strftime(ts, '%H:%M:%S %-d/%-m/%Y') || '"' AS line FROM events""")
@@ -282,6 +330,32 @@ def k1_k2_f16_export(spark, sf_dir):
     return chatlog.csv_lines(_log(spark, sf_dir).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")))
 
 
+_TOP = """chr(65279) || '"Câu hỏi","Loại quyết định","Trả lời","Thời gian"'"""
+
+
+@query(f"""SELECT {_TOP} AS line UNION ALL SELECT '"' || replace(props, '"', '""') || '","' || event_type || '","","' || strftime(ts, '%H:%M:%S %-d/%-m/%Y') || '"' FROM events""")
+def k1_k2_whole_export(spark, sf_dir):
+    """The log as files whose bytes together are one CSV text, read back a line at a time; that they are in order is a test's."""
+    path = shared(spark, "export")
+    log = _log(spark, sf_dir).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
+    chatlog.export(log, path, F.col("timestamp").desc(), F.col("ask"))
+    files = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\r\n", "").alias("value"))
+    return files.select(F.explode(F.split("value", "\r\n")).alias("line"))
+
+
+@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN 't' || page_id WHEN 1 THEN 'm' || page_id WHEN 2 THEN 'c=' || page_id WHEN 3 THEN 'x' || page_id END AS token FROM pages")
+def s12_tokens(spark, sf_dir):
+    """The token of a page with its cookies: in a meta tag, in another one because the first is blank, in a cookie, in a later cookie because the first is empty, nowhere."""
+    k, n = F.col("page_id") % 5, F.col("page_id").cast("string")
+    tag = (
+        F.when(k == 0, F.concat(F.lit('<meta name="csrf-token" content=" t'), n, F.lit(' ">'))).when(k == 1, F.concat(F.lit("<meta name='csrf-token' content='  '/><META content=m"), n, F.lit(" name='csrf_token'>")))
+        .otherwise('<meta name="csrf-token-x" content="no"><metal name="csrf-token" content="no">')
+    )
+    cookies = F.when(k == 2, F.concat(F.lit("a=b; csrf-token=c%3D"), n)).when(k == 3, F.concat(F.lit("csrf-token=; XSRF-TOKEN=x"), n)).otherwise("csrf-token")
+    html = F.regexp_replace("html", "<head>", F.concat(F.lit("<head>"), tag))
+    return table(spark, sf_dir, "pages").select("page_id", text.token(html, cookies).alias("token"))
+
+
 _VIDEO = "CASE page_id % 6 WHEN 0 THEN 'x/' || page_id WHEN 1 THEN 'v' || page_id WHEN 2 THEN NULL WHEN 3 THEN 's/' || page_id WHEN 4 THEN 'e' || page_id ELSE NULL END"
 
 
@@ -295,9 +369,9 @@ def f17_players(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.embed_url(url).alias("player"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang || '=' || source WHEN doc_id % 3 = 1 THEN '' END AS token FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang || '=' || source END AS token FROM documents")
 def f18_s12_cookies(spark, sf_dir):
-    first = F.when(_d() % 3 == 0, F.concat(F.lit("tok="), "lang", F.lit("%3D"), "source", F.lit("; tok=no"))).when(_d() % 3 == 1, "tok").otherwise("token=1")
+    first = F.when(_d() % 3 == 0, F.concat(F.lit("tok="), "lang", F.lit("%3D"), "source", F.lit("; tok=no"))).when(_d() % 6 == 1, "tok").when(_d() % 6 == 4, "tok=; tok=no").otherwise("token=1")
     return _docs(spark, sf_dir, token=text.cookie(F.concat(F.lit("a=1; "), first), "tok"))
 
 

@@ -9,6 +9,14 @@ from quern import storage
 from quern.operators import ranks
 
 
+@pytest.fixture(autouse=True)
+def apart(spark):
+    """Small parts stay as they are, so that there are several."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_numbered_equals_sorting(spark):
     r = random.Random(1)
     rows = [(r.choice([None, *range(40)]), k) for k in range(3000)]
@@ -17,6 +25,7 @@ def test_numbered_equals_sorting(spark):
     want = sorted(rows, key=lambda p: (p[0] is None, -(p[0] or 0), p[1]))
     assert [(x["x"], x["id"]) for x in sorted(out.collect(), key=lambda x: x["rank"])] == want
     assert sorted(x["rank"] for x in out.collect()) == list(range(3000))
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 1
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan and "Window" not in plan
 
