@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import datetime, timedelta
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.text import csv_field, moment
@@ -10,6 +12,7 @@ from quern.operators import ranks
 from quern.operators.faq import DAYS, search
 from quern.plans.find import Find
 from quern.plans.paging import SIZES
+from quern.storage import settled
 
 #: Fixed value: the header of an export.
 HEADER = ("Câu hỏi", "Loại quyết định", "Trả lời", "Thời gian")
@@ -67,3 +70,32 @@ def write_csv(df: DataFrame, path: str) -> None:
     """A whole log as CSV files, each with the header, in parallel: quoted fields, null as an empty text, times as in ``csv_text``."""
     named = [c.alias(h) for c, h in zip((F.col("ask"), F.col("decistion_type"), F.coalesce("answer", F.lit("")), moment(F.col("timestamp"))), HEADER, strict=True)]
     df.select(*named).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+
+
+def store(df: DataFrame, path: str, column: str = "timestamp") -> None:
+    """Appends rows to a log laid out by day of their time; rows without a time have a folder of their own."""
+    df.withColumn("day", F.to_date(column)).write.mode("append").partitionBy("day").parquet(path)
+
+
+def trim_store(spark: SparkSession, path: str, as_of: datetime, days: int, column: str = "timestamp") -> int:
+    """``retained`` for a stored log: whole days go as folders, the day of the edge is written anew, later days aren't touched. Says how many folders went.
+
+    Rows without a time go, as in ``retained``. A run that is cut off before the edge day's
+    files change places can be run again; that change is Spark's commit of the one write.
+    The names of days, one each, go through the driver.
+    """
+    if not DAYS[0] <= days <= DAYS[1]:
+        raise ValueError(f"days must be {DAYS[0]} to {DAYS[1]}")
+    edge = as_of - timedelta(days=days)
+    log = spark.read.parquet(path)
+    have = [r["day"] for r in log.select("day").distinct().collect()]
+    own = log.filter(F.col("day") == F.lit(edge.date()))
+    left = settled(retained(own, column, F.lit(as_of), days))
+    empty = left.isEmpty()
+    gone = [d for d in have if d is None or d < edge.date() or (d == edge.date() and empty)]
+    if not empty and left.count() < own.count():
+        left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    for d in gone:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/day={d or '__HIVE_DEFAULT_PARTITION__'}")
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return len(gone)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
-from quern.operators import versions
+from quern.operators import chatlog, rules, versions
 from quern.plans.catalog import query, table
 from quern.sources import files
 from quern.storage import shared
@@ -61,3 +63,21 @@ def w4_t2_in_force(spark, sf_dir):
     rows = orders.select((F.col("o_custkey") % 17).alias("user_id"), F.col("o_orderkey").alias("version"), (F.lit("2024-01-01").cast("timestamp_ntz") + minutes).alias("since"))
     reads = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
     return versions.in_force(reads, rows, "user_id", "ts", "since", "version").select("event_id", "version.version")
+
+
+@query("SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-31 06:00:00' - INTERVAL 12 DAY")
+def c3_stored_retention(spark, sf_dir):
+    """The log laid out by day, cut back twice; the second cut finds nothing to do."""
+    path = shared(spark, "log")
+    chatlog.store(table(spark, sf_dir, "events").select("event_id", "ts"), path, "ts")
+    for _ in range(2):
+        chatlog.trim_store(spark, path, datetime(2024, 1, 31, 6), 12, "ts")
+    return spark.read.parquet(path).select("event_id", "ts")
+
+
+@query("SELECT doc_id, md5(replace(replace(replace(text, 'a', '<0>'), 'e', '<3>'), 'm', '<4>')) AS text FROM documents")
+def c2_rules_from_table(spark, sf_dir):
+    """One rule a region, for the small first letter of its name; three have the same letter, and the first counts."""
+    table_of = table(spark, sf_dir, "region").select(F.lower(F.left("r_name", F.lit(1))).alias("raw"), F.concat(F.lit("<"), "r_regionkey", F.lit(">")).alias("normalized"), F.lit(True).alias("active"), F.col("r_regionkey").alias("rank"))
+    done = rules.rewrite(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", table_of)
+    return done.select("doc_id", F.md5("text").alias("text"))
