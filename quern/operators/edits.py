@@ -19,6 +19,8 @@ from quern.storage import settled
 COLUMNS = ("answer_id", "category", "type", "content", "answer")
 #: What a question's edit passes on to its group.
 CASCADE = ("answer_id", "category", "answer")
+#: Rows that a task replays edits on, about; a set of rows that hang together isn't divided.
+SHARE = 10_000
 _OUT = "uid long, place array<long>, answer_id long, category string, type string, content string, answer string"
 
 
@@ -121,5 +123,8 @@ def replay(rows: DataFrame, log: DataFrame) -> DataFrame:
         out = pd.DataFrame(done, columns=["uid", "place", *COLUMNS])
         return out.astype({"answer_id": "Int64", "uid": "int64"})
 
-    touched = keyed.join(reached, "root", "left_semi").groupBy("root").cogroup(edits.groupBy("root")).applyInPandas(run, _OUT)
-    return untouched.unionByName(touched)
+    # Sets don't meet, so a task may replay many small ones as if they were one.
+    touched = settled(keyed.join(reached, "root", "left_semi"))
+    share = F.pmod(F.xxhash64("root"), F.lit(-(-touched.count() // SHARE) or 1))
+    done = touched.withColumn("root", share).groupBy("root").cogroup(edits.withColumn("root", share).groupBy("root")).applyInPandas(run, _OUT)
+    return untouched.unionByName(done)
