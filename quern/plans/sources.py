@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from quern.operators import chatlog, rules, versions
+from quern.operators import users as users_forms
 from quern.plans.catalog import query, table
 from quern.sources import files
 from quern.storage import shared
@@ -81,3 +82,31 @@ def c2_rules_from_table(spark, sf_dir):
     table_of = table(spark, sf_dir, "region").select(F.lower(F.left("r_name", F.lit(1))).alias("raw"), F.concat(F.lit("<"), "r_regionkey", F.lit(">")).alias("normalized"), F.lit(True).alias("active"), F.col("r_regionkey").alias("rank"))
     done = rules.rewrite(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", table_of)
     return done.select("doc_id", F.md5("text").alias("text"))
+
+
+_FORMS = "SELECT c_custkey AS form_id, c_custkey % 7 <> 0 AS is_admin, 'u' || c_custkey % 90 AS username, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'p' || c_custkey END AS password, CASE WHEN c_custkey % 5 = 0 THEN 'other' WHEN c_custkey % 4 = 0 THEN '' ELSE 'p' || c_custkey END AS confirm, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS full_name, c_custkey % 2 = 0 AS is_active FROM customer"
+
+
+def _forms(spark, sf_dir):
+    k = F.col("c_custkey")
+    typed = F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("p"), k))
+    return table(spark, sf_dir, "customer").select(
+        k.alias("form_id"), (k % 7 != 0).alias("is_admin"), F.concat(F.lit("u"), k % 90).alias("username"), typed.alias("password"), F.when(k % 5 == 0, "other").otherwise(typed).alias("confirm"),
+        F.when(k % 3 == 0, "").otherwise(F.col("c_name")).alias("full_name"), (k % 2 == 0).alias("is_active"),
+    )
+
+
+@query(f"""WITH f AS ({_FORMS}), j AS (SELECT *, CASE WHEN NOT is_admin THEN 'forbidden' WHEN password <> confirm THEN 'mismatch' END AS problem FROM f),
+g AS (SELECT *, min(CASE WHEN problem IS NULL THEN form_id END) OVER (PARTITION BY username) AS first FROM j)
+SELECT form_id, username, password, nullif(full_name, '') AS full_name, coalesce(problem, CASE WHEN form_id > first OR username IN (SELECT 'u' || s_suppkey FROM supplier) THEN 'taken' END) AS problem FROM g""")
+def m8_user_creations(spark, sf_dir):
+    users = table(spark, sf_dir, "supplier").select(F.concat(F.lit("u"), "s_suppkey").alias("username"))
+    return users_forms.creations(_forms(spark, sf_dir), users)
+
+
+@query(f"""SELECT form_id, form_id AS user_id, nullif(full_name, '') AS full_name, CASE WHEN is_admin THEN is_active END AS is_active, nullif(password, '') AS password,
+CASE WHEN NOT is_admin AND form_id % 14 <> 0 THEN 'forbidden' WHEN password <> '' AND password <> confirm THEN 'mismatch' END AS problem FROM ({_FORMS}) AS f""")
+def m8_user_changes(spark, sf_dir):
+    """Every second form of one who is no admin is of the own row."""
+    by = F.when(F.col("form_id") % 14 == 0, F.col("username")).otherwise("somebody")
+    return users_forms.updates(_forms(spark, sf_dir).withColumn("user_id", F.col("form_id")).withColumn("by", by))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import chatlog, rules
+from quern.operators.users import creations, updates
 
 
 def plain(text, own):
@@ -67,3 +68,15 @@ def test_retention_leaves_kept_days_alone(spark, tmp_path):
     assert chatlog.trim_store(spark, str(path), at(11, 16), 6) == 1  # the whole edge day
     with pytest.raises(ValueError, match="3650"):
         chatlog.trim_store(spark, str(path), at(10, 12), 0)
+
+
+def test_user_forms(spark):
+    users = spark.createDataFrame([("ann",), (None,)], "username string")
+    forms = [(1, True, "bob", "p", "p", ""), (2, True, "bob", "q", "q", "B"), (3, True, "ann", "p", "p", "A"), (4, False, "cy", "p", "p", None), (5, True, "cy", "p", "x", "C"), (6, None, "d", "", "", ""), (7, True, "cy", None, "", "C"), (8, True, None, "p", "p", "N")]
+    out = creations(spark.createDataFrame(forms, "form_id int, is_admin boolean, username string, password string, confirm string, full_name string"), users)
+    got = {r["form_id"]: (r["full_name"], r["problem"]) for r in out.collect()}
+    assert got == {1: (None, None), 2: ("B", "taken"), 3: ("A", "taken"), 4: (None, "forbidden"), 5: ("C", "mismatch"), 6: (None, "forbidden"), 7: ("C", None), 8: ("N", None)}
+    changes = [(1, True, "root", 5, "ann", "", "ignored", "", False), (2, False, "ann", 5, "ann", "n", "n", "A", False), (3, False, "bob", 5, "ann", "n", "n", "A", True), (4, True, "root", 5, "ann", "n", "m", None, None), (5, None, None, 6, None, None, None, "x", True)]
+    schema = "form_id int, is_admin boolean, by string, user_id int, username string, password string, confirm string, full_name string, is_active boolean"
+    rows = {r["form_id"]: (r["full_name"], r["is_active"], r["password"], r["problem"]) for r in updates(spark.createDataFrame(changes, schema)).collect()}
+    assert rows == {1: (None, False, None, None), 2: ("A", None, "n", None), 3: ("A", None, "n", "forbidden"), 4: (None, None, "n", "mismatch"), 5: ("x", None, None, None)}
