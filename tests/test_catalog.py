@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from quern.plans import catalog, details, finds, sources, streams, trees  # noqa: F401  the others add to the catalog
+from quern.plans import catalog, details, finds, sources, streams, suggested, trees  # noqa: F401  the others add to the catalog
 from tests.oracle import SF, agree
 
 #: Fixed ids that the smallest tables needn't have.
