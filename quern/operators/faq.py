@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions.text import contains_fold
+from quern.operators import ranks
 from quern.operators.relations import upsert
 from quern.plans.find import Find
 from quern.plans.paging import SIZES
@@ -42,20 +43,17 @@ def run_ends(df: DataFrame, key: str = "answer_id", order: str = "idx", within:
     """df with last_of_run: the next row's key differs, or there is none. A key that comes back starts another run.
 
     within: a column whose rows are edited together. Without it the table is one sequence,
-    numbered by order (a unique number); it is cut into ranges of about equal size, and a
-    range's last row looks at the first row of the next one, so no task holds the whole.
+    numbered by order (a unique number); Spark deals it out by range (into ``tasks`` parts, if
+    given), and a part's last row looks at the first row of the next one, so no task holds the whole.
     """
     if within:
-        cut, parts = df, [within]
+        cut, parts, at = df, [within], order
     else:
-        tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        bounds = df.agg(F.percentile_approx(order, [k / tasks for k in range(1, tasks)] or [0.5], 1000).alias("b")).first()["b"] or []
-        cut = df.withColumn("_part", F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<bigint>"), lambda b: b < F.col(order))))
-        parts = ["_part"]
-    w = Window.partitionBy(*parts).orderBy(order)
-    out = cut.withColumn("_next", F.lead(F.struct(F.col(key).alias("k"))).over(w))
-    if not within:  # a row for each range
-        first = cut.groupBy("_part").agg(F.min_by(F.struct(F.col(key).alias("k")), order).alias("f"))
+        cut = ranks.placed(df, [F.col(order)], tasks).withColumn("_part", ranks.part())
+        parts, at = ["_part"], "_at"
+    out = cut.withColumn("_next", F.lead(F.struct(F.col(key).alias("k"))).over(Window.partitionBy(*parts).orderBy(at)))
+    if not within:  # a row for each part
+        first = cut.groupBy("_part").agg(F.min_by(F.struct(F.col(key).alias("k")), "_at").alias("f"))
         after = first.select("_part", F.lead("f").over(Window.orderBy("_part")).alias("_after"))
         out = out.join(F.broadcast(after), "_part", "left").withColumn("_next", F.coalesce("_next", "_after"))
     last = F.col("_next").isNull() | ~F.col("_next.k").eqNullSafe(F.col(key))

@@ -18,11 +18,13 @@ from quern.storage import settled
 _BITS = 33
 
 
-def _placed(df: DataFrame, order: list[Column]) -> DataFrame:
-    return settled(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+def placed(df: DataFrame, order: list[Column], parts: int = 0) -> DataFrame:
+    """df dealt out by range and kept, with ``_at``: the part and, below it, the place in the part."""
+    return settled(df.repartitionByRange(*([parts] if parts else []), *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
 
 
-def _part() -> Column:
+def part() -> Column:
+    """The part of a row of ``placed``."""
     return F.shiftrightunsigned("_at", _BITS)
 
 
@@ -31,12 +33,12 @@ def numbered(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
 
     An empty table stays empty. A column of that name is replaced.
     """
-    placed = _placed(df.drop(name), list(order))
-    counts = sorted(placed.groupBy(_part().alias("part")).count().collect())
+    rows = placed(df.drop(name), list(order))
+    counts = sorted(rows.groupBy(part().alias("part")).count().collect())
     before = [0, *accumulate(r["count"] for r in counts)]
     starts = df.sparkSession.createDataFrame([(r["part"], b) for r, b in zip(counts, before, strict=False)], "_part long, _before long")
     within = F.col("_at").bitwiseAND(F.lit((1 << _BITS) - 1))
-    return placed.join(F.broadcast(starts), _part() == F.col("_part")).withColumn(name, F.col("_before") + within).drop("_at", "_part", "_before")
+    return rows.join(F.broadcast(starts), part() == F.col("_part")).withColumn(name, F.col("_before") + within).drop("_at", "_part", "_before")
 
 
 def running(df: DataFrame, within: list[str], order: list[Column], value: str, name: str = "before") -> DataFrame:
@@ -47,13 +49,13 @@ def running(df: DataFrame, within: list[str], order: list[Column], value: str, n
     are a group; null values count as 0. Many rows that tie in the whole order stay in one part: give the order a
     last column that tells them apart.
     """
-    placed = _placed(df, [*(F.col(c) for c in within), *order]).withColumn("_part", _part())
+    rows = placed(df, [*(F.col(c) for c in within), *order]).withColumn("_part", part())
     number = F.coalesce(F.col(value), F.lit(0))
-    parts = placed.groupBy(*within, "_part").agg(F.sum(number).alias("_sum"))
+    parts = rows.groupBy(*within, "_part").agg(F.sum(number).alias("_sum"))
     earlier = Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(*[F.col(c).alias(f"_g{k}") for k, c in enumerate(within)], F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
     here = Window.partitionBy(*within, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    summed = placed.withColumn(name, F.coalesce(F.sum(number).over(here), F.lit(0)))
+    summed = rows.withColumn(name, F.coalesce(F.sum(number).over(here), F.lit(0)))
     same = F.col("_part") == F.col("_p")
     for k, c in enumerate(within):
         same &= F.col(c).eqNullSafe(F.col(f"_g{k}"))
