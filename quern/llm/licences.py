@@ -54,7 +54,9 @@ _NAMED = re.compile(r"(?:%s)|.*\d|licenseref-" % "|".join(sorted(WORTH)))
 #: A-Z to lower case; other ASCII that is neither a digit nor a letter to a space.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_TOKEN = re.compile(r"\s*(?:([()])|([a-z0-9][a-z0-9.+\-]*))", re.ASCII)
+_TOKEN = re.compile(r"[ \t\r\f\v]*(?:([()])|([a-z0-9][a-z0-9.+\-]*))")
+#: What may stand between a tag and its expression.
+_LEAD = re.compile(r"[ \t:=\"']*")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
@@ -63,13 +65,18 @@ def worth(identifier: str) -> float:
 
 
 def evaluate(text: str) -> tuple[set[str], float] | None:
-    """The identifiers and the worth of the longest expression that text starts with; None if it starts with none.
+    """The identifiers and the worth of the longest expression that text starts with; None if it starts with none. Case doesn't count."""
+    return expression(text.lower(), 0)
+
+
+def expression(text: str, at: int) -> tuple[set[str], float] | None:
+    """As ``evaluate``, of what stands at a place of a lower-cased text; only the expression itself is read.
 
     with binds closest, then and, then or. The right side of with is an exception, not a
-    licence, and doesn't lower the worth. Case doesn't count. A word that is no identifier
-    ends the expression.
+    licence, and doesn't lower the worth. A word that is no identifier ends the expression,
+    and so does the end of the line.
     """
-    text, at, postfix, stack, operand = text.lower(), 0, [], [], True
+    postfix, stack, operand = [], [], True
     open_ = 0
     while m := _TOKEN.match(text, at):
         mark, word = m.groups()
@@ -108,7 +115,11 @@ def evaluate(text: str) -> tuple[set[str], float] | None:
             values.append(({name}, worth(name)))
         elif len(values) > 1:  # an operator at the end lacks its right side
             (right, r), (left, v) = values.pop(), values.pop()
-            values.append((left | right, max(v, r)) if op == "or" else (left | right, min(v, r)) if op == "and" else (left, v))
+            if op != "with":  # the smaller set goes into the larger one
+                left, right = sorted((left, right), key=len, reverse=True)
+                left |= right
+                v = max(v, r) if op == "or" else min(v, r)
+            values.append((left, v))
     return values[-1] if values else None
 
 
@@ -130,7 +141,7 @@ def scan_text(found: ahocorasick.Automaton, text: bytes) -> tuple:
     if not hits:
         return len(words), 0, None, None, "", "", 1.0
     spaces = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
-    base, labels, score, starts, raw = set(), set(), 1.0, [], None
+    base, labels, score, starts, ends, low = set(), set(), 1.0, [], [], ""
     for end, (size, n, meaning) in hits:
         word = int(np.searchsorted(spaces, end - size + 1))
         for kind, label in meaning:
@@ -143,10 +154,9 @@ def scan_text(found: ahocorasick.Automaton, text: bytes) -> tuple:
                 labels.add(label)
                 score = min(score, worth(label))
             else:
-                raw = raw or [m.end() for m in _WORD.finditer(text.lower())]
-                line_end = text.find(b"\n", after := raw[word + n - 1])
-                rest = text[after : line_end if line_end >= 0 else len(text)].decode("utf-8", "replace")
-                if got := evaluate(rest.lstrip(" \t:=\"'")):
+                if not low:  # once a text, whatever the number of its tags
+                    ends, low = [m.end() for m in _WORD.finditer(text.lower())], text.lower().decode("latin-1")
+                if got := expression(low, _LEAD.match(low, ends[word + n - 1]).end()):
                     labels |= got[0]
                     score = min(score, got[1])
     return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score

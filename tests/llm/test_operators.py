@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import random
 import re
 from itertools import combinations
@@ -260,6 +261,19 @@ def test_expressions(text, want):
     assert licences.evaluate(text)[1] == want
 
 
+def test_many_tags_in_one_long_line():
+    found = licences.automaton(licences.BASE)
+    tag = "SPDX-License-Identifier: MIT OR (é BSD-3-Clause) "
+    small = "".join(f"License-Expression\t=\"x{k}\" AND isc, " for k in range(300)) + "\nSPDX-License-Identifier:\nGPL-3.0-only"
+    assert set(licences.scan_text(found, small.encode())[5].split(",")) == {f"x{k}" for k in range(300)}  # a quote ends an expression, and so does the line
+    begun = time.perf_counter()
+    n, *_, labels, score = licences.scan_text(found, (tag * 200_000).encode())
+    assert (n, labels, score) == (200_000 * 9, "mit", 1.0)
+    many = " or ".join(f"lib-{k}.0" for k in range(200_000))
+    assert licences.scan_text(found, f"license expression: {many}".encode())[5].count(",") == 199_999
+    assert time.perf_counter() - begun < 60
+
+
 def test_urls(spark):
     rules = queries.RULES
     cases = [
