@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators import faq
-from quern.storage import settled
+from quern.storage import stored
 
 #: Entries of one term and band that meet in one place; more are split.
 SPLIT = 4096
@@ -34,11 +34,12 @@ def _named(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _weighed(sets: DataFrame, vocabulary: DataFrame, total: int) -> DataFrame:
-    """(name, marks, weight): a mark is 99 less a term's weight and the term, so marks sort from rare to frequent."""
-    each = sets.select("name", F.explode("terms").alias("term")).join(vocabulary, "term", "left")
+    """(id, marks, weight): a mark is 99 less a term's weight and the term, so marks sort from rare to frequent."""
+    each = sets.select("id", F.explode("terms").alias("term")).join(vocabulary, "term", "left")
     weight = F.length(F.bin(F.floor(F.lit(total) / F.coalesce("n", F.lit(1))).cast("long"))).cast("long")
-    each = each.select("name", "term", weight.alias("w")).withColumn("mark", F.concat(F.lpad((99 - F.col("w")).cast("string"), 2, "0"), "term"))
-    return settled(each.groupBy("name").agg(F.array_sort(F.collect_list("mark")).alias("marks"), F.sum("w").alias("weight")))
+    mark = F.concat(F.lpad((99 - weight).cast("string"), 2, "0"), "term")
+    marks = each.groupBy("id").agg(F.array_sort(F.collect_list(mark)).alias("marks"))
+    return stored(marks.withColumn("weight", _of(F.col("marks"))), "weighed")
 
 
 def _of(marks: Column) -> Column:
@@ -47,7 +48,10 @@ def _of(marks: Column) -> Column:
 
 
 def _posted(sets: DataFrame, least: int) -> DataFrame:
-    """(name, mark, band) of the first marks of each set: with each of them, what follows still weighs ``least`` thousandths of the whole."""
+    """(id, mark, band) of the first marks of each set: with each of them, what follows still weighs ``least`` thousandths of the whole.
+
+    A mark goes by its hash: two that meet by chance give a pair that is then found to score less.
+    """
     steps = F.aggregate(
         "marks",
         F.struct(F.lit(0).cast("long").alias("before"), F.array().cast("array<string>").alias("first")),
@@ -56,7 +60,7 @@ def _posted(sets: DataFrame, least: int) -> DataFrame:
             F.when((F.col("weight") - s["before"]) * 1000 >= F.col("weight") * least, F.array_append(s["first"], m)).otherwise(s["first"]).alias("first"),
         ),
     )
-    return sets.select("name", F.length(F.bin("weight")).alias("band"), F.explode(steps["first"]).alias("mark"))
+    return sets.select("id", F.length(F.bin("weight")).alias("band"), F.explode(steps["first"]).alias("mark")).withColumn("mark", F.xxhash64("mark"))
 
 
 def suggestions(asked: DataFrame, questions: DataFrame, ask: str = "ask_id", answer: str = "answer_id", text: str = "text", least: int = 300, most: int = 2, split: int = SPLIT) -> DataFrame:
@@ -70,25 +74,28 @@ def suggestions(asked: DataFrame, questions: DataFrame, ask: str = "ask_id", ans
     if not 0 < least <= 1000:
         raise ValueError("least must be 1 to 1000 thousandths")
     entries, wanted = _named(questions, answer, text), _named(asked, ask, text)
-    alike = lambda df: df.groupBy("name").agg(F.first("terms").alias("terms"))
-    kept = settled(alike(entries))
+    # Kept with a number for each different set of terms, which is shorter than its name.
+    alike = lambda df: stored(df.groupBy("name").agg(F.first("terms").alias("terms")).withColumn("id", F.monotonically_increasing_id()), "terms")
+    kept, sought_for = alike(entries), alike(wanted)
     total = kept.count()
     vocabulary = kept.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    index, queries = _weighed(kept, vocabulary, total), _weighed(alike(wanted), vocabulary, total)
+    index, queries = _weighed(kept, vocabulary, total), _weighed(sought_for, vocabulary, total)
 
     reach = math.ceil(math.log2(1000 / least))
     posted, sought = _posted(index, least), _posted(queries, least)
-    sought = sought.withColumn("band", F.explode(F.sequence(F.col("band") - reach, F.col("band") + reach)))
-    frequent = posted.groupBy("mark", "band").agg(F.ceil(F.count("*") / split).cast("int").alias("lots")).filter("lots > 1")
+    posted = posted.select(F.col("id").alias("entry"), F.xxhash64("mark", "band").alias("place"))
+    sought = sought.withColumn("band", F.explode(F.sequence(F.col("band") - reach, F.col("band") + reach))).select("id", F.xxhash64("mark", "band").alias("place"))
+    frequent = posted.groupBy("place").agg(F.ceil(F.count("*") / split).cast("int").alias("lots")).filter("lots > 1")
     lots = F.coalesce("lots", F.lit(1))
-    posted = posted.join(frequent, ["mark", "band"], "left").select(F.col("name").alias("entry"), "mark", "band", F.pmod(F.xxhash64("name"), lots).cast("int").alias("lot"))
-    sought = sought.join(frequent, ["mark", "band"], "left").select("name", "mark", "band", F.explode(F.sequence(F.lit(0), lots - 1)).alias("lot"))
-    pairs = sought.join(posted, ["mark", "band", "lot"]).select("name", "entry").distinct()
+    posted = posted.join(frequent, "place", "left").select("entry", "place", F.pmod(F.xxhash64("entry"), lots).cast("int").alias("lot"))
+    sought = sought.join(frequent, "place", "left").select("id", "place", F.explode(F.sequence(F.lit(0), lots - 1)).alias("lot"))
+    pairs = sought.join(posted, ["place", "lot"]).select("id", "entry").distinct()
 
-    theirs = index.select(F.col("name").alias("entry"), F.col("marks").alias("_marks"), F.col("weight").alias("_weight"))
-    shared = pairs.join(queries, "name").join(theirs, "entry").withColumn("both", _of(F.array_intersect("marks", "_marks")))
+    theirs = index.select(F.col("id").alias("entry"), F.col("marks").alias("_marks"), F.col("weight").alias("_weight"))
+    shared = pairs.join(queries, "id").join(theirs, "entry").withColumn("both", _of(F.array_intersect("marks", "_marks")))
     either = F.col("weight") + F.col("_weight") - F.col("both")
-    scored = shared.filter(F.col("both") * 1000 >= either * least).select("name", "entry", (F.col("both") / either).alias("score"))
+    scored = shared.filter(F.col("both") * 1000 >= either * least).select("id", "entry", (F.col("both") / either).alias("score"))
+    scored = scored.join(sought_for.select("id", "name"), "id").join(kept.select(F.col("id").alias("entry"), F.col("name").alias("of")), "entry").select("name", F.col("of").alias("entry"), "score")
 
     # Of the answers that share an entry only the least ones can be among the best.
     first = entries.select(F.col("name").alias("entry"), F.col("key").alias(answer)).distinct()

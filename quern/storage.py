@@ -28,6 +28,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """As ``settled``, in Parquet: for long rows, which take several times less room there."""
+    path = shared(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _base(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
