@@ -48,19 +48,22 @@ def _of(marks: Column) -> Column:
 
 
 def _posted(sets: DataFrame, least: int) -> DataFrame:
-    """(id, mark, band) of the first marks of each set: with each of them, what follows still weighs ``least`` thousandths of the whole.
+    """(id, weight, band, mark, own, rest) of the first marks of each set: with each of them, what follows still weighs ``least`` thousandths of the whole.
 
-    A mark goes by its hash: two that meet by chance give a pair that is then found to score less.
+    own is what the mark weighs, rest what it and those after it weigh. A mark goes by its
+    hash of 64 bits.
     """
+    own = lambda m: 99 - F.substring(m, 1, 2).cast("int")
     steps = F.aggregate(
         "marks",
-        F.struct(F.lit(0).cast("long").alias("before"), F.array().cast("array<string>").alias("first")),
+        F.struct(F.col("weight").cast("int").alias("rest"), F.array().cast("array<struct<mark:bigint,own:int,rest:int>>").alias("first")),
         lambda s, m: F.struct(
-            (s["before"] + 99 - F.substring(m, 1, 2).cast("long")).alias("before"),
-            F.when((F.col("weight") - s["before"]) * 1000 >= F.col("weight") * least, F.array_append(s["first"], m)).otherwise(s["first"]).alias("first"),
+            (s["rest"] - own(m)).alias("rest"),
+            F.when(s["rest"].cast("long") * 1000 >= F.col("weight") * least, F.array_append(s["first"], F.struct(F.xxhash64(m).alias("mark"), own(m).alias("own"), s["rest"].alias("rest")))).otherwise(s["first"]).alias("first"),
         ),
     )
-    return sets.select("id", F.length(F.bin("weight")).alias("band"), F.explode(steps["first"]).alias("mark")).withColumn("mark", F.xxhash64("mark"))
+    first = sets.select("id", "weight", steps["first"].alias("first"))
+    return first.select("id", "weight", F.length(F.bin("weight")).alias("band"), F.inline("first"))
 
 
 def suggestions(asked: DataFrame, questions: DataFrame, ask: str = "ask_id", answer: str = "answer_id", text: str = "text", least: int = 300, most: int = 2, split: int = SPLIT) -> DataFrame:
@@ -83,13 +86,17 @@ def suggestions(asked: DataFrame, questions: DataFrame, ask: str = "ask_id", ans
 
     reach = math.ceil(math.log2(1000 / least))
     posted, sought = _posted(index, least), _posted(queries, least)
-    posted = posted.select(F.col("id").alias("entry"), F.xxhash64("mark", "band").alias("place"))
-    sought = sought.withColumn("band", F.explode(F.sequence(F.col("band") - reach, F.col("band") + reach))).select("id", F.xxhash64("mark", "band").alias("place"))
+    posted = posted.select(F.col("id").alias("entry"), F.xxhash64("mark", "band").alias("place"), F.col("weight").alias("_weight"), F.col("own"), F.col("rest").alias("_rest"))
+    sought = sought.withColumn("band", F.explode(F.sequence(F.col("band") - reach, F.col("band") + reach))).select("id", F.xxhash64("mark", "band").alias("place"), "weight", "rest")
     frequent = posted.groupBy("place").agg(F.ceil(F.count("*") / split).cast("int").alias("lots")).filter("lots > 1")
     lots = F.coalesce("lots", F.lit(1))
-    posted = posted.join(frequent, "place", "left").select("entry", "place", F.pmod(F.xxhash64("entry"), lots).cast("int").alias("lot"))
-    sought = sought.join(frequent, "place", "left").select("id", "place", F.explode(F.sequence(F.lit(0), lots - 1)).alias("lot"))
-    pairs = sought.join(posted, ["place", "lot"]).select("id", "entry").distinct()
+    posted = posted.join(frequent, "place", "left").select("entry", "place", "_weight", "own", "_rest", F.pmod(F.xxhash64("entry"), lots).cast("int").alias("lot"))
+    sought = sought.join(frequent, "place", "left").select("id", "place", "weight", "rest", F.explode(F.sequence(F.lit(0), lots - 1)).alias("lot"))
+    # What a pair can share: from a common mark on, no more than the lighter rest; in all, the common first marks and the lighter rest after the last one.
+    enough = lambda shared: shared.cast("long") * (1000 + least) >= (F.col("weight") + F.col("_weight")).cast("long") * least
+    met = sought.join(posted, ["place", "lot"]).filter(enough(F.least("rest", "_rest")))
+    met = met.groupBy("id", "entry", "weight", "_weight").agg(F.sum("own").alias("own"), F.min(F.least("rest", "_rest") - F.col("own")).alias("after"))
+    pairs = met.filter(enough(F.col("own") + F.col("after"))).select("id", "entry")
 
     theirs = index.select(F.col("id").alias("entry"), F.col("marks").alias("_marks"), F.col("weight").alias("_weight"))
     shared = pairs.join(queries, "id").join(theirs, "entry").withColumn("both", _of(F.array_intersect("marks", "_marks")))
