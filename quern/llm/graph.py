@@ -9,14 +9,18 @@ where it is a member, to the nearest vectors, and on from there over all neighbo
 the range. Hits are verified by the cosine in double precision. A brute-force audit of
 vectors picked without regard to what was found measures recall; if it is short, the search takes in more clusters.
 
+A link has one task where it counts, for both of its ends, whichever end found the other: the
+shards are so dealt that a task holds both. So counts are symmetric although no pair leaves
+its task: tasks return a count for each end and a spanning forest of their links.
 A shard and the part of the queries it meets are both bounded, so no group is held whole.
-Tasks return a count for each query and a spanning forest of their links, never all pairs.
 """
 
 from __future__ import annotations
 
 import logging
 from collections.abc import Iterator
+from math import sqrt
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -32,8 +36,10 @@ from quern.llm.components import components, merge
 SAMPLE, CLUSTERS = 131_072, 65_536
 #: Degree of the graph, candidates of a vector for it, slack of the pruning, and width of the greedy search.
 DEGREE, POOL, SLACK, BEAM = 16, 48, 1.2, 24
-#: Queries with links that the audit goes on to, and the recall it asks for.
-AUDIT, RECALL = 256, 0.98
+#: Overlap of the clusters in cosine, and how far off a cluster may be that is looked in.
+OVERLAP, REACH = 0.15, 0.25
+#: Queries with links that the audit goes on to, queries it asks at most (so its work is linear in the table), and the recall it asks for.
+AUDIT, ASKED, RECALL = 256, 16_384, 0.98
 
 
 def unit(a: np.ndarray) -> np.ndarray:
@@ -49,8 +55,8 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(n, -1) if n else np.zeros((0, 1))
 
 
-def nearest(u: np.ndarray, centres: np.ndarray, most: int, margin: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For blocks of rows: centres by falling cosine, at most so many, and which of them are within the margin of the first."""
+def nearest(u: np.ndarray, centres: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For blocks of rows: centres by falling cosine, at most so many, and the cosines."""
     most = min(most, len(centres))
     block = max(64, min(2048, (1 << 24) // len(centres)))
     for k in range(0, len(u), block):
@@ -58,15 +64,14 @@ def nearest(u: np.ndarray, centres: np.ndarray, most: int, margin: float) -> Ite
         top = np.argpartition(-s, most - 1, axis=1)[:, :most]
         value = np.take_along_axis(s, top, 1)
         order = np.argsort(-value, axis=1, kind="stable")
-        top, value = np.take_along_axis(top, order, 1), np.take_along_axis(value, order, 1)
-        yield top, value >= value[:, :1] - margin
+        yield np.take_along_axis(top, order, 1), np.take_along_axis(value, order, 1)
 
 
 def fit_centres(sample: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     """Spherical k-means, from rows spread evenly over the sample."""
     centres = sample[np.linspace(0, len(sample) - 1, k).astype(int)].copy()
     for _ in range(rounds):
-        own = np.concatenate([t[:, 0] for t, _ in nearest(sample, centres, 1, 0.0)])
+        own = np.concatenate([t[:, 0] for t, _ in nearest(sample, centres, 1)])
         total = np.zeros_like(centres)
         np.add.at(total, own, sample)
         size = np.linalg.norm(total, axis=1)
@@ -121,60 +126,77 @@ def search(u: np.ndarray, at: np.ndarray, to: np.ndarray, queries: np.ndarray, o
     """(query, member) pairs with a cosine of ``least`` or more that a range-expanding greedy search finds.
 
     u: unit rows of the shard; at, to: its graph; own: the query's place in the shard, or -1.
-    All queries walk together: each holds its best ``beam`` members and opens the best that is
-    not open yet; when none is left, members in the range are opened until no new one comes.
+    Queries walk together, BLOCK at a time: each holds its best ``beam`` members and opens the
+    best that is not open yet; when none is left, members in the range are opened until no new
+    one comes. The cosines of a block are one matrix product, which costs less than gathering
+    the rows met at each step; the walk alone decides which of them are looked at.
     """
-    m, n = len(queries), len(u)
-    if not n or not m:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    medoid = int(np.argmax(u @ u.sum(0)))
-    seen = np.zeros((m, n), bool)
-    q = np.concatenate([np.arange(m), np.flatnonzero(own >= 0)])
-    v = np.concatenate([np.full(m, medoid), own[own >= 0]])
-    sims = np.full((m, n), -np.inf, np.float32)
-    opened = np.zeros((m, n), bool)
-
-    def visit(q: np.ndarray, v: np.ndarray) -> None:
+    got = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    if len(u):
+        medoid = int(np.argmax(u @ u.sum(0)))
+        for k in range(0, len(queries), BLOCK):
+            q, v = _walk(queries[k : k + BLOCK] @ u.T, at, to, medoid, own[k : k + BLOCK], least, beam)
+            got.append((q + k, v))
+    return np.concatenate([q for q, _ in got]), np.concatenate([v for _, v in got])
+
+
+#: Queries that walk together: their cosines with a shard of 4096 are 32 MB.
+BLOCK = 1024
+
+
+def _walk(cosines: np.ndarray, at: np.ndarray, to: np.ndarray, medoid: int, own: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    m, n = cosines.shape
+    seen, opened = np.zeros((m, n), bool), np.zeros((m, n), bool)
+    best, place = np.full((m, beam), -np.inf), np.zeros((m, beam), np.int64)  # the best that each query has seen
+    opened_best = np.ones((m, beam), bool)
+
+    def visit(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         code = np.unique(q * n + v)
-        q, v = code // n, code % n
-        new = ~seen[q, v]
-        q, v = q[new], v[new]
-        seen[q, v] = True
-        for k in range(0, len(q), 1 << 16):
-            part = slice(k, k + (1 << 16))
-            sims[q[part], v[part]] = np.einsum("ij,ij->i", queries[q[part]], u[v[part]])
+        code = code[~seen.ravel()[code]]
+        seen.ravel()[code] = True
+        return code // n, code % n
 
     def around(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         times = at[v + 1] - at[v]
         k = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         return np.repeat(q, times), to[np.repeat(at[v], times) + k]
 
-    visit(q, v)
+    def hold(q: np.ndarray, v: np.ndarray) -> None:
+        """Takes new ones in among the best."""
+        s = cosines[q, v]
+        order = np.lexsort((-s, q))
+        q, v, s = q[order], v[order], s[order]
+        some, first = np.unique(q, return_index=True)
+        nth = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+        keep = nth < beam
+        row, nth = np.searchsorted(some, q[keep]), nth[keep]
+        new, where = np.full((len(some), beam), -np.inf), np.zeros((len(some), beam), np.int64)
+        new[row, nth], where[row, nth] = s[keep], v[keep]
+        every, spots = np.concatenate([best[some], new], axis=1), np.concatenate([place[some], where], axis=1)
+        done = np.concatenate([opened_best[some], ~np.isfinite(new)], axis=1)
+        top = np.argpartition(-every, beam - 1, axis=1)[:, :beam]
+        best[some], place[some], opened_best[some] = (np.take_along_axis(x, top, 1) for x in (every, spots, done))
+
+    mine = np.flatnonzero(own >= 0)
+    hold(*visit(np.concatenate([np.arange(m), mine]), np.concatenate([np.full(m, medoid), own[mine]])))
     live = np.arange(m)
     while len(live):
-        s = np.where(opened[live], -np.inf, sims[live])
-        if n > beam:  # of those seen, only the best few may be opened
-            floor = np.partition(sims[live], n - beam, axis=1)[:, n - beam]
-            s = np.where(s >= floor[:, None], s, -np.inf)
+        s = np.where(opened_best[live], -np.inf, best[live])
         pick = s.argmax(1)
         some = np.isfinite(s[np.arange(len(live)), pick])
         live, pick = live[some], pick[some]
-        opened[live, pick] = True
-        visit(*around(live, pick))
+        opened_best[live, pick] = True
+        opened[live, place[live, pick]] = True
+        hold(*visit(*around(live, place[live, pick])))
+    inside = cosines >= least
     while True:
-        q, v = np.nonzero((sims >= least - 1e-4) & ~opened)
+        q, v = np.nonzero(seen & inside & ~opened)
         if not len(q):
             break
         opened[q, v] = True
         for k in range(0, len(q), 1 << 14):
             visit(*around(q[k : k + (1 << 14)], v[k : k + (1 << 14)]))
-    q, v = np.nonzero(sims >= least - 1e-4)
-    keep = [np.zeros(0, bool)]
-    for k in range(0, len(q), 1 << 16):
-        part = slice(k, k + (1 << 16))
-        keep.append(np.einsum("ij,ij->i", queries[q[part]], u[v[part]]) >= least)
-    keep = np.concatenate(keep)
-    return q[keep], v[keep]
+    return np.nonzero(seen & inside)
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,18 +215,21 @@ class Clusters:
         self.centres = centres
 
     def deal(self, df: DataFrame, most: int, margin: float) -> DataFrame:
-        """df: id, v. One row for each near cluster: id, c, rank (0: the nearest)."""
+        """df: id, v. (id, looks, own): the clusters near a vector, nearest first, and how many of them it is a member of (two at most)."""
         shared = df.sparkSession.sparkContext.broadcast(self.centres)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                ids, at = b.column(0).to_numpy(), 0
-                for top, ok in nearest(unit(matrix(b.column(1))), shared.value, most, margin):
-                    row, rank = np.nonzero(ok)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + row]), pa.array(top[row, rank].astype(np.int32)), pa.array(rank.astype(np.int32))], ["id", "c", "rank"])
+                ids, u, at = b.column(0).to_numpy(), unit(matrix(b.column(1))), 0
+                for top, value in nearest(u, shared.value, max(2, most)):
+                    ok, near = value >= value[:, :1] - margin, value[:, :2] >= value[:, :1] - OVERLAP
+                    ok[:, most:] = False
+                    ok[:, :2] |= near
+                    ends = np.concatenate(([0], np.cumsum(ok.sum(1)))).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + len(top)]), pa.ListArray.from_arrays(pa.array(ends), pa.array(top[ok].astype(np.int32))), pa.array(near.sum(1).astype(np.int32))], ["id", "looks", "own"])
                     at += len(top)
 
-        return df.mapInArrow(run, "id long, c int, rank int")
+        return df.mapInArrow(run, "id long, looks array<int>, own int")
 
 
 def _binned(df: DataFrame, n: int) -> DataFrame:
@@ -231,70 +256,121 @@ def build(ws: Workspace, vectors: DataFrame, members: DataFrame, shards: DataFra
     return ws.save(edges.groupBy("id").agg(F.collect_set("to").alias("near")))
 
 
-def find(ws: Workspace, vectors: DataFrame, members: DataFrame, shards: DataFrame, near: DataFrame, probes: DataFrame, cell: int, least: float, tasks: int) -> DataFrame:
-    """(id, n, links, other): for each query and task, linked rows counted by ``copies`` and linked vectors (other null), and links of a forest (n null).
+def find(ws: Workspace, vectors: DataFrame, dealt: DataFrame, shards: DataFrame, near: DataFrame, every: bool, least: float, tasks: int) -> DataFrame:
+    """(id, n, links, other): for each vector and task, linked rows counted by ``copies`` and linked vectors (other null), and links of a forest (n null).
 
-    vectors: id, v, copies. A member is counted in its nearest cluster only, so each link
-    counts once for each of its ends. probes: id, c; the clusters that a query looks in.
+    vectors: id, v, copies; dealt: id, looks, own; every: all vectors look in all clusters. A
+    cluster's rows, members and others that look in it, are dealt to as many lots as it has
+    shards, and two lots meet in one task, whichever of them holds the member. A link counts
+    in the cluster that is nearest to one of its ends; where each end looks in the other's, in
+    that of the lesser number. So it counts once, and for both ends.
     """
-    crowd = ws.save(probes.groupBy("c").count().select("c", F.ceil(F.col("count") / cell).cast("int").alias("crowds")))
-    both = F.broadcast(ws.save(shards.join(crowd, "c")))
-    part, lot = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("id", F.lit(5)), F.col("crowds")).cast("int")
-    kept = members.join(both, "c").select("id", "c", "rank", part.alias("p"), F.explode(F.sequence(F.lit(0), F.col("crowds") - 1)).alias("q"))
-    kept = kept.join(vectors, "id").join(near, "id", "left").select("id", "v", "copies", F.xxhash64("c", "p", "q").alias("key"), (F.col("rank") == 0).cast("int").alias("kind"), "near")
-    asked = probes.join(both, "c").select("id", "c", lot.alias("q"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"))
-    asked = asked.join(vectors, "id").select("id", "v", "copies", F.xxhash64("c", "p", "q").alias("key"), F.lit(2).alias("kind"), F.lit(None).cast("array<long>").alias("near"))
-    rows = _binned(kept.unionByName(asked), tasks)
+    lot = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    rows = dealt.select("id", F.col("looks")[0].alias("home"), "own", F.lit(None).cast("array<int>").alias("looks") if every else F.col("looks"), F.posexplode("looks").alias("rank", "c"))
+    rows = rows.withColumn("kind", F.when(F.col("rank") == 0, 1).when(F.col("rank") < F.col("own"), 0).otherwise(2)).join(F.broadcast(shards), "c")
+    rows = rows.join(vectors, "id").join(near, "id", "left").select("id", "v", "copies", "home", "looks", "kind", F.when(F.col("kind") < 2, F.col("near")).alias("near"), "c", lot.alias("p"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"))
+    rows = rows.select("id", "v", "copies", "home", "looks", "kind", "near", "c", F.xxhash64("c", F.least("p", "q"), F.greatest("p", "q")).alias("key"), (F.col("p") > F.col("q")).alias("second"), (F.col("p") != F.col("q")).alias("two"))
 
     def seek(table: pa.Table) -> pa.Table:
-        ids, keys, kinds, copies, v = table["id"].to_numpy(), table["key"].to_numpy(), table["kind"].to_numpy(), table["copies"].to_numpy(), unit(matrix(table["v"]))
-        lists = table["near"].combine_chunks()
-        sizes, flat = lists.value_lengths().fill_null(0).to_numpy(), lists.flatten().to_numpy()
-        starts = np.cumsum(sizes) - sizes
-        got_id, got_n, got_l, got_a, got_b = [], [], [], [], []
+        ids, keys, kinds, copies, home, c, second, two = (table[x].to_numpy() for x in ("id", "key", "kind", "copies", "home", "c", "second", "two"))
+        v = unit(matrix(table["v"]))
+        links, look = _Lists(table["near"]), _Lists(table["looks"])
+        ends, many, roots = [], [], []
         for key in np.unique(keys):
             here = np.flatnonzero(keys == key)
-            own, ask = here[kinds[here] < 2], here[kinds[here] == 2]
-            own = own[np.argsort(ids[own], kind="stable")]
-            if not len(own) or not len(ask):
-                continue
-            names = ids[own]
-            frm = np.repeat(np.arange(len(own)), sizes[own])
-            to = flat[np.repeat(starts[own], sizes[own]) + np.arange(len(frm)) - np.repeat(np.cumsum(sizes[own]) - sizes[own], sizes[own])]
-            place = np.minimum(np.searchsorted(names, to), len(names) - 1)
-            inside = names[place] == to
-            at, edge = united([np.stack([frm[inside], place[inside]])], len(own))
-            mine = np.minimum(np.searchsorted(names, ids[ask]), len(names) - 1)
-            q, m = search(v[own], at, edge, v[ask], np.where(names[mine] == ids[ask], mine, -1), least)
-            real = (ids[ask][q] != names[m]) & (kinds[own][m] == 1)
-            q, m = q[real], m[real]
-            count, different = np.bincount(q, copies[own][m], len(ask)).astype(np.int64), np.bincount(q, minlength=len(ask))
-            got_id.append(ids[ask][count > 0])
-            got_n.append(count[count > 0])
-            got_l.append(different[count > 0])
-            a, b = _forest(ids[ask][q], names[m])
-            got_a.append(a)
-            got_b.append(b)
-        i, n, links, a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (got_id, got_n, got_l, got_a, got_b))
-        return pa.table({"id": pa.array(np.concatenate([i, a])), "n": pa.array(np.concatenate([n, np.zeros(len(a), np.int64)]), mask=np.arange(len(i) + len(a)) >= len(i)), "links": pa.array(np.concatenate([links, np.zeros(len(a), np.int64)])), "other": pa.array(np.concatenate([np.zeros(len(i), np.int64), b]), mask=np.arange(len(i) + len(a)) < len(i))})
-
-    return ws.save(rows.groupBy("bin").applyInArrow(seek, "id long, n long, links long, other long"))
-
-
-def audit(vectors: DataFrame, counts: DataFrame, least: float, most: int = AUDIT) -> float:
-    """Recall against brute force, found links between different vectors over all of them; 1 without links.
+            one, other = (here[~second[here]], here[second[here]]) if two[here[0]] else (here, here)
+            hits = []
+            for ask, held in ((one, other), (other, one)) if two[here[0]] else ((here, here),):
+                own = held[kinds[held] < 2]
+                if not len(own) or not len(ask):
+                    continue
+                own = own[np.argsort(ids[own], kind="stable")]
+                names = ids[own]
+                frm, to = links.of(own)
+                place = np.minimum(np.searchsorted(names, to), len(names) - 1)
+                inside = names[place] == to
+                at, edge = united([np.stack([frm[inside], place[inside]])], len(own))
+                mine = np.minimum(np.searchsorted(names, ids[ask]), len(names) - 1)
+                q, m = search(v[own], at, edge, v[ask], np.where(names[mine] == ids[ask], mine, -1), least)
+                hits.append(np.stack([ask[q], own[m]]))
+            a, b = np.concatenate(hits, axis=1) if hits else np.zeros((2, 0), np.int64)
+            a, b = np.where(kinds[a] == 1, a, b), np.where(kinds[a] == 1, b, a)  # a: an end that is at home here
+            real = (ids[a] != ids[b]) & (kinds[a] == 1)
+            a, b = a[real], b[real]
+            guest = kinds[b] != 1
+            if guest.any():
+                back = np.full(len(a), every) if every else look.hold(a, home[b])  # b could be found from where it is at home
+                stays = ~guest | ~back | (c[a] < home[b])
+                a, b = a[stays], b[stays]
+            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            a, b = pair
+            ends.append(np.concatenate([ids[a], ids[b]]))
+            many.append(np.concatenate([copies[b], copies[a]]))
+            roots.append(np.stack(_forest(ids[a], ids[b])))
+        end, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ends, many))
+        i, at = np.unique(end, return_inverse=True)
+        total = np.zeros(len(i), np.int64)
+        np.add.at(total, at, n)
+        a, b = np.concatenate(roots, axis=1) if roots else np.zeros((2, 0), np.int64)
+        none = np.zeros(len(a), np.int64)
+        joins = np.arange(len(i) + len(a)) >= len(i)
+        return pa.table(
+            {"id": pa.array(np.concatenate([i, a])), "n": pa.array(np.concatenate([total, none]), mask=joins), "links": pa.array(np.concatenate([np.bincount(at, minlength=len(i)).astype(np.int64), none])), "other": pa.array(np.concatenate([np.zeros(len(i), np.int64), b]), mask=~joins)}
+        )
+
+    return ws.save(_binned(rows, tasks).groupBy("bin").applyInArrow(seek, "id long, n long, links long, other long"))
+
+
+class _Lists:
+    """An array column of a group: what the lists of some rows hold. Null lists are empty."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        lists = column.combine_chunks()
+        self.sizes = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        self.flat = lists.flatten().to_numpy()
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number among rows, value) of each entry."""
+        n = self.sizes[rows]
+        at = np.repeat(np.arange(len(rows)), n)
+        return at, self.flat[np.repeat(self.starts[rows] - np.cumsum(n) + n, n) + np.arange(len(at))]
+
+    def hold(self, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Whether the list of rows[i] holds values[i]."""
+        at, entry = self.of(rows)
+        return np.bincount(at[entry == values[at]], minlength=len(rows)) > 0
+
+
+class Audit(NamedTuple):
+    """Vectors asked, those of them that truly have links, true links, found ones, recall (1 without links), and the interval of it that the sample allows at 95 %."""
+
+    asked: int
+    linked: int
+    links: int
+    found: int
+    recall: float
+    low: float
+    high: float
+
+
+def audited(vectors: DataFrame, counts: DataFrame, least: float, most: int = AUDIT, asked_most: int = ASKED) -> Audit:
+    """Recall against brute force: links of different vectors that were found over all that the asked ones have.
 
     counts: id, links. Vectors are asked in the order of a hash, whatever was found for them, in
-    blocks, each four times the one before, until ``most`` that truly have links are among them
-    or none is left to ask. At most 64 times ``most`` are held at a time.
+    blocks, each four times the one before, until ``most`` that truly have links are among them,
+    or ``asked_most`` were asked, or none is left. So the work is linear in the table. Where links
+    are so rare that few are met the interval is wide, and without any it is 0 to 1. The interval
+    (Wilson's) takes each linked vector for one trial, because links of one vector are found or missed together.
     """
-    linked, true_n, found_n, block, last = 0, 0, 0, most, None
+    asked_n, linked, true_n, found_n, block, last = 0, 0, 0, 0, most, None
     h = F.xxhash64("id", F.lit(9))
-    while linked < most:
+    while linked < most and asked_n < asked_most:
         rest = vectors if last is None else vectors.filter((h > last[0]) | ((h == last[0]) & (F.col("id") > last[1])))
-        asked = rest.select(h.alias("h"), "id", "v").orderBy("h", "id").limit(block).collect()
+        asked = rest.select(h.alias("h"), "id", "v").orderBy("h", "id").limit(min(block, asked_most - asked_n)).collect()
         if not asked:
             break
+        asked_n += len(asked)
         last = (asked[-1]["h"], asked[-1]["id"])
         shared = vectors.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in asked]), unit(np.array([r["v"] for r in asked]))))
 
@@ -311,8 +387,17 @@ def audit(vectors: DataFrame, counts: DataFrame, least: float, most: int = AUDIT
         true = vectors.select("id", "v").mapInArrow(brute, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
         row = true.join(counts.select("id", F.col("links").alias("m")), "id", "left").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("m", F.lit(0)))).alias("m")).first()
         linked, true_n, found_n = linked + row["k"], true_n + (row["n"] or 0), found_n + (row["m"] or 0)
-        block = min(4 * block, 64 * most)
-    return found_n / true_n if true_n else 1.0
+        block *= 4
+    if not true_n:
+        return Audit(asked_n, 0, 0, 0, 1.0, 0.0, 1.0)
+    r, z2 = found_n / true_n, 1.96**2
+    half = 1.96 * sqrt(r * (1 - r) / linked + z2 / (4 * linked**2))
+    return Audit(asked_n, linked, true_n, found_n, r, *(max(0.0, min(1.0, (r + z2 / (2 * linked) + x) / (1 + z2 / linked))) for x in (-half, half)))
+
+
+def audit(vectors: DataFrame, counts: DataFrame, least: float, most: int = AUDIT) -> float:
+    """The recall that ``audited`` measures."""
+    return audited(vectors, counts, least, most).recall
 
 
 def near_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, cell: int = 0, probes: int = 4, recall: float = RECALL) -> DataFrame:
@@ -325,8 +410,10 @@ def near_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str
     does one whose length differs from the most common one's (of the least, on a tie).
     A row with a null id links and counts, and has a null component where it is alone.
     Rows that repeat an id are rows of their own. Other columns are not read.
+    A link counts for both of its ends, whichever of them found it.
     The search looks in ``probes`` clusters; while the audit finds less than ``recall``, in
-    four times as many, and at last in all. What the last audit found is logged.
+    four times as many, and at last in all. What the last audit found is logged, as a warning
+    where its recall is under 0.9 or links were so few that it may be.
     """
     return searched(embeddings, id_col, vector_col, least, cell, probes, recall)[0]
 
@@ -353,18 +440,23 @@ def searched(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     clusters = Clusters(fit_centres(sample, min(CLUSTERS, max(1, n // cell), max(1, len(sample) // 4))))
     tasks = max(4 * partitions(spark), n // 20_000)
     bare = vectors.select("id", "v", "copies")
-    members = ws.save(clusters.deal(bare.select("id", "v"), 2, 0.15))
-    shards = ws.save(members.groupBy("c").count().select("c", F.ceil(F.col("count") / cell).cast("int").alias("parts")))  # at most CLUSTERS rows
-    near = build(ws, bare, members, shards, tasks)
     while True:
-        looked = ws.save(clusters.deal(bare.select("id", "v"), probes, 0.25 if probes < len(clusters.centres) else 3.0).select("id", "c"))
-        got = find(ws, bare, members, shards, near, looked, cell, least, tasks)
+        every = probes >= len(clusters.centres)
+        dealt = ws.save(clusters.deal(bare.select("id", "v"), min(probes, len(clusters.centres)), 3.0 if every else REACH))
+        near_to = dealt.select("id", "own", F.posexplode("looks").alias("rank", "c"))
+        members = near_to.filter("rank < own").select("id", "c", "rank")
+        # At most CLUSTERS rows. Up to four times as many may look in a shard as are its members.
+        shards = ws.save(near_to.groupBy("c").agg(F.sum((F.col("rank") < F.col("own")).cast("int")).alias("held"), F.count("*").alias("all")).select("c", F.ceil(F.greatest("held", F.col("all") / 4, F.lit(1)) / cell).cast("int").alias("parts")))
+        near = build(ws, bare, members, shards, tasks)
+        got = find(ws, bare, dealt, shards, near, every, least, tasks)
         counts = ws.save(got.filter("n IS NOT NULL").groupBy("id").agg(F.sum("n").alias("n"), F.sum("links").alias("links")))
-        reached = audit(bare, counts, least)
-        logging.getLogger(__name__).info("recall %.4f with %d of %d clusters looked in", reached, min(probes, len(clusters.centres)), len(clusters.centres))
-        if probes >= len(clusters.centres) or reached >= recall:
+        seen = audited(bare, counts, least)
+        reached = seen.recall
+        weak = reached < 0.9 or (seen.low < 0.9 and n > seen.asked)
+        logging.getLogger(__name__).log(logging.WARNING if weak and (every or reached >= recall) else logging.INFO, "%s with %d of %d clusters looked in", seen, min(probes, len(clusters.centres)), len(clusters.centres))
+        if every or reached >= recall:
             break
-        ws.drop(looked, got, counts)
+        ws.drop(dealt, shards, near, got, counts)
         probes *= 4
     found = components(ws, got.filter("other IS NOT NULL").select("id", "other"))
     placed = ws.save(vectors.select("id", "v", "copies", "first").join(counts.select("id", "n"), "id", "left").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))

@@ -198,6 +198,51 @@ def test_audit_counts_vectors_whose_links_were_all_missed(spark):
     assert graph.audit(vectors, spark.createDataFrame(found, "id long, n long, links long"), 0.95) == pytest.approx(0.8, abs=0.05)
 
 
+def test_rare_links_count_for_both_ends(spark):
+    r = np.random.default_rng(11)
+    v = r.normal(size=(20_000, 16))
+    v[1:1000:2] = v[:1000:2] + 0.05 * r.normal(size=(500, 16))  # 500 pairs among 20,000
+    u = graph.unit(v)
+    true = np.concatenate([(u[k : k + 1000] @ u.T >= 0.95).sum(1) - 1 for k in range(0, 20_000, 1000)])
+    out, recall = graph.searched(spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<double>"), cell=64)
+    done = {i: (n, c) for i, n, c, _ in got(out)}
+    n = np.array([done[i][0] for i in range(20_000)])
+    assert true.sum() >= 900 and (n <= true).all() and n.sum() >= 0.9 * true.sum() and recall >= 0.9
+    alone = [i for i in range(0, 1000, 2) if true[i] == true[i + 1] == 1]
+    assert len(alone) > 400 and all(done[i] == (done[i + 1][0], i) for i in alone if done[i][0] or done[i + 1][0])
+    assert all((n > 0) == (len(x) > 1) for x in _classes(done) for n, _ in x)
+
+
+def _classes(done: dict) -> list[list]:
+    by: dict = {}
+    for n, c in done.values():
+        by.setdefault(c, []).append((n, c))
+    return list(by.values())
+
+
+def test_a_crowd_of_near_vectors_over_many_lots(spark):
+    r = np.random.default_rng(12)
+    crowd = r.normal(size=12) + 0.02 * r.normal(size=(400, 12))  # all linked with all
+    rows = list(enumerate([*crowd.tolist(), *r.normal(size=(300, 12)).tolist()]))
+    out, _ = graph.searched(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cell=24)
+    done = {i: (n, c) for i, n, c, _ in got(out)}
+    want = brute.vectors(rows, 0.95)
+    assert sum(n for n, _ in done.values()) >= 0.98 * sum(n for n, _ in want.values()) and all(done[i][0] <= want[i][0] for i in done)
+    assert sum(n for n, _ in done.values()) % 2 == 0  # each link counts twice
+
+
+def test_audit_is_bounded_and_tells_its_interval(spark):
+    r = np.random.default_rng(13)
+    base = r.normal(size=(2000, 16))
+    base[1:400:2] = base[:400:2] + 0.01 * r.normal(size=(200, 16))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "id long, v array<double>")
+    none = spark.createDataFrame([], "id long, links long")
+    some = graph.audited(vectors, spark.createDataFrame([(i, 1) for i in range(360)], "id long, links long"), 0.95, most=300, asked_most=1000)
+    assert some.asked == 1000 and 100 < some.linked < 300 and some.low < some.recall == pytest.approx(0.9, abs=0.06) and some.recall < some.high < 1
+    empty = graph.audited(vectors.filter("id >= 400"), none, 0.95, asked_most=500)
+    assert empty == (500, 0, 0, 0, 1.0, 0.0, 1.0)
+
+
 def test_robust_prune_leaves_out_what_a_neighbour_covers():
     u = graph.unit(np.array([[1, 0.0], [1, 0.1], [1, 0.2], [1, -0.5]]))
     assert graph.robust_prune(u, degree=3, pool=3)[0].tolist()[:2] == [1, 3]
