@@ -39,7 +39,7 @@ DEGREE, POOL, SLACK, BEAM = 16, 48, 1.2, 24
 #: Overlap of the clusters in cosine, and how far off a cluster may be that is looked in.
 OVERLAP, REACH = 0.15, 0.25
 #: Queries with links that the audit goes on to, queries it asks at most (so its work is linear in the table), and the recall it asks for.
-AUDIT, ASKED, RECALL = 256, 16_384, 0.98
+AUDIT, ASKED, RECALL = 256, 8192, 0.98
 
 
 def unit(a: np.ndarray) -> np.ndarray:
@@ -150,9 +150,14 @@ def _walk(cosines: np.ndarray, at: np.ndarray, to: np.ndarray, medoid: int, own:
     best, place = np.full((m, beam), -np.inf), np.zeros((m, beam), np.int64)  # the best that each query has seen
     opened_best = np.ones((m, beam), bool)
 
+    mark = np.zeros(m * n, np.int32)
+
     def visit(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        code = np.unique(q * n + v)
+        """Those that are new, each once, in the order given."""
+        code = q * n + v
         code = code[~seen.ravel()[code]]
+        mark[code] = nth = np.arange(len(code), dtype=np.int32)
+        code = code[mark[code] == nth]
         seen.ravel()[code] = True
         return code // n, code % n
 
@@ -162,23 +167,23 @@ def _walk(cosines: np.ndarray, at: np.ndarray, to: np.ndarray, medoid: int, own:
         return np.repeat(q, times), to[np.repeat(at[v], times) + k]
 
     def hold(q: np.ndarray, v: np.ndarray) -> None:
-        """Takes new ones in among the best."""
-        s = cosines[q, v]
-        order = np.lexsort((-s, q))
-        q, v, s = q[order], v[order], s[order]
-        some, first = np.unique(q, return_index=True)
-        nth = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
-        keep = nth < beam
-        row, nth = np.searchsorted(some, q[keep]), nth[keep]
-        new, where = np.full((len(some), beam), -np.inf), np.zeros((len(some), beam), np.int64)
-        new[row, nth], where[row, nth] = s[keep], v[keep]
+        """Takes new ones in among the best; q ascends."""
+        if not len(q):
+            return
+        first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
+        times = np.diff(np.append(first, len(q)))
+        some, row = q[first], np.repeat(np.arange(len(first)), times)
+        nth = np.arange(len(q)) - first[row]
+        new, where = np.full((len(some), times.max()), -np.inf), np.zeros((len(some), times.max()), np.int64)
+        new[row, nth], where[row, nth] = cosines[q, v], v
         every, spots = np.concatenate([best[some], new], axis=1), np.concatenate([place[some], where], axis=1)
         done = np.concatenate([opened_best[some], ~np.isfinite(new)], axis=1)
         top = np.argpartition(-every, beam - 1, axis=1)[:, :beam]
         best[some], place[some], opened_best[some] = (np.take_along_axis(x, top, 1) for x in (every, spots, done))
 
+    hold(*visit(np.arange(m), np.full(m, medoid)))
     mine = np.flatnonzero(own >= 0)
-    hold(*visit(np.concatenate([np.arange(m), mine]), np.concatenate([np.full(m, medoid), own[mine]])))
+    hold(*visit(mine, own[mine]))
     live = np.arange(m)
     while len(live):
         s = np.where(opened_best[live], -np.inf, best[live])
