@@ -92,16 +92,16 @@ def boilerplate(ws: Workspace, keyed: DataFrame, found: DataFrame, depth: int, l
     """
     own = found.groupBy("leaf", "line", "_h").agg(F.min("_id").alias("_id"))
     own = ws.save(own.withColumn("root", F.col("_h")) if classes is None else own.join(classes.select("_h", "root"), "_h", "left").withColumn("root", F.coalesce("root", "_h")))
-    popular = ws.save(own.select("leaf", "root").distinct().groupBy("leaf").count().filter(F.col("count") >= least).select("leaf"))
+    popular = own.select("leaf", "root").distinct().groupBy("leaf").count().filter(F.col("count") >= least).select("leaf")
     by_root = own.groupBy("leaf", "line", "root").agg(F.min(F.struct("_id", "_h")).alias("one"))
-    counted = ws.save(by_root.groupBy("leaf", "line").agg(F.count("*").alias("texts"), F.min("one").alias("one")))
+    counted = by_root.groupBy("leaf", "line").agg(F.count("*").alias("texts"), F.min("one").alias("one"))
     known = ws.save(counted.join(popular, "leaf"))
     wanted = ws.save(known.groupBy(F.col("one._id").alias("_id"), F.col("one._h").alias("_h")).agg(F.collect_set(F.struct("line", "texts")).alias("wanted")))
     # Few texts are wanted; the others need not be shuffled to meet nothing.
     picked = keyed.join(F.broadcast(wanted.select("_id", "_h")), ["_id", "_h"], "left_semi") if wanted.count() <= KEYS else keyed
     # One text stands for each line; a record that comes twice gives its tokens twice, hence the distinct.
     spread = ws.save(places(picked.join(wanted, ["_id", "_h"]).select("text", "wanted"), depth).distinct())
-    fixed = ws.save(spread.groupBy("leaf", "place", "token").agg(F.sum("texts").alias("n")).filter((F.col("n") >= least) & (F.col("token") != int(_FIELD))).select("leaf", "place", "token", F.lit(1).alias("fixed")))
+    fixed = spread.groupBy("leaf", "place", "token").agg(F.sum("texts").alias("n")).filter((F.col("n") >= least) & (F.col("token") != int(_FIELD))).select("leaf", "place", "token", F.lit(1).alias("fixed"))
     shaped = spread.join(fixed, ["leaf", "place", "token"], "left").withColumn("token", F.when(F.col("fixed") == 1, F.col("token")))
     shaped = ws.save(
         shaped.groupBy("leaf", "line", "texts").agg(F.bit_xor(F.xxhash64("place", F.coalesce("token", F.lit(0)))).alias("template"), F.count("fixed").alias("constants"), F.count("*").alias("n"))
@@ -110,7 +110,6 @@ def boilerplate(ws: Workspace, keyed: DataFrame, found: DataFrame, depth: int, l
     if classes is not None:  # copies that differ in a line have it once
         several = shaped.join(recur, ["leaf", "template"]).select("leaf", "line", "template").join(own.select("leaf", "line", "root"), ["leaf", "line"])
         recur = several.select("leaf", "template", "root").distinct().groupBy("leaf", "template").count().filter(F.col("count") >= least).select("leaf", "template")
-    recur = ws.save(recur)
     by_template = shaped.filter(F.col("constants") >= F.lit(constant) * F.col("n")).join(recur, ["leaf", "template"]).select("leaf", "line")
     # A line that recurs as it stands needs no constants.
     dropped = ws.save(by_template.union(known.filter(F.col("texts") >= least).select("leaf", "line")).distinct())

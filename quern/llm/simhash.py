@@ -362,7 +362,7 @@ def near_classes(ws: Workspace, keyed: DataFrame, width: int = 2, budget: int =
     pairs = ws.save(forest.join(ends.toDF("a", "ha"), "a").join(ends.toDF("b", "hb"), "b").select(F.col("ha").alias("a"), F.col("hb").alias("b")))
     by_band = texts.select("_h", F.posexplode("bands").alias("band", "least")).select(F.xxhash64("band", "least").alias("g"), "_h")
     every = by_band.union(texts.select(F.xxhash64(F.lit("fp"), "fp").alias("g"), "_h"))
-    shared = ws.save(every.groupBy("g").count().filter("count > 1").select("g"))
+    shared = every.groupBy("g").count().filter("count > 1").select("g")
     groups = ws.save(every.join(shared, "g"))
     picked = ws.save(groups.select("_h").union(pairs.select("a")).union(pairs.select("b")).distinct().join(texts.select("_h", "_id"), "_h"))
     few = F.broadcast(picked) if picked.count() <= KEYS else picked
