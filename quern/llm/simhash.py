@@ -220,8 +220,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Minima of a text's shingle hashes that candidates are found by: BANDS groups of ROWS.
 BANDS, ROWS = 10, 3
-#: Pairs with one text that stay on one key, members of a group that become hubs after the first, and keys that are broadcast.
-HOT, HUBS, KEYS = 512, 16, 1_000_000
+#: Pairs with one text that stay on one key, texts of a group that are compared pair by pair, and keys that are broadcast.
+HOT, MEMBERS, KEYS = 512, 32, 1_000_000
 _MUL, _ADD = np.random.default_rng(77).integers(1, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -298,58 +298,91 @@ def shingle_sets(keyed: DataFrame, shingle: int) -> DataFrame:
     return keyed.mapInArrow(scan, "_h long, n int, s array<long>")
 
 
-def alike(ws: Workspace, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``similarity`` or more, exactly. A text that is b of many pairs is dealt over several keys."""
-    hot = ws.save(pairs.groupBy("b").count().filter(F.col("count") > HOT).select("b", F.ceil(F.col("count") / HOT).cast("int").alias("parts")))
+def _beside(ws: Workspace, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs: a, b and more. With the numbers na, nb and the sets sa, sb of both texts. A text that is b of many pairs is dealt over several keys."""
+    ends = ws.save(pairs.groupBy("b").count())
     parts = F.coalesce("parts", F.lit(1))
-    left = pairs.join(F.broadcast(hot), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), parts).cast("int").alias("part"))
-    right = sets.select(F.col("_h").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")).join(F.broadcast(hot), "b", "left")
+    hot = ws.save(ends.filter(F.col("count") > HOT).select("b", F.ceil(F.col("count") / HOT).cast("int").alias("parts")))
+    # Few pairs meet the sets where these lie, and only the sets of their ends move.
+    few = ends.agg(F.sum("count")).first()[0] or 0
+    near = F.broadcast if few <= KEYS else (lambda df: df)
+    left = near(pairs.join(F.broadcast(hot), "b", "left").withColumn("part", F.pmod(F.xxhash64("a"), parts).cast("int")).drop("parts"))
+    right = sets.select(F.col("_h").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")).join(near(ends.select("b")), "b", "left_semi").join(F.broadcast(hot), "b", "left")
     right = right.select("b", "nb", "sb", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    both = left.join(sets.select(F.col("_h").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), "a").join(right, ["b", "part"])
-    met = both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("met"))
+    return sets.select(F.col("_h").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")).join(left, "a").join(right, ["b", "part"])
+
+
+def alike(ws: Workspace, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``similarity`` or more, exactly."""
+    met = _beside(ws, pairs, sets).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("met"))
     return met.filter(F.col("met") + 1e-9 >= similarity * (F.col("na") + F.col("nb") - F.col("met"))).select("a", "b")
 
 
+def _apart(ws: Workspace, members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of a hub's members, one of them at least unlike the hub, that can be alike; none that is alike is missing.
+
+    members: (b, a, root, out), a hub, a member, its component and whether that is another
+    than the hub's. A set is told by what it and the hub's do not share, its difference. Sets
+    x and y are alike if their differences d differ in at most c * (x + y) elements, c = (1 -
+    similarity) / (1 + similarity); y is out, so d(y) > c * (hub + y); so d(x) and d(y) share
+    over (d(x) + c * (hub - x)) / 2 elements. With elements in one order for a hub, rare ones
+    first, the first that both share is then among the first of x, and what follows it on
+    both sides is enough for the rest.
+    """
+    c = (1 - similarity) / (1 + similarity)
+    both = _beside(ws, members, sets)
+    differ = F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa"))
+    each = ws.save(both.select("b", "a", "na", "nb", "root", "out", F.explode(differ).alias("e")))
+    often = each.groupBy("b", "e").agg(F.count("*").alias("often"))
+    rows = each.join(often, ["b", "e"]).groupBy("b", "a", "na", "nb", "root", "out").agg(F.array_sort(F.collect_list(F.struct("often", "e"))).alias("d"))
+    rows = rows.select("b", "a", "na", "nb", "root", "out", F.size("d").alias("d"), F.posexplode("d").alias("at", "x")).filter("x.often > 1")
+    rows = ws.save(rows.select("b", "a", "na", "nb", "root", "out", "d", "at", F.col("x.e").alias("e")))
+    first = rows.filter(F.col("at") < F.col("d") - F.floor((F.col("d") + c * (F.col("nb") - F.col("na"))) / 2 + 1e-6))
+    first = first.select("b", "e", *[F.col(k).alias(f"_{k}") for k in ("a", "na", "root", "out", "d", "at")])
+    once = ~F.col("_out") | (F.col("a") > F.col("_a"))
+    sized = F.least("na", "_na") + 1e-9 >= similarity * F.greatest("na", "_na")
+    enough = F.least(F.col("d") - F.col("at"), F.col("_d") - F.col("_at")) + 1e-6 >= (F.col("d") + F.col("_d") - c * (F.col("na") + F.col("_na"))) / 2
+    y, x = rows.filter("out").alias("y"), first.alias("x")
+    met = y.join(x, (F.col("y.b") == F.col("x.b")) & (F.col("y.e") == F.col("x.e")) & (F.col("a") != F.col("_a")) & (F.col("root") != F.col("_root")) & once & sized & enough)
+    return met.select(F.greatest("a", "_a").alias("a"), F.least("a", "_a").alias("b"))
+
+
 def near_links(ws: Workspace, groups: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(node, root) of the texts that links of ``similarity`` or more join, each of them checked.
 
     groups: (g, _h), texts that share a candidate key; pairs: (a, b), other candidates. In each
-    group a hub is compared with every member; then more and more of the members that are in
-    no hub's component become hubs, until none is left. So a group of near copies costs one
-    comparison a member, and a member that is unlike the first hub still meets all others.
+    group a hub, the member whose keys hold the most texts, is compared with every member. A
+    pair that may be left has a member in another component than the hub's. In groups of up
+    to MEMBERS such pairs are compared one by one, in larger ones those that differ from the
+    hub in enough of the same shingles; so no link inside a group is lost, and a group of
+    near copies, or of unlike texts, costs about one comparison a member.
     """
-    size = F.col("size")
-    groups = ws.save(groups.join(sets.select("_h", "n"), "_h"))
-    ends = groups.groupBy("g").agg(F.count("*").alias("size"), F.min(F.struct("_h", "n")).alias("hub")).filter("size > 1")
+    groups = groups.join(sets.select("_h", "n"), "_h")
+    groups = ws.save(groups.join(groups.groupBy("g").agg(F.count("*").alias("size")), "g").filter("size > 1"))
+    rank = groups.groupBy("_h").agg(F.sum("size").alias("rank"))
+    ends = groups.select("g", "_h", "n").join(rank, "_h").groupBy("g").agg(F.max(F.struct("rank", "_h", "n")).alias("hub"))
     hubs = ws.save(ends.select("g", F.col("hub._h").alias("b"), F.col("hub.n").alias("nb")))
-    groups = ws.save(groups.join(hubs.select("g"), "g", "left_semi"))
-    left = groups
-    joined = None
-    many = HUBS
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    while True:
-        met = groups.join(hubs, "g").filter((F.col("_h") != F.col("b")) & (F.least("n", "nb") + 1e-9 >= similarity * F.greatest("n", "nb")))
-        met = met.select(F.greatest("_h", "b").alias("a"), F.least("_h", "b").alias("b")).union(pairs).distinct()
-        if joined is not None:  # what is joined already needs no comparison
-            root = joined.select("node", "root")
-            met = met.join(root.toDF("a", "ra"), "a", "left").join(root.toDF("b", "rb"), "b", "left")
-            met = met.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-        links = alike(ws, ws.save(met), sets, similarity)
-        # What is joined so far is a star by now and needs few steps more.
-        joined = ws.save(components(ws, ws.save(links if joined is None else links.union(joined.select("node", "root")))))
-        pairs = pairs.limit(0)
-        # Members that are in the component of no hub of their group so far.
-        name = lambda t, c: t.join(joined.withColumnRenamed("node", c), c, "left").withColumn("root", F.coalesce("root", c))
-        taken = name(hubs.select("g", "b"), "b").select("g", "root").distinct()
-        left = ws.save(name(left.select("g", "_h", "n"), "_h").join(taken, ["g", "root"], "left_anti").select("g", "_h", "n"))
-        counted = ws.save(left.groupBy("g").agg(F.count("*").alias("size"), F.min("_h").alias("least")))
-        if counted.isEmpty():
-            return joined
-        step = F.ceil(size / many)
-        chosen = left.join(counted, "g").filter((F.pmod(F.xxhash64("_h", F.lit(many)), step) == 0) | (F.col("_h") == F.col("least")))
-        hubs = ws.save(chosen.select("g", F.col("_h").alias("b"), F.col("n").alias("nb")))
-        groups = groups.join(counted.select("g"), "g", "left_semi")
-        many *= 8
+    sized = lambda n, m: F.least(n, m) + 1e-9 >= similarity * F.greatest(n, m)
+    met = groups.join(hubs, "g").filter((F.col("_h") != F.col("b")) & sized("n", "nb")).select(F.greatest("_h", "b").alias("a"), F.least("_h", "b").alias("b"))
+    links = ws.save(alike(ws, ws.save(met.union(pairs.select(F.greatest("a", "b"), F.least("a", "b"))).distinct()), sets, similarity))
+    joined = ws.save(components(ws, links))
+    # Members with their components, in groups where some are in another than the hub's.
+    name = lambda t, c, r: t.join(joined.toDF(c, r), c, "left").withColumn(r, F.coalesce(r, c))
+    placed = name(name(groups.filter("size > 2"), "_h", "root").join(hubs.select("g", "b"), "g"), "b", "own")
+    placed = ws.save(placed.filter(F.col("_h") != F.col("b")).select("g", "b", "size", F.col("_h").alias("a"), "n", "root", (F.col("root") != F.col("own")).alias("out")))
+    left = placed.filter("out").select("g").distinct()
+    few = placed.filter(F.col("size") <= MEMBERS).join(left, "g", "left_semi")
+    one, other = few.filter("out").select("g", "a", "n", "root"), few.select("g", *[F.col(k).alias(f"_{k}") for k in ("a", "n", "root", "out")])
+    met = one.join(other, "g").filter((F.col("root") != F.col("_root")) & (~F.col("_out") | (F.col("a") > F.col("_a"))) & sized("n", "_n"))
+    met = met.select(F.greatest("a", "_a").alias("a"), F.least("a", "_a").alias("b"))
+    many = ws.save(placed.filter(F.col("size") > MEMBERS).join(left, "g", "left_semi").select("b", "a", "root", "out").distinct())
+    if not many.isEmpty():
+        met = met.union(_apart(ws, many, sets, similarity))
+    met = ws.save(met.distinct())
+    if met.isEmpty():
+        return joined
+    # What is joined so far is a star by now and needs few steps more.
+    return ws.save(components(ws, ws.save(alike(ws, met, sets, similarity).union(joined.select("node", "root")))))
 
 
 def near_classes(ws: Workspace, keyed: DataFrame, width: int = 2, budget: int = 4, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -151,6 +151,32 @@ def test_one_of_each_asks_for_the_similarity(spark):
     assert {x["doc_id"] for x in simhash.one_of_each(frame(spark, rows)).collect()} == want
 
 
+@pytest.mark.parametrize("members", [2, 32])
+def test_large_groups_lose_no_link_and_meet_few_pairs(spark, monkeypatch, members):
+    """Texts far from the hub and from each other, some with near copies, some in chains that reach the hub's copies."""
+    monkeypatch.setattr(simhash, "MEMBERS", members)
+    r = random.Random(members)
+    base = list(range(100))
+    new = lambda s, n: {*r.sample(sorted(s), len(s) - n), *(r.randint(10**3, 10**15) for _ in range(n))}
+    sets = [set(base)]
+    for _ in range(150):
+        far = new(sets[0], r.randint(9, 40))
+        sets += [far] + [new(far, r.randint(1, 14)) for _ in range(r.choice([0, 0, 1]))]
+    for _ in range(40):
+        sets.append(new(r.choice(sets), r.randint(1, 14)))
+    sets.append({-1, -2})
+    links = [(i, j) for (i, x), (j, y) in combinations(enumerate(sets), 2) if len(x & y) >= 0.8 * len(x | y)]
+    want = brute.components(list(range(len(sets))), links)
+    met = []
+    own = simhash.alike
+    monkeypatch.setattr(simhash, "alike", lambda ws, pairs, *a: met.append(pairs.count()) or own(ws, pairs, *a))
+    groups = spark.createDataFrame([(g, i) for i in range(len(sets)) for g in ((1, 2) if i % 3 else (1,))], "g long, _h long")
+    rows = spark.createDataFrame([(i, len(x), list(x)) for i, x in enumerate(sets)], "_h long, n int, s array<long>")
+    found = dict(got(simhash.near_links(Workspace(spark, "x"), groups, spark.createDataFrame([], "a long, b long"), rows, 0.8)))
+    assert {i: found.get(i, i) for i in want} == want
+    assert sum(met) < 6 * len(sets)
+
+
 def test_vectors(spark):
     r = np.random.default_rng(0)
     base = r.normal(size=(60, 16))
