@@ -29,8 +29,8 @@ def s8_picked_files(spark, sf_dir):
     path = shared(spark, "picked")
     line = F.concat_ws(",", "conv_id", F.lit("question"), F.concat(F.lit("turn "), "turn"))
     gathered = F.concat_ws("\n", F.lit("answer_id,type,content"), F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]))
-    table(spark, sf_dir, "conversations").groupBy("conv_id").agg(gathered.alias("text")).repartition("conv_id").write.partitionBy("conv_id").text(path)
-    return files.faq_import(spark, f"{path}/*/*").select("answer_id", F.col("idx").cast("long").alias("idx"), "content")
+    files.write_each(table(spark, sf_dir, "conversations").groupBy("conv_id").agg(gathered.alias("text")).select("text"), path)
+    return files.faq_import(spark, path).select("answer_id", F.col("idx").cast("long").alias("idx"), "content")
 
 
 @query("SELECT conv_id, turn, role FROM conversations")
@@ -39,8 +39,8 @@ def s10_json_arrays(spark, sf_dir):
     path = shared(spark, "json")
     own = F.to_json(F.collect_list(F.struct("conv_id", "turn", "role"))).alias("text")
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("own"), "conv_id", "turn", "role")
-    turns.groupBy("own").agg(own).repartition("own").write.partitionBy("own").text(path)
-    return files.json_records(spark, f"{path}/*/*", "conv_id long, turn long, role string")
+    files.write_each(turns.groupBy("own").agg(own).select("text"), path)
+    return files.json_records(spark, path, "conv_id long, turn long, role string")
 
 
 @query("SELECT n_nationkey AS k, CAST(octet_length(encode(n_name)) + 1 AS BIGINT) AS length FROM nation")

@@ -81,6 +81,16 @@ def test_tokens(spark):
     assert [r[0] for r in rows.select(text.token(F.col("h"), F.col("c"))).collect()] == ["m", "last", None]
 
 
+@pytest.mark.parametrize("n", [0, 1, 40])
+def test_a_file_for_each_row_in_one_folder(spark, tmp_path, n):
+    texts = [f'[{{"a":{k},\n"b":"x"}}]' for k in range(n)]
+    files.write_each(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), str(tmp_path / "out"))
+    own = [p.read_text().rstrip("\n") for p in (tmp_path / "out").glob("part-*") if p.stat().st_size]
+    assert sorted(own) == sorted(texts) and not [p for p in (tmp_path / "out").iterdir() if p.is_dir()]
+    assert n < 40 or len({p.name[:10] for p in (tmp_path / "out").glob("part-*") if p.stat().st_size}) > 1
+    assert sorted(r["a"] for r in files.json_records(spark, str(tmp_path / "out"), "a long, b string").collect()) == list(range(n))
+
+
 def quoted(r) -> str:
     cell = "".join(r.choice(['""', ",", "\n", "\r\n", "a", "é", " "]) for _ in range(r.randint(0, 12)))
     return f'"{cell}"'
