@@ -48,10 +48,11 @@ def _of(marks: Column) -> Column:
 
 
 def _posted(sets: DataFrame, least: int) -> DataFrame:
-    """(id, weight, band, mark, own, rest) of the first marks of each set: with each of them, what follows still weighs ``least`` thousandths of the whole.
+    """(id, weight, seats, codes, band, mark, own, rest) of the first marks of each set: with each of them, what follows still weighs ``least`` thousandths of the whole.
 
     own is what the mark weighs, rest what it and those after it weigh. A mark goes by its
-    hash of 64 bits.
+    hash of 64 bits. seats are 256 bits, of which each mark of the set takes one; codes hold
+    for each mark its seat and what it weighs.
     """
     own = lambda m: 99 - F.substring(m, 1, 2).cast("int")
     steps = F.aggregate(
@@ -62,8 +63,14 @@ def _posted(sets: DataFrame, least: int) -> DataFrame:
             F.when(s["rest"].cast("long") * 1000 >= F.col("weight") * least, F.array_append(s["first"], F.struct(F.xxhash64(m).alias("mark"), own(m).alias("own"), s["rest"].alias("rest")))).otherwise(s["first"]).alias("first"),
         ),
     )
-    first = sets.select("id", "weight", steps["first"].alias("first"))
-    return first.select("id", "weight", F.length(F.bin("weight")).alias("band"), F.inline("first"))
+    first = sets.select("id", "weight", steps["first"].alias("first"), F.transform("marks", lambda m: F.pmod(F.xxhash64(m, F.lit(1)), F.lit(256)) * 64 + own(m)).cast("array<smallint>").alias("codes"))
+    seats = F.array(*[F.expr(f"aggregate(codes, 0L, (t, c) -> if(shiftright(c, 12) = {k}, t | shiftleft(1L, shiftright(c, 6) & 63), t))") for k in range(4)])
+    return first.select("id", "weight", seats.alias("seats"), "codes", F.length(F.bin("weight")).alias("band"), F.inline("first"))
+
+
+def _seated() -> Column:
+    """What those marks of codes weigh whose seats are taken in _seats; what two sets share weighs no more."""
+    return F.expr("aggregate(codes, 0, (t, c) -> t + (c & 63) * cast(shiftright(_seats[shiftright(c, 12)], shiftright(c, 6) & 63) & 1 AS int))")
 
 
 def suggestions(asked: DataFrame, questions: DataFrame, ask: str = "ask_id", answer: str = "answer_id", text: str = "text", least: int = 300, most: int = 2, split: int = SPLIT) -> DataFrame:
@@ -86,15 +93,15 @@ def suggestions(asked: DataFrame, questions: DataFrame, ask: str = "ask_id", ans
 
     reach = math.ceil(math.log2(1000 / least))
     posted, sought = _posted(index, least), _posted(queries, least)
-    posted = posted.select(F.col("id").alias("entry"), F.xxhash64("mark", "band").alias("place"), F.col("weight").alias("_weight"), F.col("own"), F.col("rest").alias("_rest"))
-    sought = sought.withColumn("band", F.explode(F.sequence(F.col("band") - reach, F.col("band") + reach))).select("id", F.xxhash64("mark", "band").alias("place"), "weight", "rest")
+    posted = posted.select(F.col("id").alias("entry"), F.xxhash64("mark", "band").alias("place"), F.col("weight").alias("_weight"), F.col("own"), F.col("rest").alias("_rest"), F.col("seats").alias("_seats"))
+    sought = sought.withColumn("band", F.explode(F.sequence(F.col("band") - reach, F.col("band") + reach))).select("id", F.xxhash64("mark", "band").alias("place"), "weight", "rest", "codes")
     frequent = posted.groupBy("place").agg(F.ceil(F.count("*") / split).cast("int").alias("lots")).filter("lots > 1")
     lots = F.coalesce("lots", F.lit(1))
-    posted = posted.join(frequent, "place", "left").select("entry", "place", "_weight", "own", "_rest", F.pmod(F.xxhash64("entry"), lots).cast("int").alias("lot"))
-    sought = sought.join(frequent, "place", "left").select("id", "place", "weight", "rest", F.explode(F.sequence(F.lit(0), lots - 1)).alias("lot"))
-    # What a pair can share: from a common mark on, no more than the lighter rest; in all, the common first marks and the lighter rest after the last one.
+    posted = posted.join(frequent, "place", "left").select("entry", "place", "_weight", "own", "_rest", "_seats", F.pmod(F.xxhash64("entry"), lots).cast("int").alias("lot"))
+    sought = sought.join(frequent, "place", "left").select("id", "place", "weight", "rest", "codes", F.explode(F.sequence(F.lit(0), lots - 1)).alias("lot"))
+    # What a pair can share: from a common mark on, no more than the lighter rest; in all, no more than its seats tell, nor than the common first marks and the lighter rest after the last one. Few pairs of texts that are unlike get past the seats, so hardly any of them move.
     enough = lambda shared: shared.cast("long") * (1000 + least) >= (F.col("weight") + F.col("_weight")).cast("long") * least
-    met = sought.join(posted, ["place", "lot"]).filter(enough(F.least("rest", "_rest")))
+    met = sought.join(posted, ["place", "lot"]).filter(enough(F.least("rest", "_rest")) & enough(_seated()))
     met = met.groupBy("id", "entry", "weight", "_weight").agg(F.sum("own").alias("own"), F.min(F.least("rest", "_rest") - F.col("own")).alias("after"))
     pairs = met.filter(enough(F.col("own") + F.col("after"))).select("id", "entry")
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern.operators import suggest
 
@@ -42,6 +43,18 @@ def test_as_every_text_with_every_other(spark, least):
     assert len(have) == len(set(have)) and set(have) == plain(asked, questions, least)
 
 
+def test_seats_bound_what_texts_share(spark):
+    r = random.Random(5)
+    sets = [[f"{99 - r.randint(1, 14):02}w{r.randint(0, 3000)}" for _ in range(r.randint(1, 70))] for _ in range(40)]
+    sets = [sorted({m[2:]: m for m in s}.values()) for s in sets] + [[]]
+    rows = spark.createDataFrame([(k, s, sum(99 - int(m[:2]) for m in s)) for k, s in enumerate(sets)], "id long, marks array<string>, weight long")
+    each = suggest._posted(rows, 300).select("id", "codes", "seats").distinct()
+    bound = {(x["id"], x["other"]): x["b"] for x in each.crossJoin(each.select(F.col("id").alias("other"), F.col("seats").alias("_seats"))).select("id", "other", suggest._seated().alias("b")).collect()}
+    shared = lambda i, j: sum(99 - int(m[:2]) for m in set(sets[i]) & set(sets[j]))
+    assert len(bound) == 40 * 40 and all(b >= shared(i, j) for (i, j), b in bound.items())
+    assert sum(bound[i, j] for i, j in bound if i != j) < 0.4 * sum(shared(i, i) for i, j in bound if i != j)
+
+
 def test_equal_scores_take_the_least_ids(spark):
     have = run(spark, [(1, "Opening hours?")], [(k, "opening hours") for k in range(40, 3, -1)], most=3)
     assert sorted(have) == [(1, 4, 1.0, 1), (1, 5, 1.0, 2), (1, 6, 1.0, 3)]
