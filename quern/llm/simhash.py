@@ -222,6 +222,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 BANDS, ROWS = 10, 3
 #: Pairs with one text that stay on one key, texts of a group that are compared pair by pair, and keys that are broadcast.
 HOT, MEMBERS, KEYS = 512, 32, 1_000_000
+#: Seats that elements of differences are counted in, at most (two bytes each), and elements that a task counts, about. Fewer seats than elements tell rare ones less well; the links are the same.
+SEATS, ELEMENTS = 1 << 24, 5_000_000
 _MUL, _ADD = np.random.default_rng(77).integers(1, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -318,6 +320,75 @@ def alike(ws: Workspace, pairs: DataFrame, sets: DataFrame, similarity: float) -
     return met.filter(F.col("met") + 1e-9 >= similarity * (F.col("na") + F.col("nb") - F.col("met"))).select("a", "b")
 
 
+def _places(b: np.ndarray, e: np.ndarray, seats: int) -> np.ndarray:
+    """The seat of element e of hub b's differences among so many, a power of two."""
+    return (windows.mix(e.view(np.uint64) + windows.mix(b.view(np.uint64))) & np.uint64(seats - 1)).astype(np.int64)
+
+
+def _lists(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """The batches in pieces of about so many elements of their last column, a list: a piece, its elements, and the row in it of each."""
+    for whole in batches:
+        ends = np.cumsum(np.asarray(whole.columns[-1].value_lengths()).astype(np.int64))
+        cuts = np.flatnonzero(np.diff(ends // most, prepend=-1)).tolist()
+        for lo, hi in zip(cuts, [*cuts[1:], whole.num_rows], strict=True):
+            b = whole.slice(lo, hi - lo)
+            d = b.columns[-1]
+            yield b, np.asarray(d.flatten()).astype(np.int64), np.repeat(np.arange(hi - lo), np.asarray(d.value_lengths()))
+
+
+def _often(each: DataFrame) -> np.ndarray:
+    """How many of a hub's members have an element in their differences, by its seat: never too few, and too many where others share the seat.
+
+    each: b, d. Tasks count in arrays of up to SEATS seats and these are added up, so what moves is bounded whatever the table.
+    """
+    n = each.agg(F.sum(F.size("d"))).first()[0] or 0
+    seats = min(SEATS, max(1 << 12, 1 << int(8 * n).bit_length()))
+    cut = min(seats, 1 << 16)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        had = np.zeros(seats, np.uint16)
+        for batch, e, row in _lists(batches):
+            at, times = np.unique(_places(batch.column(0).to_numpy()[row], e, seats), return_counts=True)
+            had[at] = np.minimum(had[at] + times, 65535)
+        for k in range(0, seats, cut):
+            if had[k : k + cut].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([had[k : k + cut].tobytes()], pa.binary())], ["k", "had"])
+
+    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x, np.uint16).astype(np.int64) for x in rows["had"])
+        return pd.DataFrame({"k": [int(key[0])], "had": [np.minimum(total, 65535).astype(np.uint16).tobytes()]})
+
+    parts = each.select("b", "d").coalesce(4 + n // ELEMENTS).mapInArrow(count, "k long, had binary")
+    out = np.zeros(seats, np.uint16)
+    for k, had in parts.groupBy("k").applyInPandas(add, "k long, had binary").collect():
+        out[k : k + cut] = np.frombuffer(had, np.uint16)
+    return out
+
+
+def _prefixes(each: DataFrame, similarity: float) -> DataFrame:
+    """each: b, a, na, nb, root, out, d. A row for each element of d that a pair can first meet by: at, its place in d from the rarest on, and whether it is among the first of _apart."""
+    c = (1 - similarity) / (1 + similarity)
+    shared = each.sparkSession.sparkContext.broadcast(_often(each))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        had = shared.value
+        for batch, e, row in _lists(batches):
+            b, a, na, nb, root, out = (np.asarray(batch.column(k)) for k in range(6))
+            n = had[_places(b[row], e, len(had))]
+            order = np.lexsort((e, n, row))
+            e, n, row = e[order], n[order], row[order]
+            d = np.bincount(row, minlength=len(b))
+            at = np.arange(len(e)) - (np.cumsum(d) - d)[row]
+            near = np.floor(na * (1 - similarity) / similarity + 1e-6).astype(np.int64) + 1
+            first = np.minimum(near, d - np.floor((d + c * (nb - na)) / 2 + 1e-6).astype(np.int64))
+            keep = (n > 1) & (at < np.where(out, near, first)[row])
+            e, at, row = e[keep], at[keep], row[keep]
+            columns = [b[row], a[row], na[row], root[row], out[row], d[row], at, at < first[row], e]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["b", "a", "na", "root", "out", "d", "at", "first", "e"])
+
+    return each.mapInArrow(scan, "b long, a long, na int, root long, out boolean, d long, at long, first boolean, e long")
+
+
 def _apart(ws: Workspace, members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b): pairs of a hub's members, one of them at least unlike the hub, that can be alike; none that is alike is missing.
 
@@ -325,20 +396,18 @@ def _apart(ws: Workspace, members: DataFrame, sets: DataFrame, similarity: float
     than the hub's. A set is told by what it and the hub's do not share, its difference. Sets
     x and y are alike if their differences d differ in at most c * (x + y) elements, c = (1 -
     similarity) / (1 + similarity); y is out, so d(y) > c * (hub + y); so d(x) and d(y) share
-    over (d(x) + c * (hub - x)) / 2 elements. With elements in one order for a hub, rare ones
-    first, the first that both share is then among the first of x, and what follows it on
-    both sides is enough for the rest.
+    over (d(x) + c * (hub - x)) / 2 elements. Neither is larger than the other by more than
+    1 / similarity, so all but x * (1 - similarity) / similarity elements of d(x) are in d(y),
+    and so for y. With elements in one order for a hub, rare ones first, the first that both
+    share is then among the first of x and of y by these bounds, and what follows it on both
+    sides is enough for the rest. So a member has a row for a quarter of its own shingles at
+    the most (similarity 0.8), however far the hub is, and none for those that it alone has.
     """
     c = (1 - similarity) / (1 + similarity)
     both = _beside(ws, members, sets)
     differ = F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa"))
-    each = ws.save(both.select("b", "a", "na", "nb", "root", "out", F.explode(differ).alias("e")))
-    often = each.groupBy("b", "e").agg(F.count("*").alias("often"))
-    rows = each.join(often, ["b", "e"]).groupBy("b", "a", "na", "nb", "root", "out").agg(F.array_sort(F.collect_list(F.struct("often", "e"))).alias("d"))
-    rows = rows.select("b", "a", "na", "nb", "root", "out", F.size("d").alias("d"), F.posexplode("d").alias("at", "x")).filter("x.often > 1")
-    rows = ws.save(rows.select("b", "a", "na", "nb", "root", "out", "d", "at", F.col("x.e").alias("e")))
-    first = rows.filter(F.col("at") < F.col("d") - F.floor((F.col("d") + c * (F.col("nb") - F.col("na"))) / 2 + 1e-6))
-    first = first.select("b", "e", *[F.col(k).alias(f"_{k}") for k in ("a", "na", "root", "out", "d", "at")])
+    rows = ws.save(_prefixes(ws.save(both.select("b", "a", "na", "nb", "root", "out", differ.alias("d"))), similarity))
+    first = rows.filter("first").select("b", "e", *[F.col(k).alias(f"_{k}") for k in ("a", "na", "root", "out", "d", "at")])
     once = ~F.col("_out") | (F.col("a") > F.col("_a"))
     sized = F.least("na", "_na") + 1e-9 >= similarity * F.greatest("na", "_na")
     enough = F.least(F.col("d") - F.col("at"), F.col("_d") - F.col("_at")) + 1e-6 >= (F.col("d") + F.col("_d") - c * (F.col("na") + F.col("_na"))) / 2

@@ -177,6 +177,38 @@ def test_large_groups_lose_no_link_and_meet_few_pairs(spark, monkeypatch, member
     assert sum(met) < 6 * len(sets)
 
 
+@pytest.mark.parametrize("seats", [64, 1 << 24])
+def test_a_member_costs_its_own_shingles_not_its_hubs(spark, monkeypatch, seats):
+    """A long hub and many short members: rows for what they differ in stay within a quarter of the members' own shingles, whatever elements share a seat."""
+    monkeypatch.setattr(simhash, "SEATS", seats, raising=False)
+    r = random.Random(seats)
+    hub = {r.randint(1, 10**15) for _ in range(3000)}
+    core = r.sample(sorted(hub), 20)
+    sets = [hub]
+    for _ in range(60):
+        own = {*core, *(r.randint(1, 10**15) for _ in range(20))}
+        n = r.randint(0, 4)
+        sets += [own, {*r.sample(sorted(own), 40 - n), *(r.randint(1, 10**15) for _ in range(n))}]
+    want = {(j, i) for (i, x), (j, y) in combinations(enumerate(sets), 2) if len(x & y) >= 0.8 * len(x | y)}
+    assert len(want) >= 60
+    made = []
+    own_save = Workspace.save
+
+    def save(self, df, *a):
+        out = own_save(self, df, *a)
+        if "e" in out.columns:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(Workspace, "save", save)
+    ws = Workspace(spark, "x")
+    rows = spark.createDataFrame([(i, len(x), list(x)) for i, x in enumerate(sets)], "_h long, n int, s array<long>")
+    members = spark.createDataFrame([(0, i, i, True) for i in range(1, len(sets))], "b long, a long, root long, out boolean")
+    met = {tuple(x) for x in simhash._apart(ws, members, rows, 0.8).collect()}
+    assert want - {(i, 0) for i in range(len(sets))} <= met
+    assert max(made) <= sum(len(x) // 4 + 1 for x in sets[1:])
+
+
 def test_vectors(spark):
     r = np.random.default_rng(0)
     base = r.normal(size=(60, 16))
